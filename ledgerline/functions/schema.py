@@ -88,13 +88,14 @@ PAGES_SCHEMA = T.StructType([
 # The JSON target schema: what `gt_parse` holds. `pn` is a string there so
 # that the info page can carry "info"; money is rendered as text.
 GT_DATE = T.StructType([T.StructField(k, T.IntegerType()) for k in ("d", "m", "y")])
-GT_SCHEMA = T.StructType(
+_GT_FIELDS = (
     [T.StructField("an", T.StringType())]
     + [T.StructField(c, GT_DATE) for c in DATE_FIELDS]
     + [T.StructField(c, T.StringType()) for c in MONEY_FIELDS]
     + [T.StructField("pn", T.StringType()), T.StructField("t", T.StringType()),
        T.StructField("v", T.StringType())]
 )
+GT_SCHEMA = T.StructType(sorted(_GT_FIELDS, key=lambda f: f.name))
 
 
 def all_codes() -> list[str]:

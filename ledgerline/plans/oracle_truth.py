@@ -163,3 +163,136 @@ verdicts AS (
 )"""
 
 ALL_WITH_VERDICTS = ALL_TRUTH + "," + VERDICT_SQL
+
+
+# ----------------------------------------------------------------- page records
+_REC_COLS = ["pn", "is_info", "an", "sd_d", "sd_m", "sd_y", "ed_d", "ed_m", "ed_y", "bd_d", "bd_m", "bd_y",
+             "pb", "tpc", "tpd", "nb", "ob", "cb", "tw", "td", "nc", "ic", "ca", "f", "eppd", "i", "gst", "pst"]
+_INT = {"pn", "sd_d", "sd_m", "sd_y", "ed_d", "ed_m", "ed_y", "bd_d", "bd_m", "bd_y"}
+
+
+def _rec(vendor: str, idx: int, t: str, v: str, kept: str, vals: dict[str, str], src: str) -> str:
+    cols = []
+    for n in _REC_COLS:
+        if n == "is_info":
+            cols.append(f"{vals.get(n, 'FALSE')} AS is_info")
+        elif n == "an":
+            cols.append(f"{vals.get(n, 'CAST(NULL AS VARCHAR)')} AS an")
+        elif n in _INT:
+            cols.append(f"CAST({vals.get(n, 'NULL')} AS INTEGER) AS {n}")
+        else:
+            cols.append(f"CAST({vals.get(n, 'NULL')} AS {D}) AS {n}")
+    return (f"SELECT '{vendor}' AS vendor, file, k, {idx} AS page_idx, " + ", ".join(cols)
+            + f", '{t}' AS t, '{v}' AS v, {kept} AS kept FROM {src}")
+
+
+def _dates(*names: str) -> dict[str, str]:
+    return {f"{n}_{p}": f"{n}_{p}" for n in names for p in "dmy"}
+
+
+_BS, _CC, _BILL, _RBC, _MBH, _BELL = ("Bank Statement", "Credit Card Statement", "Bill", "RBC Royal Bank",
+                                      "MB Hydro", "Bell MTS")
+
+
+def _rec_union() -> str:
+    parts = []
+    for dv in ("bank", "savings"):
+        parts.append(_rec(dv, 0, _BS, _RBC, "TRUE", {"pn": "1", "an": "an", **_dates("sd", "ed"), "ob": "ob_x",
+                                                      "cb": "cb_x", "td": "td_x", "tw": "tw_x"}, f"{dv}_t"))
+        parts.append(_rec(dv, 1, _BS, _RBC, f"NOT {F_PN}", {"pn": "2", "an": "an", **_dates("sd", "ed")}, f"{dv}_t"))
+    parts.append(_rec("credit", 0, _CC, _RBC, "TRUE", {"pn": "1", "an": "an", **_dates("sd", "ed"), "pb": "pb",
+                                                       "tpc": "tpc", "tpd": "tpd", "nb": "nb_x", "ca": "ca_x",
+                                                       "ic": "ic", "f": "f"}, "credit_t"))
+    parts.append(_rec("credit", 1, _CC, _RBC, "TRUE", {"is_info": "TRUE"}, "credit_t"))
+    parts.append(_rec("utility", 0, _BILL, _MBH, "TRUE", {"pn": "1", "an": "an", **_dates("bd"), "pb": "pb",
+                                                          "nc": "nc_x", "nb": "nb_x",
+                                                          "eppd": "CASE WHEN epp > 0 THEN epp END"}, "utility_t"))
+    parts.append(_rec("utility", 1, _BILL, _MBH, "TRUE", {"pn": "2"}, "utility_t"))
+    parts.append(_rec("telecom", 0, _BILL, _BELL, "TRUE", {"pn": "1", "an": "an", **_dates("bd"), "nb": "nb_x"},
+                      "telecom_t"))
+    parts.append(_rec("telecom", 1, _BILL, _BELL, "TRUE",
+                      {"pn": "pn2", "pb": "CASE WHEN pn2 = 2 THEN pb END", "i": "CASE WHEN pn2 = 2 THEN i_x END",
+                       "gst": "CASE WHEN pn2 = 2 THEN gst END", "pst": "CASE WHEN pn2 = 2 THEN pst END"}, "telecom_t"))
+    return "\nUNION ALL\n".join(parts)
+
+
+# Leaf fields of gt_parse in code order: (path, SQL text of the value).
+GT_LEAVES = []
+for _n in sorted(["an", "bd", "ca", "cb", "ed", "eppd", "f", "gst", "i", "ic", "nb", "nc", "ob", "pb", "pn",
+                  "pst", "sd", "t", "td", "tpc", "tpd", "tw", "v"]):
+    if _n in ("bd", "ed", "sd"):
+        GT_LEAVES += [(f"{_n}.{p}", f"CAST({_n}_{p} AS VARCHAR)") for p in "dmy"]
+    elif _n == "pn":
+        GT_LEAVES.append(("pn", "CASE WHEN is_info THEN 'info' ELSE CAST(pn AS VARCHAR) END"))
+    elif _n in ("an", "t", "v"):
+        GT_LEAVES.append((_n, _n))
+    else:
+        GT_LEAVES.append((_n, f"CAST({_n} AS VARCHAR)"))
+
+
+def _seq_sql() -> str:
+    parts = []
+    for n in sorted(["an", "bd", "ca", "cb", "ed", "eppd", "f", "gst", "i", "ic", "nb", "nc", "ob", "pb", "pn",
+                     "pst", "sd", "t", "td", "tpc", "tpd", "tw", "v"]):
+        if n in ("bd", "ed", "sd"):
+            inner = " || ".join(f"'<s_{p}>' || CAST({n}_{p} AS VARCHAR) || '</s_{p}>'" for p in "dmy")
+            parts.append(f"COALESCE('<s_{n}>' || {inner} || '</s_{n}>', '')")
+        else:
+            val = dict(GT_LEAVES)[n]
+            parts.append(f"COALESCE('<s_{n}>' || {val} || '</s_{n}>', '')")
+    return " || ".join(parts)
+
+
+def _doc_key(file: str = "file", idx: str = "page_idx") -> str:
+    return f"CAST(('0x' || substr(md5({file} || '#' || CAST({idx} AS VARCHAR)), 1, 8)) AS BIGINT)"
+
+
+RECORDS_SQL = f"""
+rec_t AS (
+{_rec_union()}
+),
+targets AS (
+  SELECT r.*, {_seq_sql()} AS seq, {_doc_key()} AS doc_key,
+    CASE WHEN {_doc_key()} % 100 < 80 THEN 'train' ELSE 'validation' END AS split
+  FROM rec_t r JOIN verdicts USING (vendor, file) WHERE r.kept AND verdicts.reasons = ''
+)"""
+
+ALL_WITH_TARGETS = ALL_WITH_VERDICTS + "," + RECORDS_SQL
+
+# Fixed values of the prediction fixture: epochs, batch size, corruption rules.
+EPOCHS = 6
+BATCH = 3
+
+PRED_SQL = f"""
+val AS (
+  SELECT *, row_number() OVER (ORDER BY doc_key, file, page_idx) - 1 AS idx FROM targets WHERE split = 'validation'
+),
+preds AS (
+  SELECT e.epoch, CAST(floor(idx / {BATCH}) AS BIGINT) AS batch, val.*,
+    '<doc_intel>' || (CASE WHEN doc_key % 3 = 0 THEN replace(s2, '>', '> ') ELSE s2 END) || '</s>' || '<pad>' AS raw,
+    (doc_key % (e.epoch + 2) = 0) AS c7, (doc_key % 7 = 0) AS ctw
+  FROM val, (SELECT range AS epoch FROM range({EPOCHS})) e,
+  LATERAL (SELECT CASE WHEN doc_key % 7 = 0 THEN regexp_replace(s1, '<s_tw>.*?</s_tw>', '') ELSE s1 END AS s2
+           FROM (SELECT CASE WHEN doc_key % (e.epoch + 2) = 0 THEN translate(seq, '7', '1') ELSE seq END AS s1))
+),
+scores AS (
+  SELECT epoch, batch, idx, file, page_idx, vendor, t, doc_key,
+    CASE WHEN greatest(length(pc), length(seq)) = 0 THEN 0.0
+         ELSE CAST(levenshtein(pc, seq) AS DOUBLE) / greatest(length(pc), length(seq)) END AS score
+  FROM (SELECT *, replace(replace(regexp_replace(regexp_replace(replace(replace(raw, '</s>', ''), '<pad>', ''),
+          '<.*?>', ''), '^\\s+|\\s+$', '', 'g'), '> ', '>'), ' </s_', '</s_') AS pc FROM preds)
+)"""
+
+ALL_WITH_PREDS = ALL_WITH_TARGETS + "," + PRED_SQL
+
+
+def leaf_kinds_sql() -> str:
+    """Per prediction row and leaf: 'match' / 'changed' / 'missing', from the corruption rules."""
+    parts = []
+    for path, val in GT_LEAVES:
+        if path == "tw":
+            kind = f"CASE WHEN ctw THEN 'missing' WHEN c7 AND {val} LIKE '%7%' THEN 'changed' ELSE 'match' END"
+        else:
+            kind = f"CASE WHEN c7 AND {val} LIKE '%7%' THEN 'changed' ELSE 'match' END"
+        parts.append(f"SELECT epoch, file, page_idx, t, '{path}' AS path, {kind} AS kind FROM preds WHERE {val} IS NOT NULL")
+    return "leaf_kinds AS (\n" + "\nUNION ALL\n".join(parts) + "\n)"
