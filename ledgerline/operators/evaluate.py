@@ -114,9 +114,10 @@ def by_field(diff: DataFrame) -> DataFrame:
 
 def sample_every(df: DataFrame, order: list[Column], fraction: float = 0.2) -> DataFrame:
     """Every int(n * fraction)-th row by position (every row when n * p < 1)."""
-    n = df.count()
+    idx = D.global_index(df, order)  # materialised in the checkpoint folder
+    n = idx.count()
     step = max(1, int(n * fraction))
-    return D.global_index(df, order).filter((c("row_idx") % step) == 0)
+    return idx.filter((c("row_idx") % step) == 0)
 
 
 def bad_cases(scores: DataFrame, order_col: str, threshold: float = 0.5) -> DataFrame:

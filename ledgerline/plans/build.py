@@ -39,7 +39,11 @@ class Build:
 
 def build_from_pages(pages: DataFrame, vendors: list[str] | None = None, by: str = "page",
                      base_dir: str = "dataset") -> Build:
-    recs = V.extract_records(pages, vendors)
+    """Records feed both the file verdicts and the accepted-page join, so
+    they are written once to the checkpoint folder (narrow columns only, no
+    page text): both consumers read them back instead of re-running the
+    extraction, and a lost executor re-reads rather than recomputes."""
+    recs = V.extract_records(pages, vendors).checkpoint()
     verdicts = R.file_verdicts(recs)
     accepted, rejects = R.split_accepted(recs, verdicts)
     meta = D.metadata(accepted, by=by)

@@ -105,11 +105,13 @@ FROM targets, (SELECT range AS epoch FROM range(3)) e WHERE split = 'train'""")
 def d_shuffle(spark, sf):
     """Per-epoch order of the training rows (3 epochs), positions from a global index."""
     tr = B.targets(spark, sf).filter(c("split") == "train").select("file", "page_idx", "doc_key")
-    n = tr.count()
     ep = tr.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(2))))
     idx = D.global_index(ep, [c("epoch"), D.shuffle_key(c("doc_key"), c("epoch"))])
-    return idx.select(c("epoch").cast("bigint").alias("epoch"), "file", "page_idx",
-                      (c("row_idx") - c("epoch") * F.lit(n)).alias("position"))
+    # Epoch start offsets: one row per epoch (a bounded table), broadcast back.
+    starts = idx.groupBy("epoch").agg(F.min("row_idx").alias("_start"))
+    out = idx.join(F.broadcast(starts), "epoch")
+    return out.select(c("epoch").cast("bigint").alias("epoch"), "file", "page_idx",
+                      (c("row_idx") - c("_start")).alias("position"))
 
 
 # =========================================================== T: sequences

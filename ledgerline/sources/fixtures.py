@@ -273,8 +273,13 @@ def doc_files(spark: SparkSession, sf_dir: str, vendors: list[str] | None = None
 
 
 def to_pages(files: DataFrame) -> DataFrame:
-    """files -> pages(vendor, file, page_idx, text); narrow (no shuffle)."""
-    return files.select("vendor", "file", F.posexplode("pages").alias("page_idx", "text")) \
+    """files -> pages(vendor, file, page_idx, text); narrow (no shuffle).
+
+    The outer form keeps Catalyst from inferring a non-empty-array filter
+    that it would push below the renderers' joins (re-rendering every page
+    inside the join condition); arrays here are never empty, so rows match.
+    """
+    return files.select("vendor", "file", F.posexplode_outer("pages").alias("page_idx", "text")) \
         .withColumn("page_idx", F.col("page_idx").cast("int"))
 
 
