@@ -57,6 +57,26 @@ def s_manifest_missing(spark, sf):
     return man.join(listing, man.dest == listing.path, "left_anti")
 
 
+@query("s_pages_roundtrip", T.ALL_TRUTH + """
+SELECT vendor, count(*) AS n_files, 2 * count(*) AS n_pages, count(*) AS n_records_files FROM (
+  SELECT 'bank' AS vendor FROM bank_t UNION ALL SELECT 'savings' FROM savings_t
+  UNION ALL SELECT 'credit' FROM credit_t UNION ALL SELECT 'utility' FROM utility_t
+  UNION ALL SELECT 'telecom' FROM telecom_t) GROUP BY vendor""")
+def s_pages_roundtrip(spark, sf):
+    """Rendered documents written as a nested document table, read
+    back recursively with a suffix filter, split into pages and extracted."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import pages as P
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/docs-{uuid.uuid4().hex}"
+    P.write_documents(fx.doc_files(spark, sf), path)
+    pages = P.read_documents(spark, path)
+    recs = B.V.extract_records(pages)
+    return recs.groupBy("vendor").agg(F.count_distinct("file").alias("n_files"), F.count(F.lit(1)).alias("n_pages"),
+                                      F.count_distinct(F.when(c("kept"), c("file"))).alias("n_records_files"))
+
+
 # =========================================================== D: dataset
 @query("d_split_counts", TW + """
 SELECT vendor, split, count(*) AS n_pages FROM targets GROUP BY vendor, split""")
