@@ -91,12 +91,13 @@ def shuffle_key(id_col: Column, epoch: Column | int, seed: int = 42) -> Column:
 def global_index(df: DataFrame, order: list[Column], name: str = "row_idx") -> DataFrame:
     """0-based position of every row in ``order``, without a one-task window.
 
-    The frame is range-partitioned and sorted (distributed), written to the
-    checkpoint folder so partitioning is fixed, and each row gets its
+    The frame is range-partitioned and sorted (distributed), written once to
+    the checkpoint folder so the ids are fixed, and each row gets its
     partition's offset (a running sum over one count per partition, a table
     bounded by the partition count) plus its position inside the partition.
     """
-    sorted_df = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
+    from ..session import materialize
+    sorted_df = materialize(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()), "index")
     part = (F.col("_mid") / F.lit(1 << 33)).cast("bigint")
     counts = sorted_df.groupBy(part.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

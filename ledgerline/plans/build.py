@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.schema import EOS_TOKEN, PAD_TOKEN, TASK_PROMPT
+from ..session import materialize, memo_table
 from ..operators import dataset as D
 from ..operators import evaluate as E
 from ..operators import rules as R
@@ -38,12 +39,12 @@ class Build:
 
 
 def build_from_pages(pages: DataFrame, vendors: list[str] | None = None, by: str = "page",
-                     base_dir: str = "dataset") -> Build:
+                     base_dir: str = "dataset", records: DataFrame | None = None) -> Build:
     """Records feed both the file verdicts and the accepted-page join, so
     they are written once to the checkpoint folder (narrow columns only, no
     page text): both consumers read them back instead of re-running the
     extraction, and a lost executor re-reads rather than recomputes."""
-    recs = V.extract_records(pages, vendors).checkpoint()
+    recs = records if records is not None else materialize(V.extract_records(pages, vendors), "records")
     verdicts = R.file_verdicts(recs)
     accepted, rejects = R.split_accepted(recs, verdicts)
     meta = D.metadata(accepted, by=by)
@@ -51,8 +52,13 @@ def build_from_pages(pages: DataFrame, vendors: list[str] | None = None, by: str
 
 
 def build(spark: SparkSession, sf: str, vendors: list[str] | None = None, by: str = "page") -> Build:
-    """All vendors by default, or the chosen subset."""
-    return build_from_pages(fx.doc_pages(spark, sf, vendors), vendors, by)
+    """All vendors by default, or the chosen subset.
+
+    The extracted page records of a data folder are a prepared table (D9),
+    written once per session and shared by every query built on them."""
+    key = ("records", sf, tuple(vendors or ()))
+    recs = memo_table(spark, key, lambda: V.extract_records(fx.doc_pages(spark, sf, vendors), vendors))
+    return build_from_pages(None, vendors, by, records=recs)
 
 
 def doc_key():
@@ -60,10 +66,13 @@ def doc_key():
 
 
 def targets(spark: SparkSession, sf: str) -> DataFrame:
-    """Accepted pages with split, gt struct, sequence (T1 + T4) and a numeric key."""
-    meta = build(spark, sf).metadata
-    df = meta.withColumn("gt", D.gt_struct()).withColumn("doc_key", doc_key())
-    return S.target_sequence(df, c("gt"))
+    """Accepted pages with split, gt struct, sequence (T1 + T4) and a numeric key
+    (a prepared table, D9)."""
+    def make():
+        meta = build(spark, sf).metadata
+        df = meta.withColumn("gt", D.gt_struct()).withColumn("doc_key", doc_key())
+        return S.target_sequence(df, c("gt"))
+    return memo_table(spark, ("targets", sf), make)
 
 
 def predictions(spark: SparkSession, sf: str, epochs: int = EPOCHS, batch_size: int = BATCH) -> DataFrame:
