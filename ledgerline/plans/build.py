@@ -57,7 +57,8 @@ def build(spark: SparkSession, sf: str, vendors: list[str] | None = None, by: st
     The extracted page records of a data folder are a prepared table (D9),
     written once per session and shared by every query built on them."""
     key = ("records", sf, tuple(vendors or ()))
-    recs = memo_table(spark, key, lambda: V.extract_records(fx.doc_pages(spark, sf, vendors), vendors))
+    recs = memo_table(spark, key, lambda: V.extract_records(fx.doc_pages(spark, sf, vendors), vendors),
+                      must_materialize=True)
     return build_from_pages(None, vendors, by, records=recs)
 
 

@@ -20,6 +20,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows after an aggregation are small in bytes but feed CPU-heavy text
+    # work (rendering, regex extraction): do not coalesce them below 64 KB
+    # per task, or a whole vendor's pages end up in one task.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -80,16 +84,18 @@ _MEMO: dict[tuple, str] = {}
 MEMO_CONF = "ledgerline.memo.enabled"
 
 
-def memo_table(spark: SparkSession, key: tuple, build):
+def memo_table(spark: SparkSession, key: tuple, build, must_materialize: bool = False):
     """A prepared table written once per session and reused.
 
     ``build()`` returns the DataFrame to prepare; its parquet copy in the
     shared checkpoint folder serves every later request for the same key
     (e.g. the page records of one data folder). Turned off with
-    ``ledgerline.memo.enabled=false`` (the bench times every query cold).
+    ``ledgerline.memo.enabled=false`` (the bench times every query cold):
+    then the plan is returned as is, or written once when the caller reads
+    it twice (``must_materialize``).
     """
     if spark.conf.get(MEMO_CONF, "true").lower() != "true":
-        return materialize(build(), key[0])
+        return materialize(build(), key[0]) if must_materialize else build()
     full = (spark.sparkContext.applicationId,) + tuple(key)
     path = _MEMO.get(full)
     if path is not None and os.path.exists(path.replace("file:", "")):

@@ -18,13 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.schema import GT_SCHEMA, PAGES_SCHEMA
+from ..operators.rules import nonempty_guard
 
 c = F.col
 PAGE_BREAK = "\f"
 
 
 def read_text_pages(spark: SparkSession, path: str, vendor: str, glob: str = "*.txt") -> DataFrame:
-    """Every file under ``path`` (recursively) matching ``glob``."""
+    """Every file under ``path`` (recursively) matching ``glob``.
+
+    Files not matching the suffix glob are never read; an empty vendor tag
+    fails before any job runs."""
+    if not vendor:
+        raise ValueError("vendor tag is empty")
     raw = (spark.read.option("recursiveFileLookup", "true")
            .option("pathGlobFilter", glob).text(path, wholetext=True))
     df = raw.select(c("_metadata.file_path").alias("file"), c("value"))
@@ -70,12 +76,15 @@ def read_documents(spark: SparkSession, path: str, glob: str = "*.json") -> Data
 def write_metadata(meta: DataFrame, path: str) -> None:
     """JSON lines (file_name, ground_truth) under split=train / split=validation.
 
-    Overwrite replaces the previous build (no own recursive delete)."""
+    Overwrite replaces the previous build (no own recursive delete); an
+    empty result is refused before anything is replaced (V10)."""
+    nonempty_guard(meta, "metadata")
     meta.select("split", "file_name", "ground_truth").write.mode("overwrite").partitionBy("split").json(path)
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    """The page manifest (src, dest, page_number) as parquet."""
+    """The page manifest (src, dest, page_number) as parquet (V10 guard first)."""
+    nonempty_guard(manifest, "manifest")
     manifest.write.mode("overwrite").parquet(path)
 
 

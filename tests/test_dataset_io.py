@@ -62,3 +62,12 @@ def test_diffs(spark):
     s2 = spark.createDataFrame([("t",), ("v",)], "token string")
     got = sorted((r["token"], r["side"]) for r in C.multiset_diff(s, s2).collect())
     assert got == [("t", "a"), ("u", "a"), ("v", "b")]
+
+
+def test_guards(spark, tmp_out):
+    import pytest
+    empty = spark.createDataFrame([], "split string, file_name string, ground_truth string")
+    with pytest.raises(ValueError, match="empty"):
+        P.write_metadata(empty, os.path.join(tmp_out, "m"))
+    with pytest.raises(ValueError, match="vendor"):
+        P.read_text_pages(spark, tmp_out, "")
