@@ -51,14 +51,31 @@ def build_from_pages(pages: DataFrame, vendors: list[str] | None = None, by: str
     return Build(recs, verdicts, accepted, rejects, meta, D.manifest(meta, base_dir))
 
 
+_PLAN_CACHE: dict[tuple, DataFrame] = {}
+
+
+def records(spark: SparkSession, sf: str, vendors: list[str] | None = None) -> DataFrame:
+    """Page records of the rendered statements of a data folder (lazy plan).
+
+    The plan object is built once per session and reused: building it means
+    tens of thousands of Column constructions, while the plan itself is
+    immutable. Only the plan is cached; every query still runs it in full.
+    """
+    key = (spark.sparkContext.applicationId, sf, tuple(vendors or ()))
+    df = _PLAN_CACHE.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = V.extract_records(fx.doc_pages(spark, sf, vendors), vendors)
+        _PLAN_CACHE[key] = df
+    return df
+
+
 def build(spark: SparkSession, sf: str, vendors: list[str] | None = None, by: str = "page") -> Build:
     """All vendors by default, or the chosen subset.
 
     The extracted page records of a data folder are a prepared table (D9),
     written once per session and shared by every query built on them."""
     key = ("records", sf, tuple(vendors or ()))
-    recs = memo_table(spark, key, lambda: V.extract_records(fx.doc_pages(spark, sf, vendors), vendors),
-                      must_materialize=True)
+    recs = memo_table(spark, key, lambda: records(spark, sf, vendors), must_materialize=True)
     return build_from_pages(None, vendors, by, records=recs)
 
 

@@ -49,7 +49,8 @@ def flat(cols: list[str]) -> list[Column]:
 
 
 def records(spark: SparkSession, sf: str, vendors: list[str] | None = None) -> DataFrame:
-    return V.extract_records(fx.doc_pages(spark, sf, vendors), vendors)
+    from .build import records as _records
+    return _records(spark, sf, vendors)
 
 
 def _dbl(x: str) -> str:

@@ -10,8 +10,18 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations"]
 
+# One DataFrame per (application, path): the file listing and footer read
+# happen once per session, not once per query. Plans only; no data is cached.
+_READ_CACHE: dict[tuple[str, str], DataFrame] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table. Callers select the columns they need right away, so
     the scan's ReadSchema holds only those (column pruning)."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (spark.sparkContext.applicationId, path)
+    df = _READ_CACHE.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _READ_CACHE[key] = df
+    return df
