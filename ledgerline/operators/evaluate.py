@@ -97,6 +97,37 @@ def field_diff(truth: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     return j.withColumn("kind", kind)
 
 
+def _leaf_values(col: Column, schema: T.StructType) -> list[tuple[str, Column]]:
+    out = []
+    for f in schema.fields:
+        if isinstance(f.dataType, T.StructType):
+            for g in f.dataType.fields:
+                out.append((f"{f.name}.{g.name}", col.getField(f.name).getField(g.name).cast("string")))
+        else:
+            out.append((f.name, col.getField(f.name).cast("string")))
+    return out
+
+
+def field_diff_inline(df: DataFrame, keys: list[str], truth: str, pred: str,
+                      schema: T.StructType = GT_SCHEMA) -> DataFrame:
+    """Same rows as ``field_diff`` when truth and prediction sit in one row.
+
+    Each leaf of the known schema is compared in place (an array of
+    (path, truth, prediction) per row, exploded), so no join and no shuffle:
+    the diff stays in the stage that produced the row.
+    """
+    t, p = dict(_leaf_values(c(truth), schema)), dict(_leaf_values(c(pred), schema))
+    items = [F.struct(F.lit(path).alias("path"), t[path].alias("truth_value"), p[path].alias("pred_value"))
+             for path in t]
+    arr = F.filter(F.array(*items), lambda x: x.getField("truth_value").isNotNull() | x.getField("pred_value").isNotNull())
+    out = df.select(*keys, F.explode(arr).alias("_f")).select(*keys, "_f.path", "_f.truth_value", "_f.pred_value")
+    kind = (F.when(c("pred_value").isNull(), F.lit("missing"))
+            .when(c("truth_value").isNull(), F.lit("extra"))
+            .when(c("truth_value") == c("pred_value"), F.lit("match"))
+            .otherwise(F.lit("changed")))
+    return out.withColumn("kind", kind)
+
+
 def field_accuracy(diff: DataFrame, keys: list[str]) -> DataFrame:
     """E8 (own definition): max(0, 1 - (missing + extra + changed) / truth fields)."""
     g = diff.groupBy(*keys).agg(

@@ -125,6 +125,4 @@ def field_diffs(scored: DataFrame) -> DataFrame:
     """Per prediction and leaf field: match / changed / missing / extra."""
     keys = ["epoch", "file", "page_idx", "t"]
     base = scored.withColumn("pred_gt", S.parse_sequence(c("pred_clean")))
-    truth = E.flatten_fields(base, keys, "gt")
-    pred = E.flatten_fields(base, keys, "pred_gt")
-    return E.field_diff(truth, pred, keys)
+    return E.field_diff_inline(base, keys, "gt", "pred_gt")

@@ -42,3 +42,18 @@ def test_field_accuracy(spark):
     p = spark.createDataFrame([("d", "a", "1"), ("d", "c", "9")], "key string, path string, value string")
     acc = E.field_accuracy(E.field_diff(t, p, ["key"]), ["key"]).first()
     assert acc["accuracy"] == 0.0  # one missing + one extra over two truth fields
+
+
+def test_inline_diff_equals_join_diff(spark):
+    from pyspark.sql import types as T
+    sch = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()),
+                        T.StructField("d", T.StructType([T.StructField("x", T.IntegerType())]))])
+    rows = [("k1", ("1", "2", (3,)), ("1", None, (4,))), ("k2", ("5", None, None), ("5", "6", None))]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("key", T.StringType()),
+                                                   T.StructField("t", sch), T.StructField("p", sch)]))
+    inline = E.field_diff_inline(df, ["key"], "t", "p", sch).select("key", "path", "kind")
+    joined = E.field_diff(E.flatten_fields(df, ["key"], "t", sch), E.flatten_fields(df, ["key"], "p", sch), ["key"]) \
+        .select("key", "path", "kind")
+    assert sorted(inline.collect()) == sorted(joined.collect())
+    assert {(r["key"], r["path"], r["kind"]) for r in inline.collect()} == {
+        ("k1", "a", "match"), ("k1", "b", "missing"), ("k1", "d.x", "changed"), ("k2", "a", "match"), ("k2", "b", "extra")}
