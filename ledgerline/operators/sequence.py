@@ -119,10 +119,14 @@ def clean_answer(answer: Column) -> Column:
 
 
 def parse_sequence(seq: Column, schema: T.StructType = GT_SCHEMA) -> Column:
-    """Tagged sequence -> struct of the known schema (inverse of T1)."""
+    """Tagged sequence -> struct of the known schema (inverse of T1).
+
+    ``seq`` is read once per field, so pass a column (project an expression
+    into a column first) rather than a large expression.
+    """
     fields = []
     for f in schema.fields:
-        body = F.regexp_extract(seq, f"<s_{f.name}>(.*?)</s_{f.name}>", 1)
+        body = F.regexp_extract(seq, f"(?s)<s_{f.name}>(.*?)</s_{f.name}>", 1)
         present = F.contains(seq, F.lit(f"<s_{f.name}>"))
         if isinstance(f.dataType, T.StructType):
             val = parse_sequence(body, f.dataType)

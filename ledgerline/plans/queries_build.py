@@ -228,8 +228,8 @@ def t_clean(spark, sf):
 SELECT file, page_idx, TRUE AS roundtrip_ok FROM targets""")
 def t_parse_back(spark, sf):
     """parse(linearise(record)) == record for every accepted page."""
-    t = B.targets(spark, sf)
-    back = S.parse_sequence(S.clean_answer(c("sequence")))
+    t = B.targets(spark, sf).select("file", "page_idx", "gt", S.clean_answer(c("sequence")).alias("answer"))
+    back = S.parse_sequence(c("answer"))
     return t.select("file", "page_idx", (back == c("gt")).alias("roundtrip_ok"))
 
 

@@ -38,7 +38,8 @@ def test_round_trip(spark):
     row.update({"an": "0123", "pn": "1", "t": "Bill", "v": "MB Hydro", "nb": "-10.50", "bd": (5, 6, 2024)})
     df = spark.createDataFrame([tuple(row[f.name] for f in GT_SCHEMA.fields)], GT_SCHEMA)
     gt = F.struct(*[F.col(f) for f in GT_SCHEMA.fieldNames()])
-    back = df.select(gt.alias("gt"), S.parse_sequence(S.linearise(gt, GT_SCHEMA)).alias("back"))
+    seq = df.select(gt.alias("gt"), S.linearise(gt, GT_SCHEMA).alias("seq"))
+    back = seq.select("gt", S.parse_sequence(F.col("seq")).alias("back"))
     r = back.first()
     assert r["gt"] == r["back"]
 
