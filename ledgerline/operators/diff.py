@@ -42,10 +42,17 @@ def state_diff(a: DataFrame, b: DataFrame, key: str = "key", values: str = "valu
     return j.withColumn("kind", kind).filter(c("kind").isNotNull())
 
 
-def rule_violations(settings: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
-    """Evaluate named boolean rules over one settings row; rows of failures."""
-    checks = F.array(*[F.struct(F.lit(n).alias("rule"), cond.alias("ok")) for n, cond in rules])
-    return settings.select(F.explode(checks).alias("r")).select("r.rule", "r.ok").filter(~c("ok"))
+def rule_results(settings: DataFrame, keys: list[str], rules: list[tuple[str, Column]]) -> DataFrame:
+    """C5/C7 as a table: (keys, rule, ok) for every named rule of every settings row
+    (a rule that cannot be evaluated counts as failed)."""
+    checks = F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(cond, F.lit(False)).alias("ok"))
+                       for n, cond in rules])
+    return settings.select(*keys, F.explode(checks).alias("r")).select(*keys, "r.rule", "r.ok")
+
+
+def rule_violations(settings: DataFrame, keys: list[str], rules: list[tuple[str, Column]]) -> DataFrame:
+    """Only the failed rules (the reference prints one message per difference)."""
+    return rule_results(settings, keys, rules).filter(~c("ok"))
 
 
 def sequence_equal(a: DataFrame, b: DataFrame, keys: list[str], seq: str = "sequence") -> DataFrame:

@@ -439,3 +439,59 @@ def i_format(spark, sf):
     ok = F.get_json_object("ground_truth", "$.gt_parse").isNotNull() & \
         F.get_json_object("ground_truth", "$.gt_parse").startswith("{")
     return meta.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(ok).alias("n_valid"))
+
+
+@query("c_rules", TW + f""",
+per_vendor AS (
+  SELECT vendor, max(len({_TOK_SQL})) AS max_tokens, bool_and(seq || '</s>' LIKE '%</s>') AS eos_ok,
+    bool_and(list_has_all({_VOCAB_SQL}, {_TAGS_SQL})) AS tags_ok
+  FROM targets GROUP BY vendor
+)
+SELECT vendor, 'ends_with_eos' AS rule, eos_ok AS ok FROM per_vendor
+UNION ALL SELECT vendor, 'fits_max_length', max_tokens <= 1536 FROM per_vendor
+UNION ALL SELECT vendor, 'tags_in_vocabulary', tags_ok FROM per_vendor""")
+def c_rules(spark, sf):
+    """Consistency rules between settings and data, one row per vendor and rule."""
+    voc = F.array(*[F.lit(t) for t in S.vocabulary()])
+    t = B.targets(spark, sf).select(
+        "vendor", F.size(S.tokens(c("sequence"))).alias("n_tokens"),
+        c("sequence").endswith(F.lit("</s>")).alias("eos"),
+        (F.size(F.array_except(F.regexp_extract_all("sequence", F.lit(r"</?s_[A-Za-z0-9_]+>"), 0), voc)) == 0)
+        .alias("tags"))
+    settings = t.groupBy("vendor").agg(F.max("n_tokens").alias("max_tokens"), F.bool_and("eos").alias("eos_ok"),
+                                       F.bool_and("tags").alias("tags_ok"))
+    return C.rule_results(settings, ["vendor"], [
+        ("ends_with_eos", c("eos_ok")),
+        ("fits_max_length", c("max_tokens") <= S.MAX_LENGTH),
+        ("tags_in_vocabulary", c("tags_ok")),
+    ])
+
+
+@query("e_pair_missing", PW + f"""
+SELECT count(*) FILTER (WHERE doc_key % 5 <> 0) AS n_paired, count(*) FILTER (WHERE doc_key % 5 = 0) AS n_missing
+FROM val""")
+def e_pair_missing(spark, sf):
+    """Predictions paired with answers by key; an outer join reports answers
+    with no prediction (here the printer skipped keys with key % 5 = 0)."""
+    preds = B.predictions(spark, sf).filter((c("epoch") == B.EPOCHS - 1) & (c("doc_key") % 5 != 0)) \
+        .select("file", "page_idx", "raw")
+    answers = B.targets(spark, sf).filter(c("split") == "validation").select("file", "page_idx", "sequence")
+    j = E.pair(preds, answers, ["file", "page_idx"], "right_outer")
+    return j.agg(F.count_if(c("raw").isNotNull()).alias("n_paired"), F.count_if(c("raw").isNull()).alias("n_missing"))
+
+
+@query("d_row_at", TW + f""",
+ranked AS (
+  SELECT file, page_idx, seq, row_number() OVER (ORDER BY doc_key, file, page_idx) - 1 AS pos
+  FROM targets WHERE split = 'validation'
+)
+SELECT file, page_idx, array_to_string(list_transform(({_TOK_SQL})[1:30], lambda x: CASE
+  WHEN list_position({_VOCAB_SQL}, x) IS NOT NULL THEN list_position({_VOCAB_SQL}, x) - 1 ELSE 1000 + ascii(x) END), ',')
+  AS first_labels
+FROM ranked WHERE pos = 7""")
+def d_row_at(spark, sf):
+    """D8 + I1: the row at position 7 of the validation order and its first 30 label ids."""
+    val = B.targets(spark, sf).filter(c("split") == "validation")
+    row = D.row_at(val, [c("doc_key"), c("file"), c("page_idx")], 7)
+    labels = F.slice(S.label_ids(c("sequence")), 1, 30)
+    return row.select("file", "page_idx", F.array_join(labels.cast("array<string>"), ",").alias("first_labels"))
