@@ -14,7 +14,7 @@ flags ``e_<reason>``, and the cross-page carry ``xp_total`` / ``xp_parts`` /
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -247,14 +247,13 @@ class Extractor:
 
     ``fn`` takes the vendor's pages(vendor, file, page_idx, text) and returns
     page records; any DataFrame function may be registered. ``glob`` is the
-    file pattern a folder source uses for this vendor.
+    file pattern a folder source uses for this vendor (page-text files).
     """
     tag: str
     doc_type: str
     vendor_name: str
     fn: Callable[[DataFrame], DataFrame]
-    glob: str = "*.pdf"
-    extra: dict = field(default_factory=dict)
+    glob: str = "*.txt"
 
 
 REGISTRY: dict[str, Extractor] = {

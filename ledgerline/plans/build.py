@@ -79,6 +79,14 @@ def build(spark: SparkSession, sf: str, vendors: list[str] | None = None, by: st
     return build_from_pages(None, vendors, by, records=recs)
 
 
+def build_from_folders(spark: SparkSession, folders: dict[str, str], by: str = "page") -> Build:
+    """S10 over folders of page-text files: {vendor tag: folder}. Records are
+    written once (they feed both the verdicts and the accepted-page join)."""
+    from ..sources.pages import read_vendor_folders
+    vendors = list(folders)
+    return build_from_pages(read_vendor_folders(spark, folders), vendors, by)
+
+
 def doc_key():
     return F.conv(F.substring(F.md5(D.page_key()), 1, 8), 16, 10).cast("bigint")
 

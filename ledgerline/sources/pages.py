@@ -39,11 +39,15 @@ def read_text_pages(spark: SparkSession, path: str, vendor: str, glob: str = "*.
         .withColumn("page_idx", c("page_idx").cast("int"))
 
 
-def read_vendor_folders(spark: SparkSession, folders: dict[str, str], glob: str = "*.txt") -> DataFrame:
-    """One folder per vendor, unioned; pass fewer folders for a subset run."""
+def read_vendor_folders(spark: SparkSession, folders: dict[str, str], glob: str | None = None) -> DataFrame:
+    """S4/S5 + P8/P9: one folder per vendor, unioned; pass fewer folders for a
+    subset run. Each vendor's file pattern comes from its registry entry
+    unless ``glob`` overrides it."""
+    from ..operators.vendors import REGISTRY
     out = None
     for vendor, path in folders.items():
-        df = read_text_pages(spark, path, vendor, glob)
+        pattern = glob or (REGISTRY[vendor].glob if vendor in REGISTRY else "*.txt")
+        df = read_text_pages(spark, path, vendor, pattern)
         out = df if out is None else out.unionByName(df)
     return out
 

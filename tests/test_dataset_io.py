@@ -71,3 +71,17 @@ def test_guards(spark, tmp_out):
         P.write_metadata(empty, os.path.join(tmp_out, "m"))
     with pytest.raises(ValueError, match="vendor"):
         P.read_text_pages(spark, tmp_out, "")
+
+
+def test_build_from_folders_uses_registry_glob(spark, tmp_out):
+    root = os.path.join(tmp_out, "telecom", "2023")
+    os.makedirs(root)
+    p0 = "Customer 123456789 residential\nInvoice Date June 10, 2023\nAmount Due $10.00\n"
+    p1 = "Page 2 Of 2\nOutstanding Balance $1.00\nTOTAL INTERNET $7.00\nGST 5% $1.00\nMB PST 7% $1.00\n"
+    with open(os.path.join(root, "bill.txt"), "w") as f:
+        f.write(p0 + "\f" + p1)
+    with open(os.path.join(root, "bill.pdf"), "w") as f:
+        f.write("binary")
+    b = B.build_from_folders(spark, {"telecom": os.path.join(tmp_out, "telecom")})
+    assert b.verdicts.count() == 1 and b.verdicts.first()["ok"]
+    assert b.metadata.count() == 2

@@ -77,3 +77,20 @@ def test_user_extractor_with_pandas(spark):
     got = sorted((r["page_idx"], r["pn"]) for r in recs.collect())
     assert got == [(0, 1), (1, 2)]
     assert R.file_verdicts(recs).first()["ok"]
+
+
+def test_hot_file_goes_through_partial_aggregation(spark):
+    """One file holding a third of all pages: verdicts come from map-side
+    partial aggregation (no collected group) and count every page."""
+    n = 30000
+    df = spark.range(n).select(
+        F.lit("utility").alias("vendor"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot.pdf")).otherwise(F.concat(F.lit("f"), (F.col("id") % 1000).cast("string"))).alias("file"),
+        F.col("id").cast("int").alias("page_idx"),
+        F.lit("2 / 2\nConsumption history\n").alias("text"))
+    recs = V.extract_records(df, ["utility"])
+    v = R.file_verdicts(recs)
+    plan = v._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan or "partial_" in plan
+    hot = v.filter(F.col("file") == "hot.pdf").first()
+    assert hot["n_pages"] == n // 3 and hot["n_records"] == n // 3
