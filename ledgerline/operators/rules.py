@@ -61,15 +61,29 @@ def page_reasons(records: DataFrame) -> DataFrame:
     return records.withColumn("page_reasons", _reason_list(flags))
 
 
-def split_accepted(records: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_accepted(records: DataFrame, verdicts: DataFrame,
+                   rows_per_split: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(accepted page records, rejected page records with file reasons).
 
-    Joined on (vendor, file); the verdict side is one small row per file.
-    AQE picks broadcast only when the measured verdict size is under its
-    runtime threshold, otherwise sort-merge with skew splitting.
+    Joined on (vendor, file, salt). A file with more than ``rows_per_split``
+    pages is split: its pages take salt ``page_idx % n_salt`` and its one
+    verdict row is repeated once per salt, so no join task receives more
+    than about ``rows_per_split`` pages of one file. Other files keep salt 0
+    and pay nothing extra. The hot-file list is broadcast: it has at most
+    (total pages / rows_per_split) rows, a bound that holds whatever the
+    data. The verdict side itself is broadcast only when Spark's size check
+    (static estimate or AQE's measured size) passes; otherwise sort-merge.
     """
-    j = records.filter(c("kept")).join(verdicts.select("vendor", "file", "reasons", "ok"),
-                                       ["vendor", "file"])
+    hot = verdicts.filter(c("n_pages") > rows_per_split).select(
+        "vendor", "file", F.ceil(c("n_pages") / F.lit(rows_per_split)).cast("int").alias("n_salt"))
+    rec = records.filter(c("kept")).join(F.broadcast(hot), ["vendor", "file"], "left") \
+        .withColumn("_salt", F.when(c("n_salt").isNull(), F.lit(0)).otherwise(F.pmod(c("page_idx"), c("n_salt")))) \
+        .drop("n_salt")
+    ver = verdicts.select("vendor", "file", "reasons", "ok").join(F.broadcast(hot), ["vendor", "file"], "left") \
+        .withColumn("_salt", F.explode(F.when(c("n_salt").isNull(), F.array(F.lit(0)))
+                                       .otherwise(F.sequence(F.lit(0), c("n_salt") - 1)))) \
+        .drop("n_salt")
+    j = rec.join(ver, ["vendor", "file", "_salt"]).drop("_salt")
     return j.filter(c("ok")).drop("reasons", "ok"), j.filter(~c("ok")).drop("ok")
 
 

@@ -81,7 +81,7 @@ def materialize(df, name: str = "tbl"):
 
 
 _MEMO: dict[tuple, str] = {}
-MEMO_CONF = "ledgerline.memo.enabled"
+MEMO_CONF = "spark.ledgerline.memo.enabled"
 
 
 def memo_table(spark: SparkSession, key: tuple, build, must_materialize: bool = False):
@@ -90,7 +90,7 @@ def memo_table(spark: SparkSession, key: tuple, build, must_materialize: bool =
     ``build()`` returns the DataFrame to prepare; its parquet copy in the
     shared checkpoint folder serves every later request for the same key
     (e.g. the page records of one data folder). Turned off with
-    ``ledgerline.memo.enabled=false`` (the bench times every query cold):
+    ``spark.ledgerline.memo.enabled=false`` (the bench times every query cold):
     then the plan is returned as is, or written once when the caller reads
     it twice (``must_materialize``).
     """

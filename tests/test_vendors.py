@@ -94,3 +94,23 @@ def test_hot_file_goes_through_partial_aggregation(spark):
     assert "partial_count" in plan or "partial_" in plan
     hot = v.filter(F.col("file") == "hot.pdf").first()
     assert hot["n_pages"] == n // 3 and hot["n_records"] == n // 3
+
+
+def test_hot_file_join_is_salted(spark):
+    """A file above the split budget is spread over several join keys and
+    the accepted rows equal the plain join's."""
+    from ledgerline.session import materialize
+    n = 9000
+    df = spark.range(n).select(
+        F.lit("utility").alias("vendor"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot.pdf")).otherwise(F.concat(F.lit("f"), (F.col("id") % 100).cast("string"))).alias("file"),
+        F.col("id").cast("int").alias("page_idx"),
+        F.lit("2 / 2\nConsumption history\n").alias("text"))
+    recs = materialize(V.extract_records(df, ["utility"]), "hot")
+    ver = R.file_verdicts(recs)
+    salted, rejected = R.split_accepted(recs, ver, rows_per_split=500)
+    plain = recs.filter("kept").join(ver.filter("ok").select("vendor", "file"), ["vendor", "file"], "left_semi")
+    assert salted.count() + rejected.count() == n
+    assert rejected.filter(F.col("file") == "hot.pdf").count() == n // 3  # page 0 lacks its amounts
+    assert salted.select("vendor", "file", "page_idx").exceptAll(plain.select("vendor", "file", "page_idx")).count() == 0
+    assert plain.select("vendor", "file", "page_idx").exceptAll(salted.select("vendor", "file", "page_idx")).count() == 0
