@@ -65,6 +65,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def _write_table(df, name: str) -> str:
+    import uuid
+
+    path = ensure_checkpoint_dir(df.sparkSession).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
 def materialize(df, name: str = "tbl"):
     """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
 
@@ -72,12 +80,7 @@ def materialize(df, name: str = "tbl"):
     eager RDD checkpoint of an unpersisted plan runs it twice), and later
     reads get column pruning and filter pushdown on the written table.
     """
-    import uuid
-
-    spark = df.sparkSession
-    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(_write_table(df, name))
 
 
 _MEMO: dict[tuple, str] = {}
@@ -89,17 +92,16 @@ def memo_table(spark: SparkSession, key: tuple, build, must_materialize: bool =
 
     ``build()`` returns the DataFrame to prepare; its parquet copy in the
     shared checkpoint folder serves every later request for the same key
-    (e.g. the page records of one data folder). Turned off with
-    ``spark.ledgerline.memo.enabled=false`` (the bench times every query cold):
-    then the plan is returned as is, or written once when the caller reads
-    it twice (``must_materialize``).
+    (e.g. the page records of one data folder) within the application.
+    Turned off with ``spark.ledgerline.memo.enabled=false`` (the bench times
+    every query cold): then the plan is returned as is, or written once when
+    the caller reads it twice (``must_materialize``).
     """
     if spark.conf.get(MEMO_CONF, "true").lower() != "true":
         return materialize(build(), key[0]) if must_materialize else build()
     full = (spark.sparkContext.applicationId,) + tuple(key)
     path = _MEMO.get(full)
-    if path is not None and os.path.exists(path.replace("file:", "")):
-        return spark.read.parquet(path)
-    df = materialize(build(), key[0])
-    _MEMO[full] = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
-    return df
+    if path is None:
+        path = _write_table(build(), key[0])
+        _MEMO[full] = path
+    return spark.read.parquet(path)
