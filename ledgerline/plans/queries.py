@@ -205,12 +205,30 @@ def x_default_zero(spark, sf):
 @query("x_negative_documents", """
 SELECT doc_id, CAST(0 AS INTEGER) AS n_fields FROM documents""")
 def x_negative_documents(spark, sf):
-    """Every pattern over every whole document text: none may match or fail."""
+    """Every label-anchored pattern over every whole document text: none may match or fail."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    pats = [V.DEP_PERIOD, V.DEP_ACCOUNT, V.DEP_OPENING, V.CC_PERIOD_FULL, V.CC_PREVIOUS, V.CC_NEW,
-            V.UT_PREVIOUS, V.UT_DUE, V.UT_BILL_DATE, V.TC_DUE, V.TC_INTERNET, V.CC_PAGE, V.TC_PAGE]
-    n = sum((X.rx("text", p, 1).isNotNull().cast("int") for p in pats), F.lit(0))
-    return docs.select("doc_id", n.cast("int").alias("n_fields"))
+    return docs.select("doc_id", _anchored_matches("text").alias("n_fields"))
+
+
+# Label-anchored statement patterns (the generic date / number sub-patterns
+# are only ever applied to text an anchored pattern already extracted).
+_ANCHORED = ["DEP_PERIOD", "DEP_ACCOUNT", "DEP_OPENING", "DEP_CLOSING", "DEP_DEPOSITS", "DEP_WITHDRAWALS",
+             "CC_PERIOD_FULL", "CC_PERIOD_SHORT", "CC_PREVIOUS", "CC_PAYMENTS", "CC_PURCHASES", "CC_NEW",
+             "CC_CASH", "CC_INTEREST", "CC_FEES", "UT_PREVIOUS", "UT_ELECTRICITY", "UT_EPP", "UT_DUE",
+             "UT_BILL_DATE", "TC_INVOICE_DATE", "TC_DUE", "TC_PREVIOUS", "TC_INTERNET", "TC_GST", "TC_PST",
+             "CC_PAGE", "TC_PAGE"]
+
+
+def _anchored_matches(text: str) -> Column:
+    return sum((X.rx(text, getattr(V, p), 1).isNotNull().cast("int") for p in _ANCHORED), F.lit(0)).cast("int")
+
+
+@query("x_negative_pages", """
+SELECT page_id, CAST(0 AS INTEGER) AS n_fields FROM pages""")
+def x_negative_pages(spark, sf):
+    """Every label-anchored pattern over every raw web page (whole HTML): none may match or fail."""
+    pages = table(spark, sf, "pages").select("page_id", "html")
+    return pages.select("page_id", _anchored_matches("html").alias("n_fields"))
 
 
 # =========================================================== P: page extractors
