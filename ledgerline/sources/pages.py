@@ -77,13 +77,18 @@ def read_documents(spark: SparkSession, path: str, glob: str = "*.json") -> Data
         .withColumn("page_idx", c("page_idx").cast("int"))
 
 
-def write_metadata(meta: DataFrame, path: str) -> None:
+def write_metadata(meta: DataFrame, path: str, only_written_splits: bool = False) -> None:
     """JSON lines (file_name, ground_truth) under split=train / split=validation.
 
-    Overwrite replaces the previous build (no own recursive delete); an
-    empty result is refused before anything is replaced (V10)."""
+    Overwrite replaces the previous build (no own recursive delete); with
+    ``only_written_splits`` only the split folders present in ``meta`` are
+    replaced (dynamic partition overwrite). An empty result is refused
+    before anything is replaced (V10)."""
     nonempty_guard(meta, "metadata")
-    meta.select("split", "file_name", "ground_truth").write.mode("overwrite").partitionBy("split").json(path)
+    w = meta.select("split", "file_name", "ground_truth").write.mode("overwrite")
+    if only_written_splits:
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.partitionBy("split").json(path)
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:

@@ -85,3 +85,14 @@ def test_build_from_folders_uses_registry_glob(spark, tmp_out):
     b = B.build_from_folders(spark, {"telecom": os.path.join(tmp_out, "telecom")})
     assert b.verdicts.count() == 1 and b.verdicts.first()["ok"]
     assert b.metadata.count() == 2
+
+
+def test_partial_rewrite_keeps_other_split(spark, tmp_out):
+    b = B.build(spark, SF_SMALL, ["credit"])
+    out = os.path.join(tmp_out, "meta2")
+    P.write_metadata(b.metadata, out)
+    n_train = P.read_metadata(spark, out, "train").count()
+    P.write_metadata(b.metadata.filter("split = 'validation'"), out, only_written_splits=True)
+    assert P.read_metadata(spark, out, "train").count() == n_train
+    P.write_metadata(b.metadata.filter("split = 'validation'"), out)
+    assert P.read_metadata(spark, out, "train").count() == 0
