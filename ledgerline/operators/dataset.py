@@ -91,6 +91,9 @@ def shuffle_key(id_col: Column, epoch: Column | int, seed: int = 42) -> Column:
 def global_index(df: DataFrame, order: list[Column], name: str = "row_idx") -> DataFrame:
     """0-based position of every row in ``order``, without a one-task window.
 
+    ``order`` must be unique per row (add key columns as tie-breaks); with
+    ties, rows that compare equal may take either position.
+
     The frame is range-partitioned and sorted (distributed), written once to
     the checkpoint folder so the ids are fixed, and each row gets its
     partition's offset (a running sum over one count per partition, a table

@@ -120,13 +120,15 @@ def d_batches(spark, sf):
 
 @query("d_shuffle", TW + """
 SELECT e.epoch, file, page_idx,
-  row_number() OVER (PARTITION BY e.epoch ORDER BY md5(CAST(doc_key AS VARCHAR) || '|' || CAST(e.epoch AS VARCHAR) || '|42')) - 1 AS position
+  row_number() OVER (PARTITION BY e.epoch ORDER BY
+    md5(file || '#' || CAST(page_idx AS VARCHAR) || '|' || CAST(e.epoch AS VARCHAR) || '|42'), file, page_idx) - 1 AS position
 FROM targets, (SELECT range AS epoch FROM range(3)) e WHERE split = 'train'""")
 def d_shuffle(spark, sf):
     """Per-epoch order of the training rows (3 epochs), positions from a global index."""
-    tr = B.targets(spark, sf).filter(c("split") == "train").select("file", "page_idx", "doc_key")
+    tr = B.targets(spark, sf).filter(c("split") == "train").select("file", "page_idx")
     ep = tr.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    idx = D.global_index(ep, [c("epoch"), D.shuffle_key(c("doc_key"), c("epoch"))])
+    # The page key is unique (a 32-bit hash is not), so the order has no ties.
+    idx = D.global_index(ep, [c("epoch"), D.shuffle_key(D.page_key(), c("epoch")), c("file"), c("page_idx")])
     # Epoch start offsets: one row per epoch (a bounded table), broadcast back.
     starts = idx.groupBy("epoch").agg(F.min("row_idx").alias("_start"))
     out = idx.join(F.broadcast(starts), "epoch")
