@@ -332,18 +332,20 @@ def extract_with_pandas(pages: DataFrame, fn: Callable, tag: str, doc_type: str,
 
     def per_file(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("page_idx")
-        recs = fn(list(pdf["text"]))
-        n = min(len(recs), len(pdf))
+        recs = list(fn(list(pdf["text"])))
+        # One record per page, as the target format requires; any other count
+        # keeps no record for the file, so V8 (page_count) rejects it.
+        ok = len(recs) == len(pdf)
         return pd.DataFrame({
-            "vendor": pdf["vendor"].iloc[:n].values,
-            "file": pdf["file"].iloc[:n].values,
-            "page_idx": pdf["page_idx"].iloc[:n].values,
-            "rec": [json.dumps(r, default=str) for r in recs[:n]],
+            "vendor": pdf["vendor"].values,
+            "file": pdf["file"].values,
+            "page_idx": pdf["page_idx"].values,
+            "rec": [json.dumps(r, default=str) for r in recs] if ok else [None] * len(pdf),
         })
 
     out = pages.filter(F.col("vendor") == tag).groupBy("file").applyInPandas(
         per_file, "vendor string, file string, page_idx int, rec string")
     parsed = out.select("vendor", "file", "page_idx",
                         F.from_json("rec", T.StructType(RECORD_SCHEMA.fields)).alias("r"))
-    df = parsed.select("vendor", "file", "page_idx", "r.*").withColumn("kept", F.lit(True))
+    df = parsed.select("vendor", "file", "page_idx", "r.*", F.col("r").isNotNull().alias("kept"))
     return _conform(df, Extractor(tag, doc_type, vendor_name, lambda d: d))

@@ -114,3 +114,10 @@ def test_hot_file_join_is_salted(spark):
     assert rejected.filter(F.col("file") == "hot.pdf").count() == n // 3  # page 0 lacks its amounts
     assert salted.select("vendor", "file", "page_idx").exceptAll(plain.select("vendor", "file", "page_idx")).count() == 0
     assert plain.select("vendor", "file", "page_idx").exceptAll(salted.select("vendor", "file", "page_idx")).count() == 0
+
+
+def test_user_extractor_wrong_count_rejects_file(spark):
+    pages = pages_df(spark, [("custom", "c.pdf", 0, "a"), ("custom", "c.pdf", 1, "b")])
+    recs = V.extract_with_pandas(pages, lambda texts: [{"pn": 1}], "custom", "Bill", "Test")
+    v = R.file_verdicts(recs).first()
+    assert not v["ok"] and "page_count" in v["reasons"]
