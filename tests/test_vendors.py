@@ -121,3 +121,24 @@ def test_user_extractor_wrong_count_rejects_file(spark):
     recs = V.extract_with_pandas(pages, lambda texts: [{"pn": 1}], "custom", "Bill", "Test")
     v = R.file_verdicts(recs).first()
     assert not v["ok"] and "page_count" in v["reasons"]
+
+
+def test_credit_info_page_first_does_not_fail(spark):
+    info = "IMPORTANT INFORMATION ABOUT YOUR ACCOUNT\n"
+    p1 = ("STATEMENT FROM DEC 22, 2020 TO JAN 21, 2021\n1 OF 2\n4512 12** **** 0899\n"
+          "Previous Statement Balance $10.00\nPayments & credits -$5.00\nPurchases & debits $2.00\n"
+          "Cash advances $0.00\nInterest $1.00\nFees $0.00\nNEW BALANCE $8.00\n")
+    recs = V.extract_records(pages_df(spark, [("credit", "c.pdf", 0, info), ("credit", "c.pdf", 1, p1)]), ["credit"])
+    rows = {r["page_idx"]: r for r in recs.collect()}
+    assert rows[0]["is_info"] and rows[0]["pn"] is None
+    assert rows[1]["an"] == "4512120899" and str(rows[1]["nb"]) == "8.00"
+    assert R.file_verdicts(recs).first()["ok"]
+
+
+def test_page_reasons_and_reason_rows(spark):
+    p0 = BANK_P0.replace("= $3,000.00", "= $3,000.01")
+    recs = V.extract_records(pages_df(spark, [("bank", "a.pdf", 0, p0), ("bank", "a.pdf", 1, BANK_P1)]), ["bank"])
+    per_page = {r["page_idx"]: r["page_reasons"] for r in R.page_reasons(recs).collect()}
+    assert per_page == {0: "balance_mismatch", 1: ""}
+    rows = R.reasons_table(R.file_verdicts(recs)).collect()
+    assert [(r["file"], r["reason"]) for r in rows] == [("a.pdf", "balance_mismatch")]
