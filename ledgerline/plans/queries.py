@@ -331,12 +331,17 @@ SELECT file, an AS account, {_dbl('ob_x')} AS opening, {_dbl('td_x')} AS deposit
   NOT (r_balance_mismatch OR r_missing_field OR r_page_count) AS ok
 FROM bank_t""")
 def bank_reconcile(spark, sf):
-    """Flagship: chequing pages -> fields -> V1 -> one row per statement."""
-    first = c("page_idx") == 0
-    extra = [F.max(F.when(first, c("an"))).alias("account")] + [
-        F.max(F.when(first, c(x))).alias(n) for x, n in
-        [("ob", "opening"), ("td", "deposits"), ("tw", "withdrawals"), ("cb", "closing")]]
-    v = _verdicts(spark, sf, ["bank"], extra)
+    """Flagship: chequing pages -> fields -> V1 -> one row per statement.
+
+    File verdicts come from the hash aggregation over the page records
+    (written once); the statement's page-0 fields join them one to one on
+    (vendor, file), so neither side can be skewed."""
+    from .build import build
+    b = build(spark, sf, ["bank"])
+    first = b.records.filter(c("page_idx") == 0).select(
+        "vendor", "file", c("an").alias("account"),
+        *[c(x).alias(n) for x, n in [("ob", "opening"), ("td", "deposits"), ("tw", "withdrawals"), ("cb", "closing")]])
+    v = first.join(b.verdicts.select("vendor", "file", "ok"), ["vendor", "file"])
     bal = F.coalesce(c("opening") + c("deposits") - c("withdrawals") == c("closing"), F.lit(False))
     return v.select("file", "account", *[c(n).cast("double").alias(n) for n in
                                          ["opening", "deposits", "withdrawals", "closing"]],
