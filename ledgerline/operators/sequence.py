@@ -98,7 +98,10 @@ def label_ids(seq: Column, max_length: int = MAX_LENGTH, char_base: int = 1000)
     so the lookup is a per-row expression: no join, no shuffle.
     """
     voc = F.create_map(*[x for i, t in enumerate(vocabulary()) for x in (F.lit(t), F.lit(i))])
-    ids = F.transform(tokens(seq), lambda t: F.coalesce(F.try_element_at(voc, t), F.ascii(t) + F.lit(char_base)))
+    # Single characters never need the map (tags are longer), so only tag
+    # tokens pay for the lookup.
+    ids = F.transform(tokens(seq), lambda t: F.when(F.length(t) == 1, F.ascii(t) + F.lit(char_base))
+                      .otherwise(F.coalesce(F.try_element_at(voc, t), F.ascii(t) + F.lit(char_base))))
     ids = F.slice(ids, 1, max_length)
     pad = F.array_repeat(F.lit(IGNORE_ID), F.greatest(F.lit(0), F.lit(max_length) - F.size(ids)))
     return F.concat(ids, pad)
