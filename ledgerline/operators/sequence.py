@@ -72,6 +72,12 @@ def vocabulary() -> list[str]:
     return toks
 
 
+def name_vocabulary() -> list[str]:
+    """T5 as the format's own vocabulary step builds it: from the logical field
+    *names* (e.g. <s_pageNumber>), which the sequences never contain."""
+    return [t for name in FIELD_CODES for t in (f"<s_{name}>", f"</s_{name}>")]
+
+
 def vocabulary_df(spark) -> DataFrame:
     rows = [(t, i) for i, t in enumerate(vocabulary())]
     return spark.createDataFrame(rows, "token string, token_id int")

@@ -497,3 +497,21 @@ def d_row_at(spark, sf):
     row = D.row_at(val, [c("doc_key"), c("file"), c("page_idx")], 7)
     labels = F.slice(S.label_ids(c("sequence")), 1, 30)
     return row.select("file", "page_idx", F.array_join(labels.cast("array<string>"), ",").alias("first_labels"))
+
+
+_NAME_VOCAB_SQL = "[" + ", ".join(f"'{t}'" for t in S.name_vocabulary()) + "]"
+
+
+@query("t_vocab_names", TW + f""",
+used AS (SELECT DISTINCT unnest({_TAGS_SQL}) AS token FROM targets),
+names AS (SELECT unnest({_NAME_VOCAB_SQL}) AS token)
+SELECT token, 'a' AS side FROM used WHERE token NOT IN (SELECT token FROM names)
+UNION ALL
+SELECT token, 'b' AS side FROM names WHERE token NOT IN (SELECT token FROM used)""")
+def t_vocab_names(spark, sf):
+    """T5 coverage: tags the targets use ('a') vs a vocabulary built from field
+    names ('b'); only fields whose name equals their code overlap."""
+    used = B.targets(spark, sf).select(
+        F.explode(F.regexp_extract_all("sequence", F.lit(r"</?s_[A-Za-z0-9_]+>"), 0)).alias("token")).distinct()
+    names = spark.createDataFrame([(t,) for t in S.name_vocabulary()], "token string")
+    return C.multiset_diff(used, F.broadcast(names))
