@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.session import ensure_checkpoint_dir, materialize
 
-__all__ = ["ascii_lower", "chunk_bits", "materialize", "row_batches", "running_sum", "shared_path", "text_words", "word_count"]
+__all__ = ["ascii_lower", "chunk_bits", "materialize", "row_batches", "row_key", "running_sum", "shared_path", "text_words",
+           "whole_row", "word_count"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 STRIP_CHARS = " \t\n\x0b\x0c\r"
@@ -62,3 +63,13 @@ def running_sum(df: DataFrame, part: list[str], chunk: str, order: list[str], va
     on = [rows[k].eqNullSafe(totals[k]) for k in [*part, chunk]]
     keep = [rows[c] for c in df.columns]
     return rows.join(totals, on).select(*keep, (F.col("_base") + F.col("_within")).alias(out))
+
+
+def whole_row(docs: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """A row's columns as one struct ``_doc``: whatever their names, none clashes with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in without]).alias("_doc")
+
+
+def row_key(id_col: Column, body: Column) -> Column:
+    """Key of a document by id and XXH64 of its text, never null; alike for rows that repeat."""
+    return F.concat_ws(":", F.coalesce(id_col.cast("string"), F.lit("-")), body.cast("string")).alias("_key")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunk_bits, materialize, running_sum, word_count
+from .common import chunk_bits, materialize, row_key, running_sum, whole_row, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -34,11 +34,11 @@ POINT_STEP = 663608941
 CELL_BITS = 10  # cells of the unit interval by which points find their source
 
 
-def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Narrow table of documents: id, source, size in words, shuffled order."""
+def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, body: str | None = None) -> DataFrame:
+    """Narrow table of documents: id, body (XXH64 of the text), source, size in words, shuffled order."""
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                       word_count(F.col(text_col)).alias("size"), order.alias("ord"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), (F.col(body) if body else F.xxhash64(text_col)).alias("body"),
+                       F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("ord"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -96,7 +96,7 @@ def place(sized: DataFrame) -> DataFrame:
     """``sized`` with ``start``: a row's offset in words in the shuffled stream of its source."""
     bits = chunk_bits(sized.count())
     chunk = F.shiftright(F.conv(F.substring("ord", 1, 8), 16, 10).cast("long"), 32 - bits)
-    return running_sum(sized.withColumn("chunk", chunk), ["source"], "chunk", ["ord", "id", "size"], "size",
+    return running_sum(sized.withColumn("chunk", chunk), ["source"], "chunk", ["ord", "id", "size", "body"], "size",
                        "start").drop("ord", "chunk")
 
 
@@ -115,13 +115,13 @@ def blocks(placed: DataFrame, plan: DataFrame, block: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+        block: int = BLOCK_WORDS, body: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(schedule, documents).
 
     schedule: slot, pos, source, id, from_word, taken_words; read in (slot, pos) order it is the mix.
-    documents: id, size, source_size, target, taken; a row for each row of ``docs``.
+    documents: id, body, source, size, source_size, target, taken; a row for each row of ``docs``.
     """
-    sized = materialize(sizes(docs, id_col, text_col, source_col), "mix-sizes")
+    sized = materialize(sizes(docs, id_col, text_col, source_col, body), "mix-sizes")
     plan = materialize(targets(sized), "mix-targets")
     placed = materialize(place(sized), "mix-placed")
     s = slots(plan, block).select(F.col("source").alias("s"), F.col("rank").alias("r"), "slot")
@@ -133,5 +133,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = placed.join(taken, [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in key], "left")
     p = plan.select(F.col("source").alias("s"), "source_size", "target")
     rows = rows.join(p, F.col("source").eqNullSafe(F.col("s")))
-    return schedule, rows.select(F.col("id").alias(id_col), "size", "source_size", "target",
-                                 F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    return schedule, rows.select(F.col("id").alias(id_col), "body", F.col("source").alias(source_col), "size", "source_size",
+                                 "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    block: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with size, source_size, target and taken added (or replaced)."""
+    own = ("size", "source_size", "target", "taken")
+    key = row_key(F.col(id_col).cast("long"), F.xxhash64(text_col, source_col))
+    taken = mix(docs.withColumn("_both", F.xxhash64(text_col, source_col)), id_col, text_col, source_col, block, body="_both")[1]
+    facts = F.struct("taken", *own[:3])
+    taken = taken.groupBy(row_key(F.col(id_col), F.col("body"))).agg(F.sort_array(F.collect_list(facts), asc=False).alias("_facts"))
+    rows = docs.select(key, whole_row(docs, own)).join(taken, "_key")
+    # rows that repeat share a key: the n-th row has the n-th take
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    rows = rows.withColumn("_fact", F.element_at("_facts", nth)).where("_fact.taken > 0")
+    return rows.select("_doc.*", *[F.col(f"_fact.{c}").alias(c) for c in own])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, url_filter
+from . import decontaminate, language_id, line_dedup, mixing, simhash, url_filter
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -15,7 +15,7 @@ def _read(spark, sf_dir, name):
 
 
 def op3_mixing(spark, sf_dir):
-    return mixing.mix(_read(spark, sf_dir, "documents"))[1]
+    return mixing.mix(_read(spark, sf_dir, "documents"))[1].drop("body", "source")
 
 
 def op5_url_filter(spark, sf_dir):
@@ -24,11 +24,35 @@ def op5_url_filter(spark, sf_dir):
 
 
 def op6_line_dedup(spark, sf_dir):
-    out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup}
+def op8_simhash(spark, sf_dir):
+    out = simhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, max_distance=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _fold(id_col: str, folds: int):
+    """crc32 of the id as text, modulo ``folds``; null for a null id."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+
+
+def op9_language_id(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(_fold("doc_id", 4) == 2, F.lit(False))
+    model = language_id.train(docs.where(~held_out))
+    told = language_id.predict(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_decontamination(spark, sf_dir):
+    found = decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.drop("body")
+
+
+QUERIES = {"op3_mixing": op3_mixing, "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup,
+           "op8_simhash": op8_simhash, "op9_language_id": op9_language_id, "op10_decontamination": op10_decontamination}
 
 ORACLE = {
     "op3_mixing": r"""
