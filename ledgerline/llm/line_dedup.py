@@ -10,7 +10,7 @@ A line's key is the line without white space at its ends, A-Z lower-cased; keys
 ``MIN_KEY`` code points are never dropped. The key's hash has 128 bits (two XXH64 of the key).
 Every other key found in two or more documents stays only in the smallest doc_id holding it.
 
-Defined results: a null or empty text is one empty line; a null doc_id counts as one document
+Defined results: a null or empty text is one empty line (a null text stays null); a null doc_id counts as one document
 after all others; rows that repeat a doc_id are the same document, and each keeps or drops
 its lines alike; an empty table gives no rows.
 """
@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import STRIP_CHARS, ascii_lower, materialize, shared_path
+from .common import STRIP_CHARS, ascii_lower, materialize, row_key, shared_path, whole_row
 
 MIN_KEY = 10
 BATCHES = 4
@@ -75,7 +75,7 @@ class Runs:
 
 def hashed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, body, pos, h1, h2) of every line whose key counts; ``body`` tells rows of one id apart."""
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body"),
+    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("body"),
                         F.posexplode(split_lines(F.col(text_col))).alias("pos", "line"))
     lines = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= MIN_KEY)
     return lines.select("id", "body", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("2"), "key").alias("h2"))
@@ -97,26 +97,24 @@ def owners(lines: DataFrame, n_batches: int, fanout: int = FANOUT) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_batches: int = BATCHES) -> DataFrame:
-    """(id, text, n_lines, n_dropped) for every row of ``docs``: its lines that stay, joined by a line feed."""
+    """``docs`` with the text's lines that stay, joined by a line feed; n_lines and n_dropped are added (or replaced)."""
     # equal batches by id; the bounds are approximate quantiles, the batches any split in order of id
     parts = [i / n_batches for i in range(1, n_batches)]
     cuts = docs.agg(F.percentile_approx(id_col, parts, 1000).alias("c")).first()["c"] or []
     batch = F.lit(0)
     for c in cuts:
         batch = batch + (F.coalesce(F.col("id") > F.lit(c), F.lit(True))).cast("int")
-    lines = hashed_lines(docs, id_col, text_col).withColumn("batch", batch)
     path = shared_path(docs.sparkSession, "lines")
-    lines.write.partitionBy("batch").parquet(path)
+    hashed_lines(docs, id_col, text_col).withColumn("batch", batch).write.partitionBy("batch").parquet(path)
     lines = docs.sparkSession.read.schema("id long, body long, pos int, h1 long, h2 long, batch int").parquet(path)
     owner = owners(lines, n_batches)
     drops = lines.join(owner, HASH).where(~F.col("id").eqNullSafe(F.col("owner.id")))
-    drops = drops.groupBy(F.col("id").alias("_id"), F.col("body").alias("_body")).agg(F.collect_set("pos").alias("_drop"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("body"))
-    rows = rows.join(drops, F.col("id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body")), "left")
-    parts_of = split_lines(F.col("text"))
+    drops = drops.groupBy(row_key(F.col("id"), F.col("body"))).agg(F.collect_set("pos").alias("_drop"))
+    own = (text_col, "n_lines", "n_dropped")
+    rows = docs.select(row_key(F.col(id_col).cast("long"), F.xxhash64(text_col)), F.col(text_col).alias("_text"), whole_row(docs, own))
+    rows = rows.join(drops, "_key", "left").withColumn("_lines", split_lines(F.col("_text")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
-    kept = F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(
+    kept = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
-    rows = rows.withColumn("_lines", parts_of)
-    return rows.select(F.col("id").alias(id_col), kept.alias(text_col), F.size("_lines").cast("long").alias("n_lines"),
+    return rows.select("_doc.*", kept.alias(text_col), F.size("_lines").cast("long").alias("n_lines"),
                        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
