@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, mixing, simhash, url_filter
+from . import decontaminate, language_id, language_model, line_dedup, mixing, simhash, url_filter
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -14,6 +14,11 @@ def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(id_col: str, folds: int):
+    """crc32 of the id as text, modulo ``folds``; null for a null id."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+
+
 def op3_mixing(spark, sf_dir):
     return mixing.mix(_read(spark, sf_dir, "documents"))[1].drop("body", "source")
 
@@ -28,16 +33,18 @@ def op6_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_language_model(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(_fold("doc_id", 5) == 1, F.lit(False))
+    out = language_model.score(docs, ~held_out)
+    return out.withColumn("held_out", ~F.col("trained")).drop("trained")
+
+
 def op8_simhash(spark, sf_dir):
     out = simhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, max_distance=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _fold(id_col: str, folds: int):
-    """crc32 of the id as text, modulo ``folds``; null for a null id."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
-
-
 def op9_language_id(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     held_out = F.coalesce(_fold("doc_id", 4) == 2, F.lit(False))
@@ -52,7 +59,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {"op3_mixing": op3_mixing, "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup,
-           "op8_simhash": op8_simhash, "op9_language_id": op9_language_id, "op10_decontamination": op10_decontamination}
+           "op7_language_model": op7_language_model, "op8_simhash": op8_simhash, "op9_language_id": op9_language_id, "op10_decontamination": op10_decontamination}
 
 ORACLE = {
     "op3_mixing": r"""
