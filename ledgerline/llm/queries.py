@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, language_model, line_dedup, mixing, simhash, url_filter
+from . import decontaminate, html_extract, knn, language_id, language_model, line_dedup, mixing, simhash, url_filter, warc
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -14,6 +14,19 @@ def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_knn(spark, sf_dir):
+    return knn.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op2_warc(spark, sf_dir):
+    index = warc.write_archives(_read(spark, sf_dir, "pages"))
+    return warc.read_records(index)
+
+
+def op4_html_extract(spark, sf_dir):
+    return html_extract.extract_pages(_read(spark, sf_dir, "pages"))
+
+
 def _fold(id_col: str, folds: int):
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
@@ -58,10 +71,18 @@ def op10_decontamination(spark, sf_dir):
     return found.drop("body")
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup,
+QUERIES = {"op1_knn": op1_knn, "op2_warc": op2_warc, "op3_mixing": op3_mixing, "op4_html_extract": op4_html_extract,
+           "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup,
            "op7_language_model": op7_language_model, "op8_simhash": op8_simhash, "op9_language_id": op9_language_id, "op10_decontamination": op10_decontamination}
 
 ORACLE = {
+    "op1_knn": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as x from embeddings
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.x, c.x) as bigint) as score
+      from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
+select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 5""",
     "op3_mixing": r"""
 with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
                   md5(coalesce(cast(doc_id as varchar), '')) as ord from documents),
