@@ -110,11 +110,13 @@ def date_pair(text, general: str, short: str) -> tuple[Column, Column]:
 
 
 def date_pair_shared_year(text, full: str, short_start: str, date_pat: str,
-                          start_pat: str) -> tuple[Column, Column]:
-    """Full dates on both sides, else the start takes the end's year."""
+                          start_pat: str, short_text=None) -> tuple[Column, Column]:
+    """Full dates on both sides, else the start takes the end's year.
+    ``short_text``: where the short form is searched, if not in ``text``."""
+    text, short_text = _col(text), _col(text if short_text is None else short_text)
     f_sd, f_ed = date_pair(text, full, date_pat)
-    s_ed = date3(rx(text, short_start, 2), date_pat)
-    s_sd = date2(rx(text, short_start, 1), start_pat, s_ed.getField("y"))
+    s_ed = date3(rx(short_text, short_start, 2), date_pat)
+    s_sd = date2(rx(short_text, short_start, 1), start_pat, s_ed.getField("y"))
     full_ok = rx(text, full, 1).isNotNull()
     return (F.when(full_ok, f_sd).otherwise(s_sd), F.when(full_ok, f_ed).otherwise(s_ed))
 

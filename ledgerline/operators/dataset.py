@@ -88,25 +88,64 @@ def shuffle_key(id_col: Column, epoch: Column | int, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", id_col.cast("string"), e.cast("string"), F.lit(str(seed))))
 
 
-def global_index(df: DataFrame, order: list[Column], name: str = "row_idx") -> DataFrame:
+class PositionIndex:
     """0-based position of every row in ``order``, without a one-task window.
 
-    ``order`` must be unique per row (add key columns as tie-breaks); with
-    ties, rows that compare equal may take either position.
-
-    The frame is range-partitioned and sorted (distributed), written once to
-    the checkpoint folder so the ids are fixed, and each row gets its
-    partition's offset (a running sum over one count per partition, a table
-    bounded by the partition count) plus its position inside the partition.
+    Only the order's columns are sorted: range-partitioned, sorted and written
+    once to the checkpoint folder, so that the positions are fixed. A key's
+    position is its partition's offset (a running sum over one count for each
+    partition) plus its place inside the partition; rows take theirs by a join
+    on the key. ``order`` must be unique per row (add key columns as tie-breaks).
     """
-    from ..session import materialize
-    sorted_df = materialize(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()), "index")
-    part = (F.col("_mid") / F.lit(1 << 33)).cast("bigint")
-    counts = sorted_df.groupBy(part.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = sorted_df.join(F.broadcast(offsets), part == c("_pid"))
-    return out.withColumn(name, c("_off") + c("_mid") - c("_first")).drop("_mid", "_pid", "_first", "_off")
+
+    def __init__(self, df: DataFrame, order: list[Column]):
+        from ..session import materialize
+        self.names = [f"_o{i}" for i in range(len(order))]
+        self.df = df.withColumns(dict(zip(self.names, order)))
+        keys = self.df.select(*self.names).orderBy(*self.names).withColumn("_mid", F.monotonically_increasing_id())
+        self.keys = materialize(keys, "index")
+        pid = F.shiftright("_mid", 33)
+        counts = self.keys.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+        w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        # one row for each partition
+        self.offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+
+    @property
+    def n_rows(self) -> int:
+        return self.offsets.agg(F.max(c("_off") + c("_n"))).first()[0] or 0
+
+    def positions(self, name: str) -> DataFrame:
+        placed = self.keys.withColumn("_pid", F.shiftright("_mid", 33)).join(self.offsets, "_pid")
+        return placed.select(*self.names, (c("_off") + c("_mid") - c("_first")).alias(name))
+
+    def attach(self, name: str = "row_idx", where: Column | None = None) -> DataFrame:
+        """The rows with their position; ``where`` picks positions before any row is touched."""
+        pos = self.positions(name)
+        pos = pos if where is None else pos.filter(where)
+        pos = pos.select(*[c(n).alias("p" + n) for n in self.names], name)
+        same = [c(n).eqNullSafe(c("p" + n)) for n in self.names]
+        return self.df.join(pos, same).drop(*self.names, *["p" + n for n in self.names])
+
+    def row(self, position: int, name: str = "row_idx") -> DataFrame:
+        """One row: its partition of keys is found by the offsets, its key picks it."""
+        off = self.offsets.filter((c("_off") <= position) & (c("_off") + c("_n") > position)).first()
+        if off is None:
+            return self.attach(name, F.lit(False))
+        key = self.keys.filter(c("_mid") == off["_first"] + position - off["_off"]).first()
+        same = [c(n).eqNullSafe(F.lit(key[n])) for n in self.names]
+        return self.df.filter(_all(same)).withColumn(name, F.lit(position).cast("bigint")).drop(*self.names)
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for x in conditions[1:]:
+        out = out & x
+    return out
+
+
+def global_index(df: DataFrame, order: list[Column], name: str = "row_idx") -> DataFrame:
+    """``df`` with the position of every row in ``order`` (see ``PositionIndex``)."""
+    return PositionIndex(df, order).attach(name)
 
 
 def batches(df: DataFrame, order: list[Column], batch_size: int = 1) -> DataFrame:
@@ -117,4 +156,4 @@ def batches(df: DataFrame, order: list[Column], batch_size: int = 1) -> DataFram
 
 def row_at(df: DataFrame, order: list[Column], position: int) -> DataFrame:
     """Random access by position."""
-    return global_index(df, order).filter(c("row_idx") == position)
+    return PositionIndex(df, order).row(position)

@@ -31,24 +31,30 @@ def file_verdicts(records: DataFrame, extra_aggs: list[Column] | None = None) ->
     """One row per file: vendor, file, n_pages, n_records, reasons, ok.
 
     V8 (records per file = pages per file) and V9 (a file yields records) are
-    file-level; the telecom cross-page balance (V4) compares page 1's new
-    balance with the sum of page 2's parts, both carried as aggregates.
+    file-level; a page that an extractor dropped is still a row here (not
+    kept), so both count source pages. The telecom cross-page balance (V4)
+    compares page 1's new balance with the sum of page 2's parts; both are
+    carried as minimum and maximum, so that each of several page 1s or page
+    2s must agree.
     """
     aggs = [F.count(F.lit(1)).alias("n_pages"),
             F.count_if(c("kept")).alias("n_records")]
     aggs += [F.bool_or(c(f"e_{r}")).alias(f"e_{r}") for r in PAGE_REASONS]
     aggs += [F.bool_or(c("xp_has_parts")).alias("xp_has_parts"),
-             F.max("xp_parts").alias("xp_parts"), F.max("xp_total").alias("xp_total")]
+             F.min("xp_parts").alias("xp_parts"), F.max("xp_parts").alias("xp_parts_max"),
+             F.min("xp_total").alias("xp_total"), F.max("xp_total").alias("xp_total_max")]
     extra = extra_aggs or []
     aggs += extra
     g = records.groupBy("vendor", "file").agg(*aggs)
     flags = {r: c(f"e_{r}") for r in PAGE_REASONS}
-    cross = F.coalesce(c("xp_has_parts") & (c("xp_parts") != c("xp_total")), F.lit(False))
+    differ = (c("xp_parts") != c("xp_total")) | (c("xp_parts_max") != c("xp_total")) | (c("xp_total_max") != c("xp_total"))
+    cross = F.coalesce(c("xp_has_parts") & differ, F.lit(False))
     flags["balance_mismatch"] = flags["balance_mismatch"] | cross
     flags["page_count"] = c("n_records") != c("n_pages")
     flags["empty_file"] = c("n_records") == 0
     reasons = _reason_list(flags)
-    internal = {"vendor", "file", "n_pages", "n_records", "xp_has_parts", "xp_parts", "xp_total"}
+    internal = {"vendor", "file", "n_pages", "n_records", "xp_has_parts", "xp_parts", "xp_total",
+                "xp_parts_max", "xp_total_max"}
     internal |= {f"e_{r}" for r in PAGE_REASONS}
     carried = [x for x in g.columns if x not in internal]
     return g.select("vendor", "file", "n_pages", "n_records", *carried, reasons.alias("reasons"),
@@ -69,17 +75,16 @@ def split_accepted(records: DataFrame, verdicts: DataFrame,
     pages is split: its pages take salt ``page_idx % n_salt`` and its one
     verdict row is repeated once per salt, so no join task receives more
     than about ``rows_per_split`` pages of one file. Other files keep salt 0
-    and pay nothing extra. The hot-file list is broadcast: it has at most
-    (total pages / rows_per_split) rows, a bound that holds whatever the
-    data. The verdict side itself is broadcast only when Spark's size check
-    (static estimate or AQE's measured size) passes; otherwise sort-merge.
+    and pay nothing extra. Neither the hot-file list nor the verdict side is
+    hinted: Spark broadcasts them only when its size check (static estimate
+    or AQE's measured size) passes; otherwise sort-merge.
     """
     hot = verdicts.filter(c("n_pages") > rows_per_split).select(
         "vendor", "file", F.ceil(c("n_pages") / F.lit(rows_per_split)).cast("int").alias("n_salt"))
-    rec = records.filter(c("kept")).join(F.broadcast(hot), ["vendor", "file"], "left") \
+    rec = records.filter(c("kept")).join(hot, ["vendor", "file"], "left") \
         .withColumn("_salt", F.when(c("n_salt").isNull(), F.lit(0)).otherwise(F.pmod(c("page_idx"), c("n_salt")))) \
         .drop("n_salt")
-    ver = verdicts.select("vendor", "file", "reasons", "ok").join(F.broadcast(hot), ["vendor", "file"], "left") \
+    ver = verdicts.select("vendor", "file", "reasons", "ok").join(hot, ["vendor", "file"], "left") \
         .withColumn("_salt", F.explode(F.when(c("n_salt").isNull(), F.array(F.lit(0)))
                                        .otherwise(F.sequence(F.lit(0), c("n_salt") - 1)))) \
         .drop("n_salt")

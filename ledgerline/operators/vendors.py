@@ -1,10 +1,11 @@
 """Page extractors: pages(vendor, file, page_idx, text) -> page records.
 
-Each vendor is a chain of projections over its own pages. Stage one runs
-each pattern once (raw strings / page numbers); later stages only refer to
-those columns, so no regex is evaluated twice and every stage stays inside
-one whole-stage-codegen span. The page text is dropped in the extraction
-output: nothing wide ever reaches a shuffle.
+Each vendor is a chain of projections over its own pages. The first stages
+search the page text once for each pattern and keep the short stretch that
+matched (a match of its own text has the same groups); all groups, amounts
+and dates are then taken from those stretches. The optimizer keeps the stages
+apart, as a stretch is used more than once. The page text is dropped in the
+extraction output: nothing wide ever reaches a shuffle.
 
 Output columns: vendor, file, page_idx, the record fields of
 ``schema.RECORD_FIELDS``, ``kept`` (page yields a record), page-local reason
@@ -21,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rx as X
-from ..functions.schema import LITERALS, MONEY, RECORD_FIELDS
+from ..functions.schema import INFO_PAGE, LITERALS, MONEY, RECORD_FIELDS
 
 # ---------------------------------------------------------------------------
 # Reject reason codes (sorted; reasons are reported in this order).
 REASONS = ["balance_mismatch", "empty_file", "missing_account", "missing_bill_date",
            "missing_dates", "missing_field", "missing_new_balance", "page_count",
-           "page_domain", "page_number"]
+           "page_domain", "page_number", "unknown_vendor"]
 PAGE_REASONS = [r for r in REASONS if r not in ("page_count", "empty_file")]
 
 # Statement patterns, as the documents print them.
@@ -73,10 +74,28 @@ TC_INTERNET = r"TOTAL INTERNET\D+([\d,]+\.\d{2})\s?(Credit)?"
 TC_GST = r"GST \d\D+([\d,]+\.\d{2})\s?(Credit)?"
 TC_PST = r"MB PST \d\D+([\d,]+\.\d{2})\s?(Credit)?"
 # ---------------------------------------------------------------------------
+# The same matches in time linear in the page. A printed pattern that starts with
+# a run (digits, or anything but digits) is tried again from every place of it; the
+# leftmost match starts at the run's first digit, and one character that is no digit
+# before and after nine digits tells as much as a run of them.
+DEP_PAGE_LINEAR = r"(?<!\d)(\d++)(\s+of\s+)(\d+)"
+CC_PAGE_LINEAR = r"(?<!\d)(\d++)(\s+OF\s+)(\d+)"
+UT_PAGE_LINEAR = r"(?<!\d)(\d++) / (\d+)"
+TC_ACCOUNT_LINEAR = r"\D(\d{9})\D"
 
 c = F.col
 
 
+def _found(pattern: str, when: Column | None = None) -> Column:
+    """The stretch of the page text that ``pattern`` matches first, '' if none (or not ``when``)."""
+    m = F.regexp_extract(c("text"), "(?U)" + pattern, 0)
+    return m if when is None else F.when(when, m).otherwise(F.lit(""))
+
+
+def _page(pn: Column, n: int) -> Column:
+    return F.coalesce(pn == n, F.lit(False))
+
+
 def _any_null(*names: str) -> Column:
     out = F.lit(False)
     for n in names:
@@ -84,80 +103,51 @@ def _any_null(*names: str) -> Column:
     return out
 
 
-def _when_page(pn: Column, value: Column) -> Column:
-    return F.when(F.coalesce(pn, F.lit(-1)) == 1, value)
+KEYS = ["vendor", "file", "page_idx"]
 
 
 # ---------------------------------------------------------------- chequing / savings
 def _deposit(df: DataFrame) -> DataFrame:
-    TEXT, IDX = c("text"), c("page_idx")
-    first = IDX == 0
+    first = c("page_idx") == 0
     s1 = df.select(
-        "vendor", "file", "page_idx",
-        X.page_number(TEXT, DEP_PAGE).alias("pn"),
-        X.rx(TEXT, DEP_PERIOD, 1).alias("_d1"),
-        X.rx(TEXT, DEP_PERIOD, 2).alias("_d2"),
-        X.account_number(TEXT, DEP_ACCOUNT).alias("an"),
-        F.when(first, X.money(TEXT, DEP_OPENING)).alias("ob"),
-        F.when(first, X.money(TEXT, DEP_CLOSING)).alias("cb"),
-        F.when(first, X.money(TEXT, DEP_DEPOSITS)).alias("td"),
-        F.when(first, X.money(TEXT, DEP_WITHDRAWALS)).alias("tw"),
-    )
-    s2 = s1.withColumn("_sd", X.date3(c("_d1"), DEP_DATE)).withColumn("_ed", X.date3(c("_d2"), DEP_DATE))
-    both = c("_sd").isNotNull() & c("_ed").isNotNull()
-    s3 = s2.withColumn("sd", F.when(both, c("_sd"))).withColumn("ed", F.when(both, c("_ed")))
+        *KEYS, _found(DEP_PAGE_LINEAR).alias("_page"), _found(DEP_PERIOD).alias("_period"), _found(DEP_ACCOUNT).alias("_account"),
+        _found(DEP_OPENING, first).alias("_ob"), _found(DEP_CLOSING, first).alias("_cb"),
+        _found(DEP_DEPOSITS, first).alias("_td"), _found(DEP_WITHDRAWALS, first).alias("_tw"))
+    sd, ed = X.date_pair(c("_period"), DEP_PERIOD, DEP_DATE)
+    s2 = s1.select(
+        *KEYS, X.page_number(c("_page"), DEP_PAGE).alias("pn"), X.account_number(c("_account"), DEP_ACCOUNT).alias("an"),
+        sd.alias("sd"), ed.alias("ed"), X.money(c("_ob"), DEP_OPENING).alias("ob"), X.money(c("_cb"), DEP_CLOSING).alias("cb"),
+        X.money(c("_td"), DEP_DEPOSITS).alias("td"), X.money(c("_tw"), DEP_WITHDRAWALS).alias("tw"))
     kept = F.coalesce(c("pn") != 0, F.lit(False)) & c("sd").isNotNull() & c("ed").isNotNull()
-    s4 = s3.withColumn("kept", kept)
-    money_page = c("kept") & (c("page_idx") == 0)
+    s3 = s2.withColumn("kept", kept)
+    money_page = c("kept") & first
     missing = money_page & _any_null("ob", "cb", "td", "tw")
-    return s4.select(
+    return s3.select(
         "*",
         missing.alias("e_missing_field"),
         F.coalesce(money_page & ~missing & ((c("ob") + c("td") - c("tw")) != c("cb")),
                    F.lit(False)).alias("e_balance_mismatch"),
-    ).drop("_d1", "_d2", "_sd", "_ed")
+    )
 
 
 # ---------------------------------------------------------------- credit card
 def _credit(df: DataFrame) -> DataFrame:
-    TEXT, IDX = c("text"), c("page_idx")
     s1 = df.select(
-        "vendor", "file", "page_idx",
-        X.page_number(TEXT, CC_PAGE).alias("pn"),
-        X.rx(TEXT, CC_PERIOD_FULL, 1).alias("_f1"),
-        X.rx(TEXT, CC_PERIOD_FULL, 2).alias("_f2"),
-        X.rx(TEXT, CC_PERIOD_SHORT, 1).alias("_s1"),
-        X.rx(TEXT, CC_PERIOD_SHORT, 2).alias("_s2"),
-        X.unmask(X.account_number(TEXT, CC_ACCOUNT)).alias("_an"),
-        TEXT,
-    )
-    pn = c("pn")
-    s2 = s1.select(
-        "vendor", "file", "page_idx", "pn", "_an", "_f1", "_f2", "_s1", "_s2",
-        _when_page(pn, X.signed_money(TEXT, CC_PREVIOUS, "-")).alias("pb"),
-        _when_page(pn, X.signed_money(TEXT, CC_PAYMENTS, "-")).alias("tpc"),
-        _when_page(pn, X.signed_money(TEXT, CC_PURCHASES, "-")).alias("tpd"),
-        _when_page(pn, X.signed_money(TEXT, CC_NEW, "-")).alias("nb"),
-        _when_page(pn, X.money(TEXT, CC_CASH)).alias("ca"),
-        _when_page(pn, X.money(TEXT, CC_INTEREST)).alias("ic"),
-        _when_page(pn, X.money(TEXT, CC_FEES)).alias("f"),
-    )
-    full_ok = c("_f1").isNotNull()
-    s3 = s2.withColumn("_ed", F.when(full_ok, X.date3(c("_f2"), CC_DATE)).otherwise(X.date3(c("_s2"), CC_DATE)))
-    s4 = s3.withColumn("_sd", F.when(full_ok, X.date3(c("_f1"), CC_DATE))
-                       .otherwise(X.date2(c("_s1"), CC_START, c("_ed").getField("y"))))
-    info = pn.isNull()
-    both = c("_sd").isNotNull() & c("_ed").isNotNull()
-    s5 = s4.select(
-        "*",
-        info.alias("is_info"),
-        F.when(~info & both, c("_sd")).alias("sd"),
-        F.when(~info & both, c("_ed")).alias("ed"),
-        F.when(~info, c("_an")).alias("an"),
-        F.lit(True).alias("kept"),
-    )
-    amounts = ["pb", "tpc", "tpd", "nb", "ca", "ic", "f"]
-    p1 = F.coalesce(c("pn") == 1, F.lit(False))
+        *KEYS, "text", _found(CC_PAGE_LINEAR).alias("_page"), _found(CC_PERIOD_FULL).alias("_full"),
+        _found(CC_PERIOD_SHORT).alias("_short"), _found(CC_ACCOUNT).alias("_account"))
+    s2 = s1.withColumn("pn", X.page_number(c("_page"), CC_PAGE))
+    p1 = _page(c("pn"), 1)
+    amounts = {"pb": CC_PREVIOUS, "tpc": CC_PAYMENTS, "tpd": CC_PURCHASES, "nb": CC_NEW, "ca": CC_CASH, "ic": CC_INTEREST, "f": CC_FEES}
+    s3 = s2.select(*KEYS, "pn", "_full", "_short", "_account", *[_found(p, p1).alias("_" + n) for n, p in amounts.items()])
+    # The start may lack its year, which is then the end's.
+    sd, ed = X.date_pair_shared_year(c("_full"), CC_PERIOD_FULL, CC_PERIOD_SHORT, CC_DATE, CC_START, short_text=c("_short"))
+    signed = [X.signed_money(c("_" + n), amounts[n], "-").alias(n) for n in ("pb", "tpc", "tpd", "nb")]
+    plain = [X.money(c("_" + n), amounts[n]).alias(n) for n in ("ca", "ic", "f")]
+    s4 = s3.select(*KEYS, "pn", c("pn").isNull().alias("is_info"), sd.alias("_sd"), ed.alias("_ed"),
+                   X.unmask(X.account_number(c("_account"), CC_ACCOUNT)).alias("_an"), *signed, *plain)
+    own = ~c("is_info") & c("_sd").isNotNull() & c("_ed").isNotNull()
+    s5 = s4.select(*KEYS, "pn", "is_info", F.when(own, c("_sd")).alias("sd"), F.when(own, c("_ed")).alias("ed"),
+                   F.when(~c("is_info"), c("_an")).alias("an"), *amounts, F.lit(True).alias("kept"))
     missing = p1 & _any_null(*amounts)
     total = c("pb") + c("tpd") + c("tpc") + c("ca") + c("ic") + c("f")
     return s5.select(
@@ -165,35 +155,32 @@ def _credit(df: DataFrame) -> DataFrame:
         (~c("is_info") & (c("sd").isNull() | c("ed").isNull())).alias("e_missing_dates"),
         missing.alias("e_missing_field"),
         F.coalesce(p1 & ~missing & (total != c("nb")), F.lit(False)).alias("e_balance_mismatch"),
-    ).drop("_an", "_f1", "_f2", "_s1", "_s2", "_sd", "_ed")
+    )
 
 
 # ---------------------------------------------------------------- electric utility
 def _utility(df: DataFrame) -> DataFrame:
-    TEXT, IDX = c("text"), c("page_idx")
-    s1 = df.select(
-        "vendor", "file", "page_idx",
-        F.when(IDX == 0, F.lit(1)).otherwise(X.page_number(TEXT, UT_PAGE)).alias("pn"),
-        F.contains(TEXT, F.lit(UT_HISTORY)).alias("_history"),
-        TEXT,
-    )
-    pn, hist = c("pn"), c("_history")
-    s2 = s1.select(
-        "vendor", "file", "page_idx", "pn", "_history",
-        _when_page(pn, X.signed_money(TEXT, UT_PREVIOUS, "CR", 1, 2)).alias("pb"),
-        _when_page(pn, X.money(TEXT, UT_ELECTRICITY)).alias("nc"),
-        _when_page(pn, X.default_zero(X.signed_money(TEXT, UT_EPP, "CR", 1, 2))).alias("_epp"),
-        _when_page(pn, X.signed_money(TEXT, UT_DUE, "CR", 1, 2)).alias("nb"),
-        F.when(~hist, X.account_number(TEXT, UT_ACCOUNT)).alias("an"),
-        F.when(~hist, X.date3(TEXT, UT_BILL_DATE)).alias("bd"),
-    )
-    p1 = F.coalesce(pn == 1, F.lit(False))
+    later = c("page_idx") != 0
+    s1 = df.select(*KEYS, "text", _found(UT_PAGE_LINEAR, later).alias("_page"),
+                   F.coalesce(F.contains("text", F.lit(UT_HISTORY)), F.lit(False)).alias("_history"))
+    s2 = s1.withColumn("pn", F.when(later, X.page_number(c("_page"), UT_PAGE)).otherwise(F.lit(1)))
+    p1, hist = _page(c("pn"), 1), c("_history")
+    s3 = s2.select(
+        *KEYS, "pn", "_history", _found(UT_PREVIOUS, p1).alias("_pb"), _found(UT_ELECTRICITY, p1).alias("_nc"),
+        _found(UT_EPP, p1).alias("_ep"), _found(UT_DUE, p1).alias("_nb"), _found(UT_ACCOUNT, ~hist).alias("_an"),
+        _found(UT_BILL_DATE, ~hist).alias("_bd"))
+    s4 = s3.select(
+        *KEYS, "pn", "_history", X.signed_money(c("_pb"), UT_PREVIOUS, "CR", 1, 2).alias("pb"),
+        X.money(c("_nc"), UT_ELECTRICITY).alias("nc"),
+        F.when(p1, X.default_zero(X.signed_money(c("_ep"), UT_EPP, "CR", 1, 2))).alias("_epp"),
+        X.signed_money(c("_nb"), UT_DUE, "CR", 1, 2).alias("nb"), X.account_number(c("_an"), UT_ACCOUNT).alias("an"),
+        X.date3(c("_bd"), UT_BILL_DATE).alias("bd"))
     missing = p1 & _any_null("pb", "nc", "nb")
-    return s2.select(
+    return s4.select(
         "*",
         F.when(c("_epp") > 0, c("_epp")).alias("eppd"),
         F.lit(True).alias("kept"),
-        (pn.isNull() | (F.coalesce(pn, F.lit(0)) < 1)).alias("e_page_number"),
+        (c("pn").isNull() | (F.coalesce(c("pn"), F.lit(0)) < 1)).alias("e_page_number"),
         missing.alias("e_missing_field"),
         F.coalesce(p1 & ~missing & ((c("pb") + c("nc") + c("_epp")) != c("nb")),
                    F.lit(False)).alias("e_balance_mismatch"),
@@ -204,33 +191,24 @@ def _utility(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- telecom
 def _telecom(df: DataFrame) -> DataFrame:
-    TEXT, IDX = c("text"), c("page_idx")
-    s1 = df.select(
-        "vendor", "file", "page_idx",
-        F.when(IDX == 0, F.lit(1)).otherwise(X.page_number(TEXT, TC_PAGE)).alias("pn"),
-        TEXT,
-    )
-    pn = c("pn")
-    on2 = lambda v: F.when(F.coalesce(pn, F.lit(-1)) == 2, v)
-    s2 = s1.select(
-        "vendor", "file", "page_idx", "pn",
-        _when_page(pn, X.account_number(TEXT, TC_ACCOUNT)).alias("an"),
-        _when_page(pn, X.date3(TEXT, TC_INVOICE_DATE)).alias("bd"),
-        _when_page(pn, X.signed_money(TEXT, TC_DUE, "Credit", 1, 2)).alias("nb"),
-        on2(X.signed_money(TEXT, TC_PREVIOUS, "Credit", 1, 2)).alias("pb"),
-        on2(X.signed_money(TEXT, TC_INTERNET, "Credit", 1, 2)).alias("i"),
-        on2(X.signed_money(TEXT, TC_GST, "Credit", 1, 2)).alias("gst"),
-        on2(X.signed_money(TEXT, TC_PST, "Credit", 1, 2)).alias("pst"),
-    )
-    p1 = F.coalesce(pn == 1, F.lit(False))
-    p2 = F.coalesce(pn == 2, F.lit(False))
-    missing2 = p2 & _any_null("pb", "i", "gst", "pst")
-    bad_pn = pn.isNull() | (F.coalesce(pn, F.lit(0)) < 1)
-    return s2.select(
+    later = c("page_idx") != 0
+    s1 = df.select(*KEYS, "text", _found(TC_PAGE, later).alias("_page"))
+    s2 = s1.withColumn("pn", F.when(later, X.page_number(c("_page"), TC_PAGE)).otherwise(F.lit(1)))
+    p1, p2 = _page(c("pn"), 1), _page(c("pn"), 2)
+    parts = {"pb": TC_PREVIOUS, "i": TC_INTERNET, "gst": TC_GST, "pst": TC_PST}
+    s3 = s2.select(*KEYS, "pn", _found(TC_ACCOUNT_LINEAR, p1).alias("_an"), _found(TC_INVOICE_DATE, p1).alias("_bd"),
+                   _found(TC_DUE, p1).alias("_nb"), *[_found(p, p2).alias("_" + n) for n, p in parts.items()])
+    s4 = s3.select(
+        *KEYS, "pn", X.account_number(c("_an"), TC_ACCOUNT_LINEAR).alias("an"), X.date3(c("_bd"), TC_INVOICE_DATE).alias("bd"),
+        X.signed_money(c("_nb"), TC_DUE, "Credit", 1, 2).alias("nb"),
+        *[X.signed_money(c("_" + n), p, "Credit", 1, 2).alias(n) for n, p in parts.items()])
+    missing2 = p2 & _any_null(*parts)
+    bad_pn = c("pn").isNull() | (F.coalesce(c("pn"), F.lit(0)) < 1)
+    return s4.select(
         "*",
         F.lit(True).alias("kept"),
         bad_pn.alias("e_page_number"),
-        (~bad_pn & ~pn.isin(1, 2)).alias("e_page_domain"),
+        (~bad_pn & ~c("pn").isin(1, 2)).alias("e_page_domain"),
         (p1 & c("an").isNull()).alias("e_missing_account"),
         (p1 & c("nb").isNull()).alias("e_missing_new_balance"),
         (p1 & c("bd").isNull()).alias("e_missing_bill_date"),
@@ -248,20 +226,24 @@ class Extractor:
     ``fn`` takes the vendor's pages(vendor, file, page_idx, text) and returns
     page records; any DataFrame function may be registered. ``glob`` is the
     file pattern a folder source uses for this vendor (page-text files).
+    ``row_per_page`` says that ``fn`` returns a row for each page by its form
+    (projections only); of any other function the pages that it drops are
+    put back as rows without a record, so that V8 and V9 see them.
     """
     tag: str
     doc_type: str
     vendor_name: str
     fn: Callable[[DataFrame], DataFrame]
     glob: str = "*.txt"
+    row_per_page: bool = False
 
 
 REGISTRY: dict[str, Extractor] = {
-    "bank": Extractor("bank", LITERALS["BANK_STATEMENT"], LITERALS["RBC"], _deposit),
-    "savings": Extractor("savings", LITERALS["BANK_STATEMENT"], LITERALS["RBC"], _deposit),
-    "credit": Extractor("credit", LITERALS["CREDIT_CARD_STATEMENT"], LITERALS["RBC"], _credit),
-    "utility": Extractor("utility", LITERALS["BILL"], LITERALS["MB_HYDRO"], _utility),
-    "telecom": Extractor("telecom", LITERALS["BILL"], LITERALS["BELL_MTS"], _telecom),
+    "bank": Extractor("bank", LITERALS["BANK_STATEMENT"], LITERALS["RBC"], _deposit, row_per_page=True),
+    "savings": Extractor("savings", LITERALS["BANK_STATEMENT"], LITERALS["RBC"], _deposit, row_per_page=True),
+    "credit": Extractor("credit", LITERALS["CREDIT_CARD_STATEMENT"], LITERALS["RBC"], _credit, row_per_page=True),
+    "utility": Extractor("utility", LITERALS["BILL"], LITERALS["MB_HYDRO"], _utility, row_per_page=True),
+    "telecom": Extractor("telecom", LITERALS["BILL"], LITERALS["BELL_MTS"], _telecom, row_per_page=True),
 }
 
 
@@ -301,15 +283,32 @@ def _conform(df: DataFrame, ex: Extractor) -> DataFrame:
 
 def extract_vendor(pages: DataFrame, tag: str) -> DataFrame:
     ex = REGISTRY[tag]
-    return _conform(ex.fn(pages.filter(F.col("vendor") == tag)), ex)
+    own = pages.filter(F.col("vendor") == tag)
+    recs = _conform(ex.fn(own), ex)
+    if ex.row_per_page:
+        return recs
+    keys = ["vendor", "file", "page_idx"]
+    dropped = own.select(*keys).join(recs.select(*keys), keys, "left_anti")
+    return recs.unionByName(_conform(dropped.withColumn("kept", F.lit(False)), ex))
+
+
+def unknown_vendor_pages(pages: DataFrame) -> DataFrame:
+    """Pages whose vendor is NULL or not registered, as page rows without a record
+    that reject their file for ``unknown_vendor``."""
+    other = pages.filter(c("vendor").isNull() | ~c("vendor").isin(*REGISTRY))
+    rows = other.select("vendor", "file", "page_idx", F.lit(False).alias("kept"), F.lit(True).alias("e_unknown_vendor"))
+    return _conform(rows, Extractor("", "", "", lambda d: d)).withColumn("t", F.lit(None).cast("string")) \
+        .withColumn("v", F.lit(None).cast("string"))
 
 
 def extract_records(pages: DataFrame, vendors: list[str] | None = None) -> DataFrame:
-    """All vendors' page records, one branch per vendor, unioned (narrow)."""
-    out = None
+    """All vendors' page records, one branch per vendor, unioned (narrow).
+
+    Pages of no known vendor are rows too (not kept); a subset run leaves the
+    other registered vendors' pages out, as asked."""
+    out = unknown_vendor_pages(pages)
     for tag in vendors or list(REGISTRY):
-        df = extract_vendor(pages, tag)
-        out = df if out is None else out.unionByName(df)
+        out = out.unionByName(extract_vendor(pages, tag))
     return out
 
 
@@ -345,7 +344,11 @@ def extract_with_pandas(pages: DataFrame, fn: Callable, tag: str, doc_type: str,
 
     out = pages.filter(F.col("vendor") == tag).groupBy("file").applyInPandas(
         per_file, "vendor string, file string, page_idx int, rec string")
-    parsed = out.select("vendor", "file", "page_idx",
-                        F.from_json("rec", T.StructType(RECORD_SCHEMA.fields)).alias("r"))
+    # The page number may be the text of an information page: it is read as text first.
+    as_text = T.StructType([T.StructField(f.name, T.StringType() if f.name == "pn" else f.dataType) for f in RECORD_SCHEMA.fields])
+    parsed = out.select("vendor", "file", "page_idx", F.from_json("rec", as_text).alias("r"))
     df = parsed.select("vendor", "file", "page_idx", "r.*", F.col("r").isNotNull().alias("kept"))
+    info = F.coalesce(c("is_info"), F.lit(False)) | F.coalesce(c("pn") == INFO_PAGE, F.lit(False))
+    df = df.withColumn("is_info", info).withColumn("pn", c("pn").try_cast("int"))
+    df = df.withColumn("e_page_number", c("kept") & ~c("is_info") & (F.coalesce(c("pn"), F.lit(0)) < 1))
     return _conform(df, Extractor(tag, doc_type, vendor_name, lambda d: d))

@@ -75,7 +75,7 @@ def build(spark: SparkSession, sf: str, vendors: list[str] | None = None, by: st
     The extracted page records of a data folder are a prepared table (D9),
     written once per session and shared by every query built on them."""
     key = ("records", sf, tuple(vendors or ()))
-    recs = memo_table(spark, key, lambda: records(spark, sf, vendors), must_materialize=True)
+    recs = memo_table(spark, key, lambda: records(spark, sf, vendors))
     return build_from_pages(None, vendors, by, records=recs)
 
 
@@ -132,6 +132,12 @@ def scores(preds: DataFrame) -> DataFrame:
         .withColumn("score", E.normed_edit_distance(c("pred_clean"), c("answer")))
 
 
+def accuracies(scored: DataFrame) -> DataFrame:
+    """E8 per prediction, counted in its row."""
+    base = scored.withColumn("pred_gt", S.parse_sequence(c("pred_clean")))
+    return E.row_accuracy(base, "gt", "pred_gt").select("epoch", "file", "page_idx", "t", "n_truth", "n_wrong", "accuracy")
+
+
 def field_diffs(scored: DataFrame) -> DataFrame:
     """Per prediction and leaf field: match / changed / missing / extra."""
     keys = ["epoch", "file", "page_idx", "t"]

@@ -190,8 +190,23 @@ def _dates(*names: str) -> dict[str, str]:
     return {f"{n}_{p}": f"{n}_{p}" for n in names for p in "dmy"}
 
 
+# The literals, field codes and markers of the format, in its order; and its length setting.
 _BS, _CC, _BILL, _RBC, _MBH, _BELL = ("Bank Statement", "Credit Card Statement", "Bill", "RBC Royal Bank",
                                       "MB Hydro", "Bell MTS")
+_CODES = ["pn", "sd", "ed", "an", "m", "d", "y", "v", "t", "bd", "pb", "tpc", "tpd", "nb", "ob", "cb", "tw", "td",
+          "nc", "ic", "ca", "f", "eppd", "i", "gst", "pst"]
+_LITERALS = [_CC, _BS, _BILL, _RBC, _MBH, _BELL]
+GT_CODES = sorted(x for x in _CODES if x not in ("d", "m", "y"))
+
+_VOCAB = [t for x in _CODES for t in (f"<s_{x}>", f"</s_{x}>")] + _LITERALS + ["<doc_intel>"]
+_WITH_MARKERS = _VOCAB + ["<sep/>", "</s>", "<pad>", "<unk>"]
+VOCAB_SQL = "[" + ", ".join(f"'{t}'" for t in _VOCAB) + "]"
+# Tokens: tags, markers and literals whole, any other character by itself.
+_ALL_SQL = "[" + ", ".join(f"'{t}'" for t in _WITH_MARKERS) + "]"
+_WORDS = "|".join(sorted(_LITERALS + ["<doc_intel>", "<sep/>", "</s>", "<pad>", "<unk>"], key=len, reverse=True))
+TOKENS_SQL = f"regexp_extract_all(seq || '</s>', '</?s_[A-Za-z0-9_]+>|{_WORDS}|<[^<>\\s]+/>|[\\s\\S]')"
+LABEL_IDS_SQL = (f"list_transform({TOKENS_SQL}, lambda x: CASE WHEN list_position({_ALL_SQL}, x) IS NOT NULL "
+                 f"THEN list_position({_ALL_SQL}, x) - 1 WHEN length(x) = 1 THEN 1000 + ascii(x) ELSE {len(_WITH_MARKERS) - 1} END)")
 
 
 def _rec_union() -> str:
@@ -218,8 +233,7 @@ def _rec_union() -> str:
 
 # Leaf fields of gt_parse in code order: (path, SQL text of the value).
 GT_LEAVES = []
-for _n in sorted(["an", "bd", "ca", "cb", "ed", "eppd", "f", "gst", "i", "ic", "nb", "nc", "ob", "pb", "pn",
-                  "pst", "sd", "t", "td", "tpc", "tpd", "tw", "v"]):
+for _n in GT_CODES:
     if _n in ("bd", "ed", "sd"):
         GT_LEAVES += [(f"{_n}.{p}", f"CAST({_n}_{p} AS VARCHAR)") for p in "dmy"]
     elif _n == "pn":
@@ -232,8 +246,7 @@ for _n in sorted(["an", "bd", "ca", "cb", "ed", "eppd", "f", "gst", "i", "ic", "
 
 def _seq_sql() -> str:
     parts = []
-    for n in sorted(["an", "bd", "ca", "cb", "ed", "eppd", "f", "gst", "i", "ic", "nb", "nc", "ob", "pb", "pn",
-                     "pst", "sd", "t", "td", "tpc", "tpd", "tw", "v"]):
+    for n in GT_CODES:
         if n in ("bd", "ed", "sd"):
             inner = " || ".join(f"'<s_{p}>' || CAST({n}_{p} AS VARCHAR) || '</s_{p}>'" for p in "dmy")
             parts.append(f"COALESCE('<s_{n}>' || {inner} || '</s_{n}>', '')")

@@ -10,6 +10,7 @@ from ..operators import diff as C
 from ..operators import evaluate as E
 from ..operators import sequence as S
 from ..sources import fixtures as fx
+from ..sources import pages as P
 from ..sources.tables import table
 from . import build as B
 from . import oracle_truth as T
@@ -50,11 +51,11 @@ FROM targets WHERE k % 19 = 0""")
 def s_manifest_missing(spark, sf):
     """Manifest rows whose destination is absent from a listing (left anti).
 
-    The listing is the manifest minus destinations of accounts with k % 19 = 0."""
+    The listing is the manifest minus destinations of accounts with k % 19 = 0, as URIs."""
     man = B.build(spark, sf).manifest
     k = F.regexp_extract("src", r"/(\d+)\.pdf$", 1).cast("bigint")
     listing = man.filter(k % 19 != 0).select(c("dest").alias("path"))
-    return man.join(listing, man.dest == listing.path, "left_anti")
+    return P.missing_outputs(man, listing.withColumn("path", F.concat(F.lit("file:///data//"), c("path"))))
 
 
 @query("s_pages_roundtrip", T.ALL_TRUTH + """
@@ -68,7 +69,6 @@ def s_pages_roundtrip(spark, sf):
     import uuid
 
     from ..session import ensure_checkpoint_dir
-    from ..sources import pages as P
     path = ensure_checkpoint_dir(spark).rstrip("/") + f"/docs-{uuid.uuid4().hex}"
     P.write_documents(fx.doc_files(spark, sf), path)
     pages = P.read_documents(spark, path)
@@ -86,8 +86,7 @@ def d_split_counts(spark, sf):
 
 
 def _n_keys_sql() -> str:
-    names = sorted(["an", "bd", "ca", "cb", "ed", "eppd", "f", "gst", "i", "ic", "nb", "nc", "ob", "pb", "pn",
-                    "pst", "sd", "t", "td", "tpc", "tpd", "tw", "v"])
+    names = T.GT_CODES
     lv = dict(T.GT_LEAVES)
     terms = []
     for n in names:
@@ -171,24 +170,23 @@ def t_categorical(spark, sf):
                                              categorical=["click", "view"]).alias("seq"))
 
 
-_VOCAB_SQL = "[" + ", ".join(f"'{t}'" for t in S.vocabulary()) + "]"
-_TOK_SQL = "regexp_extract_all(seq || '</s>', '</?s_[A-Za-z0-9_]+>|<sep/>|[\\s\\S]')"
+_VOCAB_SQL = T.VOCAB_SQL
+_IDS_SQL = T.LABEL_IDS_SQL
+_TOK_SQL = T.TOKENS_SQL
 
 
 @query("t_labels", TW + f"""
-SELECT file, page_idx, CAST(least(len(toks), 1536) AS INTEGER) AS n_tokens,
-  CAST(1536 - least(len(toks), 1536) AS INTEGER) AS n_ignored,
-  CAST(list_sum(list_transform(toks[1:1536], lambda x: CASE WHEN list_position({_VOCAB_SQL}, x) IS NOT NULL
-       THEN list_position({_VOCAB_SQL}, x) - 1 ELSE 1000 + ascii(x) END)) AS BIGINT) AS id_sum
-FROM (SELECT file, page_idx, {_TOK_SQL} AS toks FROM targets)""")
+SELECT file, page_idx, CAST(least(len(ids), 1536) AS INTEGER) AS n_tokens, CAST(len(ids) AS INTEGER) AS n_tokens_full,
+  len(ids) > 1536 AS truncated, CAST(1536 - least(len(ids), 1536) AS INTEGER) AS n_ignored,
+  md5(array_to_string(ids[1:1536] || list_transform(range(1536 - least(len(ids), 1536)), lambda x: -100), ',')) AS labels_md5
+FROM (SELECT file, page_idx, {_IDS_SQL} AS ids FROM targets)""")
 def t_labels(spark, sf):
-    """Label ids (tags by vocabulary, other characters by code point), padded to 1536 with -100."""
-    df = B.targets(spark, sf).select("file", "page_idx", S.label_ids(c("sequence")).alias("labels"))
+    """Label ids in order (vocabulary tokens and markers, other characters by code point), padded to 1536 with -100."""
+    df = S.label_ids(B.targets(spark, sf).select("file", "page_idx", "sequence"), "sequence")
     ign = F.size(F.filter("labels", lambda x: x == S.IGNORE_ID))
-    return df.select("file", "page_idx", (F.size("labels") - ign).cast("int").alias("n_tokens"),
+    return df.select("file", "page_idx", (F.size("labels") - ign).cast("int").alias("n_tokens"), "n_tokens_full", "truncated",
                      ign.cast("int").alias("n_ignored"),
-                     F.aggregate(F.filter("labels", lambda x: x >= 0), F.lit(0).cast("bigint"),
-                                 lambda a, x: a + x).alias("id_sum"))
+                     F.md5(F.array_join(c("labels").cast("array<string>"), ",")).alias("labels_md5"))
 
 
 _TAGS_SQL = "regexp_extract_all(seq, '</?s_[A-Za-z0-9_]+>')"
@@ -302,8 +300,7 @@ acc AS (
 SELECT CAST(epoch AS BIGINT) AS epoch, file, page_idx, round(accuracy, {R9}) AS accuracy FROM acc""")
 def e_field_accuracy(spark, sf):
     """Field accuracy per prediction (own definition, see README)."""
-    d = B.field_diffs(B.scores(B.predictions(spark, sf)))
-    acc = E.field_accuracy(d, ["epoch", "file", "page_idx"])
+    acc = B.accuracies(B.scores(B.predictions(spark, sf)))
     return acc.select(c("epoch").cast("bigint").alias("epoch"), "file", "page_idx", F.round("accuracy", R9).alias("accuracy"))
 
 
@@ -317,21 +314,21 @@ def e_by_field(spark, sf):
 
 
 @query("e_mean", _acc_sql() + f"""
-SELECT count(*) AS n, round(avg(accuracy), {R9}) AS mean_accuracy FROM acc WHERE epoch = {T.EPOCHS - 1}""")
+SELECT CAST(epoch AS BIGINT) AS epoch, count(*) AS n, round(avg(accuracy), {R9}) AS mean_accuracy FROM acc GROUP BY epoch""")
 def e_mean(spark, sf):
-    """Mean accuracy and count at the last epoch."""
-    d = B.field_diffs(B.scores(B.predictions(spark, sf)).filter(c("epoch") == B.EPOCHS - 1))
-    acc = E.field_accuracy(d, ["epoch", "file", "page_idx"])
-    return acc.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("accuracy"), R9).alias("mean_accuracy"))
+    """Mean accuracy and count of every epoch."""
+    acc = B.accuracies(B.scores(B.predictions(spark, sf)))
+    return acc.groupBy(c("epoch").cast("bigint").alias("epoch")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("accuracy"), R9).alias("mean_accuracy"))
 
 
 @query("e_by_type", _acc_sql() + f"""
-SELECT t, count(*) AS n, round(avg(accuracy), {R9}) AS mean_accuracy FROM acc WHERE epoch = {T.EPOCHS - 1} GROUP BY t""")
+SELECT CAST(epoch AS BIGINT) AS epoch, t, count(*) AS n, round(avg(accuracy), {R9}) AS mean_accuracy FROM acc GROUP BY epoch, t""")
 def e_by_type(spark, sf):
-    """Mean accuracy by document type at the last epoch."""
-    d = B.field_diffs(B.scores(B.predictions(spark, sf)).filter(c("epoch") == B.EPOCHS - 1))
-    acc = E.field_accuracy(d, ["epoch", "file", "page_idx", "t"])
-    return acc.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("accuracy"), R9).alias("mean_accuracy"))
+    """Mean accuracy by document type, of every epoch."""
+    acc = B.accuracies(B.scores(B.predictions(spark, sf)))
+    return acc.groupBy(c("epoch").cast("bigint").alias("epoch"), "t").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("accuracy"), R9).alias("mean_accuracy"))
 
 
 @query("e_sample", PW + """
@@ -354,37 +351,79 @@ def e_bad_cases(spark, sf):
 
 # =========================================================== C / I: diffs and inspection
 @query("c_config_diff", _acc_sql() + f"""
-SELECT file, page_idx, path, kind FROM leaf_kinds WHERE epoch = {T.EPOCHS - 1} AND kind <> 'match'""")
+SELECT CAST(epoch AS BIGINT) AS epoch, file, page_idx, path, kind FROM leaf_kinds WHERE kind <> 'match'""")
 def c_config_diff(spark, sf):
-    """Nested-document diff (truth vs parsed prediction, last epoch) as rows."""
-    d = B.field_diffs(B.scores(B.predictions(spark, sf)).filter(c("epoch") == B.EPOCHS - 1))
-    return d.filter(c("kind") != "match").select("file", "page_idx", "path", "kind")
+    """Nested-document diff (truth vs parsed prediction, every epoch) as rows."""
+    d = B.field_diffs(B.scores(B.predictions(spark, sf)))
+    return d.filter(c("kind") != "match").select(c("epoch").cast("bigint").alias("epoch"), "file", "page_idx", "path", "kind")
 
 
 @query("c_token_diff", TW + f""",
-used AS (SELECT DISTINCT unnest({_TAGS_SQL}) AS token FROM targets),
-voc AS (SELECT unnest({_VOCAB_SQL}) AS token)
-SELECT token, 'a' AS side FROM used WHERE token NOT IN (SELECT token FROM voc)
-UNION ALL
-SELECT token, 'b' AS side FROM voc WHERE token LIKE '<%s_%' AND token NOT IN (SELECT token FROM used)""")
+used AS (SELECT token, count(*) AS n FROM (SELECT unnest({_TAGS_SQL}) AS token FROM targets) GROUP BY token),
+other AS (SELECT token, count(*) AS n FROM (SELECT unnest({_TAGS_SQL}) AS token FROM targets WHERE NOT (doc_key % 41 = 0)
+  UNION ALL SELECT '<s_extra>' FROM targets WHERE doc_key % 43 = 0) GROUP BY token)
+SELECT token, CASE WHEN coalesce(u.n, 0) > coalesce(o.n, 0) THEN 'a' ELSE 'b' END AS side,
+  CAST(abs(coalesce(u.n, 0) - coalesce(o.n, 0)) AS BIGINT) AS n
+FROM used u FULL JOIN other o USING (token) WHERE coalesce(u.n, 0) <> coalesce(o.n, 0)""")
 def c_token_diff(spark, sf):
-    """Used tags vs vocabulary tags as multisets; what each side lacks."""
-    used = B.targets(spark, sf).select(F.explode(F.regexp_extract_all("sequence", F.lit(r"</?s_[A-Za-z0-9_]+>"), 0)).alias("token")).distinct()
-    voc = S.vocabulary_df(spark).select("token").filter(c("token").like("<%s_%"))
-    return C.multiset_diff(used, voc)
+    """The tags of two token lists as multisets, with multiplicities; what each side has more.
+    The second list lacks the pages with key % 41 = 0 and has a tag of its own."""
+    tags = lambda df: df.select(F.explode(F.regexp_extract_all("sequence", F.lit(r"</?s_[A-Za-z0-9_]+>"), 0)).alias("token"))
+    t = B.targets(spark, sf).select("doc_key", "sequence")
+    extra = t.filter(c("doc_key") % 43 == 0).select(F.lit("<s_extra>").alias("token"))
+    other = tags(t.filter(c("doc_key") % 41 != 0)).unionByName(extra)
+    return C.multiset_diff(tags(t), other).groupBy("token", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c_state_diff", """
-SELECT vec_id, CASE WHEN vec_id % 13 = 0 THEN 'removed' ELSE 'changed' END AS kind
-FROM embeddings WHERE vec_id % 13 = 0 OR vec_id % 11 = 0""")
+SELECT vec_id, CASE WHEN vec_id % 13 = 0 THEN 'removed' WHEN vec_id % 17 = 0 THEN 'shape' ELSE 'changed' END AS kind
+FROM embeddings WHERE vec_id % 13 = 0 OR vec_id % 11 = 0 OR vec_id % 17 = 0""")
 def c_state_diff(spark, sf):
-    """Key -> array state diff; the second state bumps element 1 when id % 11 = 0
-    and lacks ids with id % 13 = 0."""
-    a = table(spark, sf, "embeddings").select(c("vec_id").alias("key"), c("embedding").alias("values"))
+    """Key -> array state diff; the second state bumps element 1 when id % 11 = 0, is reshaped
+    when id % 17 = 0 and lacks ids with id % 13 = 0."""
+    a = table(spark, sf, "embeddings").select(c("vec_id").alias("key"), c("embedding").alias("values"), F.array(F.lit(8), F.lit(8)).alias("shape"))
     b = a.filter(c("key") % 13 != 0).withColumn(
-        "values", F.when(c("key") % 11 == 0, F.transform("values", lambda x, i: F.when(i == 0, x + 1).otherwise(x)))
-        .otherwise(c("values")))
-    return C.state_diff(a, b, "key", "values").select(c("key").alias("vec_id"), "kind")
+        "values", F.when(c("key") % 11 == 0, F.transform("values", lambda x, i: F.when(i == 0, (x + 1).cast("float")).otherwise(x)))
+        .otherwise(c("values"))).withColumn("shape", F.when(c("key") % 17 == 0, F.array(F.lit(4), F.lit(16))).otherwise(c("shape")))
+    return C.state_diff(a, b, "key", "values", "shape").select(c("key").alias("vec_id"), "kind")
+
+
+@query("c_settings_diff", """
+WITH s AS (SELECT c_custkey AS k, c_nationkey AS n, c_acctbal AS b FROM customer)
+SELECT k, 'model.size' AS path, 'changed' AS kind, CAST(n AS VARCHAR) AS a_value, CAST(n + 1 AS VARCHAR) AS b_value FROM s WHERE k % 7 = 0
+UNION ALL SELECT k, 'model.new', 'added', NULL, 'null' FROM s WHERE k % 5 = 0
+UNION ALL SELECT k, 'tokens[]', 'removed', CASE WHEN n = 3 THEN '3' ELSE '3' END, NULL FROM s WHERE k % 11 = 0
+UNION ALL SELECT k, 'note', 'removed', 'null', NULL FROM s WHERE k % 3 = 0""")
+def c_settings_diff(spark, sf):
+    """Nested settings texts of two runs, flattened; lists as multisets (the second run lists
+    its tokens in another order), a NULL value on both sides is equal."""
+    cu = table(spark, sf, "customer").select(c("c_custkey").alias("k"), c("c_nationkey").alias("n"))
+    k, n = c("k"), c("n").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    a = cu.select("k", text('{"note": null, "model": {"size": ', n, ', "none": null}, "tokens": [1, 2, 2, 3, {"x": ', n, "}]}").alias("settings"))
+    size = F.when(k % 7 == 0, (c("n") + 1).cast("string")).otherwise(n)
+    new = F.when(k % 5 == 0, F.lit(', "new": null')).otherwise(F.lit(""))
+    three = F.when(k % 11 == 0, F.lit("")).otherwise(F.lit("3, "))
+    note = F.when(k % 3 == 0, F.lit("")).otherwise(F.lit('"note": null, '))
+    b = cu.select("k", text("{", note, '"tokens": [', three, '{"x": ', n, '}, 2, 1, 2], "model": {"none": null, "size": ', size, new, "}}").alias("settings"))
+    return C.settings_diff(a, b, ["k"]).select("k", "path", "kind", "a_value", "b_value")
+
+
+@query("c_settings_compare", """
+SELECT p_partkey AS k, r.rule, CASE r.rule WHEN 'image_size' THEN p_size % 9 <> 0 WHEN 'pad_token_id' THEN p_partkey % 4 <> 0
+  WHEN 'tokens' THEN p_partkey % 6 <> 0 ELSE TRUE END AS ok
+FROM part, (SELECT unnest(['max_position_embeddings', 'image_size', 'pad_token_id', 'eos_token_id', 'unk_token_id', 'tokens']) AS rule) r""")
+def c_settings_compare(spark, sf):
+    """Five settings and a token array of two models for each part; NULL equals NULL."""
+    pt = table(spark, sf, "part").select(c("p_partkey").alias("k"), "p_size")
+    base = pt.select("k", "p_size", F.lit(768).alias("max_position_embeddings"), c("p_size").alias("image_size"),
+                     F.lit(None).cast("int").alias("pad_token_id"), F.lit(2).alias("eos_token_id"), F.lit(3).alias("unk_token_id"),
+                     F.sequence(F.lit(1), F.lit(5)).alias("tokens"))
+    k = c("k")
+    other = base.withColumn("image_size", c("p_size") + F.when(c("p_size") % 9 == 0, 1).otherwise(0)) \
+        .withColumn("pad_token_id", F.when(k % 4 == 0, F.lit(1))) \
+        .withColumn("tokens", F.when(k % 6 == 0, F.reverse("tokens")).otherwise(c("tokens")))
+    return C.compare_settings(base, other, ["k"])
 
 
 @query("c_settings", TW + f"""
@@ -429,7 +468,7 @@ def i_vocab(spark, sf):
 SELECT split, count(*) AS n, 1536 AS min_size, 1536 AS max_size FROM targets GROUP BY split""")
 def i_shapes(spark, sf):
     """Every label array has the fixed length, per split."""
-    t = B.targets(spark, sf).select("split", F.size(S.label_ids(c("sequence"))).alias("sz"))
+    t = S.label_ids(B.targets(spark, sf).select("split", "sequence"), "sequence").select("split", F.size("labels").alias("sz"))
     return t.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("sz").alias("min_size"), F.max("sz").alias("max_size"))
 
 
@@ -438,9 +477,7 @@ SELECT split, count(*) AS n_rows, count(*) AS n_valid FROM targets GROUP BY spli
 def i_format(spark, sf):
     """Every ground_truth parses and holds a gt_parse object (all rows, not the first)."""
     meta = B.build(spark, sf).metadata
-    ok = F.get_json_object("ground_truth", "$.gt_parse").isNotNull() & \
-        F.get_json_object("ground_truth", "$.gt_parse").startswith("{")
-    return meta.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(ok).alias("n_valid"))
+    return meta.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(P.holds_object("ground_truth", "gt_parse")).alias("n_valid"))
 
 
 @query("c_rules", TW + f""",
@@ -487,16 +524,14 @@ ranked AS (
   SELECT file, page_idx, seq, row_number() OVER (ORDER BY doc_key, file, page_idx) - 1 AS pos
   FROM targets WHERE split = 'validation'
 )
-SELECT file, page_idx, array_to_string(list_transform(({_TOK_SQL})[1:30], lambda x: CASE
-  WHEN list_position({_VOCAB_SQL}, x) IS NOT NULL THEN list_position({_VOCAB_SQL}, x) - 1 ELSE 1000 + ascii(x) END), ',')
-  AS first_labels
+SELECT file, page_idx, array_to_string(({_IDS_SQL})[1:30], ',') AS first_labels
 FROM ranked WHERE pos = 7""")
 def d_row_at(spark, sf):
     """D8 + I1: the row at position 7 of the validation order and its first 30 label ids."""
     val = B.targets(spark, sf).filter(c("split") == "validation")
     row = D.row_at(val, [c("doc_key"), c("file"), c("page_idx")], 7)
-    labels = F.slice(S.label_ids(c("sequence")), 1, 30)
-    return row.select("file", "page_idx", F.array_join(labels.cast("array<string>"), ",").alias("first_labels"))
+    labels = F.slice("labels", 1, 30)
+    return S.label_ids(row, "sequence").select("file", "page_idx", F.array_join(labels.cast("array<string>"), ",").alias("first_labels"))
 
 
 _NAME_VOCAB_SQL = "[" + ", ".join(f"'{t}'" for t in S.name_vocabulary()) + "]"
@@ -515,3 +550,125 @@ def t_vocab_names(spark, sf):
         F.explode(F.regexp_extract_all("sequence", F.lit(r"</?s_[A-Za-z0-9_]+>"), 0)).alias("token")).distinct()
     names = spark.createDataFrame([(t,) for t in S.name_vocabulary()], "token string")
     return C.multiset_diff(used, F.broadcast(names))
+
+
+# =========================================================== planted bad inputs
+@query("s_metadata_readback", TW + """
+SELECT split, CASE doc_key % 11 WHEN 0 THEN 'absent' WHEN 1 THEN 'not_json' WHEN 2 THEN 'no_gt_parse_object'
+  WHEN 3 THEN 'no_gt_parse_object' ELSE 'ok' END AS outcome, count(*) AS n FROM targets GROUP BY 1, 2""")
+def s_metadata_readback(spark, sf):
+    """Targets written and read back, with absent, broken and non-object ones planted;
+    every row is valid or quarantined with its reason."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    meta = B.targets(spark, sf).select("split", "file_name", "ground_truth", (c("doc_key") % 11).alias("m"))
+    bad = (F.when(c("m") == 0, F.lit(None)).when(c("m") == 1, F.lit('{"gt_parse": {'))
+           .when(c("m") == 2, F.lit('{"gt_parse":"{x"}')).when(c("m") == 3, F.lit('{"other": {}}')).otherwise(c("ground_truth")))
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/metadata-{uuid.uuid4().hex}"
+    P.write_metadata(meta.withColumn("ground_truth", bad), path)
+    back = P.read_metadata(spark, path)
+    good = back.filter(c("gt_ok")).select("split", F.lit("ok").alias("outcome"))
+    rest = P.quarantined_targets(back).select("split", c("reason").alias("outcome"))
+    return good.unionByName(rest).groupBy("split", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s_quarantine", T.with_truth(T.BANK, T.deposit_truth("bank")) + """
+SELECT CASE WHEN k % 7 = 0 THEN 'acme' END AS vendor, file, CAST(2 AS BIGINT) AS n_pages, 'empty_file,page_count,unknown_vendor' AS reasons
+FROM bank_t WHERE k % 7 IN (0, 1)""")
+def s_quarantine(spark, sf):
+    """Pages of an unregistered or NULL vendor reject their file; none vanishes."""
+    pages = fx.doc_pages(spark, sf, ["bank"])
+    k = _file_key()
+    odd = pages.withColumn("vendor", F.when(k % 7 == 0, F.lit("acme")).when(k % 7 == 1, F.lit(None)).otherwise(c("vendor")))
+    v = B.R.file_verdicts(B.V.extract_records(odd, ["bank"]))
+    return v.filter(F.array_contains(F.split("reasons", ","), "unknown_vendor")).select("vendor", "file", "n_pages", "reasons")
+
+
+def _file_key():
+    return F.regexp_extract("file", r"/(\d+)\.pdf$", 1).cast("bigint")
+
+
+@query("v_planted_reasons", T.ALL_TRUTH + """
+SELECT 'utility' AS vendor, file, 'missing_bill_date' AS reason FROM utility_t WHERE k % 53 = 1
+UNION ALL SELECT 'telecom', file, 'missing_bill_date' FROM telecom_t WHERE k % 23 = 2
+UNION ALL SELECT 'telecom', file, 'missing_new_balance' FROM telecom_t WHERE k % 19 = 3
+UNION ALL SELECT 'credit', file, 'missing_dates' FROM credit_t WHERE k % 29 = 4
+UNION ALL SELECT 'utility', file, 'page_number' FROM utility_t WHERE k % 47 = 5
+UNION ALL SELECT 'bank', file, 'empty_file' FROM bank_t WHERE k % 43 = 6""")
+def v_planted_reasons(spark, sf):
+    """V5/V6/V9: dates, balances, page numbers and whole texts taken out of rendered pages; every reject has its reason."""
+    V = B.V
+    k, first = _file_key(), c("page_idx") == 0
+    gone = lambda pattern: F.regexp_replace("text", "(?U)" + pattern, "")
+    vendor = lambda v: c("vendor") == v
+    text = (F.when(vendor("utility") & (k % 53 == 1) & first, gone(V.UT_BILL_DATE))
+            .when(vendor("utility") & (k % 47 == 5) & ~first, gone(V.UT_PAGE))
+            .when(vendor("telecom") & (k % 23 == 2) & (k % 19 == 3) & first, F.regexp_replace(gone(V.TC_INVOICE_DATE), "Amount Due", ""))
+            .when(vendor("telecom") & (k % 23 == 2) & first, gone(V.TC_INVOICE_DATE))
+            .when(vendor("telecom") & (k % 19 == 3) & first, gone(V.TC_DUE))
+            .when(vendor("credit") & (k % 29 == 4) & first, F.regexp_replace("text", "FROM", "BETWEEN"))
+            .when(vendor("bank") & (k % 43 == 6), F.lit("")).otherwise(c("text")))
+    recs = V.extract_records(fx.doc_pages(spark, sf).withColumn("text", text))
+    planted = ["missing_bill_date", "missing_new_balance", "missing_dates", "page_number", "empty_file"]
+    return B.R.reasons_table(B.R.file_verdicts(recs)).filter(c("reason").isin(*planted))
+
+
+@query("v_repeated_pages", T.with_truth(T.TELECOM) + """
+SELECT file, r_balance_mismatch OR (k % 5 = 2 AND NOT r_page_domain AND NOT r_missing_field AND gst <> CASE WHEN k % 2 = 0 THEN 0.01 ELSE 987654.32 END)
+  AS mismatch FROM telecom_t""")
+def v_repeated_pages(spark, sf):
+    """V4: a second page 2 whose sum differs (lower or higher) rejects the file."""
+    pages = fx.doc_pages(spark, sf, ["telecom"]).select("vendor", "file", "page_idx", "text")
+    k = _file_key()
+    amount = F.when(k % 2 == 0, F.lit("GST 5% \\$0.01")).otherwise(F.lit("GST 5% \\$987,654.32"))
+    again = pages.filter((c("page_idx") == 1) & (k % 5 == 2)).withColumn("page_idx", F.lit(2)) \
+        .withColumn("text", F.regexp_replace(c("text"), F.lit(r"GST 5% \$[\d,]+\.\d{2}"), amount))
+    v = B.R.file_verdicts(B.V.extract_records(pages.unionByName(again), ["telecom"]))
+    return v.select("file", F.array_contains(F.split("reasons", ","), "balance_mismatch").alias("mismatch"))
+
+
+@query("d_truth_values", TW + """
+SELECT file, page_idx, concat_ws('|', """ + ", ".join(f"coalesce({v}, '~')" for _, v in T.GT_LEAVES) + """) AS leaves FROM targets""")
+def d_truth_values(spark, sf):
+    """D3: every leaf value of the JSON target, read back from its text."""
+    leaves = [F.coalesce(F.get_json_object("ground_truth", f"$.gt_parse.{path}"), F.lit("~")) for path, _ in T.GT_LEAVES]
+    return B.targets(spark, sf).select("file", "page_idx", F.concat_ws("|", *leaves).alias("leaves"))
+
+
+@query("t_json", """
+SELECT event_id,
+  '<s_a>t' || event_id || '</s_a><s_b>1<sep/>None<sep/><s_x>' || event_type || '</s_x></s_b><s_c>True</s_c>' AS sorted_seq,
+  '<s_b>1<sep/>None<sep/><s_x>' || event_type || '</s_x></s_b><s_a>t' || event_id || '</s_a><s_c>True</s_c>' AS document_seq,
+  '{"a": "t' || event_id || '", "b": ["1", "None", {"x": "' || event_type || '"}], "c": "True"}' AS back FROM events""")
+def t_json(spark, sf):
+    """T1/T2/T11 without a schema: nested JSON with lists and nulls to tagged text, sorted and in document order, and back."""
+    ev = table(spark, sf, "events").select("event_id", "event_type")
+    js = F.concat(F.lit('{"b": [1, null, {"x": "'), c("event_type"), F.lit('"}], "a": {"text_sequence": "t'),
+                  c("event_id").cast("string"), F.lit('"}, "c": true}'))
+    df = ev.select("event_id", js.alias("js"))
+    df = df.select("event_id", S.linearise_json(c("js")).alias("sorted_seq"), S.linearise_json(c("js"), False).alias("document_seq"))
+    return df.withColumn("back", S.parse_json(c("sorted_seq")))
+
+
+@query("e_early_stop_gated", PW + f"""
+SELECT epoch, round(v, {R9}) AS mean_score, CAST(since_best AS INTEGER) AS since_best,
+  COALESCE(epoch = min(CASE WHEN since_best >= 2 THEN epoch END) OVER (), FALSE) AS stop
+FROM (SELECT *, n - max(CASE WHEN bp IS NULL OR v > bp THEN n END) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) AS since_best
+  FROM (SELECT *, max(v) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bp
+    FROM (SELECT *, row_number() OVER (ORDER BY epoch) AS n
+      FROM (SELECT CAST(epoch AS BIGINT) AS epoch, avg(bm) AS v
+            FROM (SELECT epoch, batch, avg(score) AS bm FROM scores WHERE (epoch + 1) % 2 = 0 GROUP BY epoch, batch) GROUP BY epoch))))""")
+def e_early_stop_gated(spark, sf):
+    """E6 + E7: patience counts the checks made every second epoch (max mode, patience 2)."""
+    st = E.epoch_stats(E.gate(B.scores(B.predictions(spark, sf)), 0, 2))
+    es = E.early_stop(st, "mean_score", 2, "max")
+    return es.select(c("epoch").cast("bigint").alias("epoch"), F.round("mean_score", R9).alias("mean_score"), "since_best", "stop")
+
+
+@query("i_decode", TW + """
+SELECT file, page_idx, seq || '</s>' AS text FROM targets""")
+def i_decode(spark, sf):
+    """Label ids decoded by look-up give the target sequence."""
+    df = S.label_ids(B.targets(spark, sf).select("file", "page_idx", "sequence"), "sequence")
+    return df.select("file", "page_idx", S.decode_ids(c("labels")).alias("text"))

@@ -9,6 +9,7 @@ from it.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -51,13 +52,18 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets it to shared storage; only when it is unset (local runs,
-    tests) do we point it at a fresh scratch folder.
+    Only where it is unset on a ``local`` master (one machine: scripts, tests)
+    a fresh scratch folder takes its place. On a cluster, executors would each
+    write to a disk of their own and later reads would miss those files, so
+    an unset folder is an error there.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: {master} needs a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="ledgerline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
@@ -84,24 +90,32 @@ def materialize(df, name: str = "tbl"):
 
 
 _MEMO: dict[tuple, str] = {}
-MEMO_CONF = "spark.ledgerline.memo.enabled"
 
 
-def memo_table(spark: SparkSession, key: tuple, build, must_materialize: bool = False):
+def memo_table(spark: SparkSession, key: tuple, build):
     """A prepared table written once per session and reused.
 
     ``build()`` returns the DataFrame to prepare; its parquet copy in the
     shared checkpoint folder serves every later request for the same key
-    (e.g. the page records of one data folder) within the application.
-    Turned off with ``spark.ledgerline.memo.enabled=false`` (the bench times
-    every query cold): then the plan is returned as is, or written once when
-    the caller reads it twice (``must_materialize``).
+    (e.g. the page records of one data folder) within the application. The
+    inputs are taken not to change meanwhile; ``forget_tables`` drops the
+    copies, so that the next request builds them again.
     """
-    if spark.conf.get(MEMO_CONF, "true").lower() != "true":
-        return materialize(build(), key[0]) if must_materialize else build()
     full = (spark.sparkContext.applicationId,) + tuple(key)
     path = _MEMO.get(full)
     if path is None:
         path = _write_table(build(), key[0])
         _MEMO[full] = path
     return spark.read.parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table, on whatever file system it lies."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def forget_tables(spark: SparkSession) -> None:
+    """Drop this application's prepared tables and delete their files."""
+    for key in [k for k in _MEMO if k[0] == spark.sparkContext.applicationId]:
+        delete_path(spark, _MEMO.pop(key))

@@ -50,6 +50,13 @@ def test_wholetext_nested_folders_and_suffix(spark, tmp_out):
     assert sorted(r["page_number"] for r in man) == [1, 2]
     listing = P.list_files(spark, root)
     assert P.missing_outputs(b.manifest, listing).count() == 2  # no images rendered here
+    dest = sorted(r["dest"] for r in b.manifest.collect())[0]
+    os.makedirs(os.path.dirname(os.path.join(tmp_out, dest)))
+    with open(os.path.join(tmp_out, dest), "w") as f:
+        f.write("image")
+    assert P.missing_outputs(b.manifest, P.list_files(spark, tmp_out)).count() == 1  # a listed URI is found
+    odd = P.ineligible_files(spark, root, "*.txt").collect()
+    assert [(os.path.basename(r["path"]), r["reason"]) for r in odd] == [("skip.csv", "suffix")]
 
 
 def test_diffs(spark):
@@ -96,3 +103,70 @@ def test_partial_rewrite_keeps_other_split(spark, tmp_out):
     assert P.read_metadata(spark, out, "train").count() == n_train
     P.write_metadata(b.metadata.filter("split = 'validation'"), out)
     assert P.read_metadata(spark, out, "train").count() == 0
+
+
+def test_bad_targets_are_false_and_quarantined(spark, tmp_out):
+    out = os.path.join(tmp_out, "m")
+    rows = [("train", "a", '{"gt_parse":{"pn":1}}'), ("train", "b", '{"gt_parse":"{x"}'), ("train", "c", "{broken"), ("train", "d", None),
+            ("train", "e", '{"gt_parse":[1]}'), ("train", "f", "[]")]
+    P.write_metadata(spark.createDataFrame(rows, "split string, file_name string, ground_truth string"), out)
+    back = P.read_metadata(spark, out)
+    assert {r["file_name"]: r["gt_ok"] for r in back.collect()} == {"a": True, "b": False, "c": False, "d": False, "e": False, "f": False}
+    assert {r["file_name"]: r["reason"] for r in P.quarantined_targets(back).collect()} == {
+        "b": "no_gt_parse_object", "c": "not_json", "d": "absent", "e": "no_gt_parse_object", "f": "no_gt_parse_object"}
+
+
+def test_settings_diff_lists_nulls_and_presence(spark):
+    mk = lambda text: spark.createDataFrame([(1, text)], "k int, settings string")
+    diff = lambda x, y: sorted((r["path"], r["kind"], r["a_value"], r["b_value"]) for r in C.settings_diff(mk(x), mk(y), ["k"]).collect())
+    assert diff('{"a": {"b": null}, "l": [1, 2, 2]}', '{"l": [2, 1, 2], "a": {"b": null}}') == []
+    assert diff('{"l": [1, 2, 2], "e": {}}', '{"l": [2, 1], "n": null}') == [
+        ("e", "removed", "{}", None), ("l[]", "removed", "2", None), ("n", "added", None, "null")]
+    none = spark.createDataFrame([("x", None)], "path string, value string")
+    assert C.identical(C.flat_diff(none, none, ["path"]))
+
+
+def test_state_diff_sees_the_shape(spark):
+    mk = lambda sh: spark.createDataFrame([("w", [1.0, 2.0, 3.0, 4.0, 5.0, 6.0], sh)], "key string, values array<double>, shape array<int>")
+    assert [r["kind"] for r in C.state_diff(mk([2, 3]), mk([3, 2]), shape="shape").collect()] == ["shape"]
+    assert C.state_diff(mk([2, 3]), mk([2, 3]), shape="shape").isEmpty()
+
+
+def test_token_diff_refuses_empty_lists(spark):
+    import pytest
+    empty = spark.createDataFrame([], "token string")
+    with pytest.raises(ValueError, match="empty"):
+        C.multiset_diff(empty, spark.createDataFrame([("a",)], "token string"))
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster():
+    import pytest
+    from ledgerline.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://head:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
+
+
+def test_prepared_table_is_read_again_and_forgotten(spark):
+    from ledgerline.session import forget_tables, memo_table
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(3)
+
+    first, second = memo_table(spark, ("t9", "x"), build), memo_table(spark, ("t9", "x"), build)
+    assert len(calls) == 1 and second.count() == 3 and first.inputFiles() == second.inputFiles()
+    assert "t9" in second._jdf.queryExecution().executedPlan().toString()
+    forget_tables(spark)
+    assert memo_table(spark, ("t9", "x"), build).count() == 3 and len(calls) == 2

@@ -24,6 +24,32 @@ def test_early_stop(spark):
     assert es[4]["since_best"] == 3 and es[4]["stop"] and not es[5]["stop"]
 
 
+def test_patience_counts_checks(spark):
+    vals = [(1, 5.0), (3, 4.0), (5, 4.5), (7, 4.6), (9, 4.7)]
+    df = spark.createDataFrame(vals, "epoch int, v double")
+    es = {r["epoch"]: r for r in E.early_stop(df, "v", 3).collect()}
+    assert [e for e, r in es.items() if r["stop"]] == [9] and es[7]["since_best"] == 2
+
+
+def test_accuracy_in_the_row(spark):
+    from pyspark.sql import types as T
+    sch = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+    rows = [("k1", ("1", "2"), ("1", None)), ("k2", (None, None), (None, None)), ("k3", (None, None), ("x", None))]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("key", T.StringType()), T.StructField("t", sch), T.StructField("p", sch)]))
+    acc = E.row_accuracy(df, "t", "p", sch)
+    assert {r["key"]: r["accuracy"] for r in acc.collect()} == {"k1": 0.5, "k2": 1.0, "k3": 0.0}
+    assert "Exchange" not in acc._jdf.queryExecution().executedPlan().toString()
+
+
+def test_row_at(spark):
+    df = spark.range(0, 1000, numPartitions=5).withColumn("k", F.xxhash64("id"))
+    want = sorted((r["k"], r["id"]) for r in df.collect())
+    for at in (0, 7, 999):
+        r = D.row_at(df, [F.col("k")], at).collect()
+        assert [(x["k"], x["id"], x["row_idx"]) for x in r] == [(*want[at], at)]
+    assert D.row_at(df, [F.col("k")], 1000).count() == 0
+
+
 def test_sample_every_small_dataset(spark):
     df = spark.createDataFrame([(i,) for i in range(3)], "i int")
     assert E.sample_every(df, [F.col("i")], 0.2).count() == 3

@@ -37,3 +37,29 @@ def test_scans_are_pruned(spark):
     plan = plan_of(E.queries()["x_money"](spark, SF_SMALL))
     scan = [line for line in plan.splitlines() if "FileScan" in line][0]
     assert "l_shipdate" not in scan and "l_returnflag" not in scan
+
+
+def test_each_pattern_searches_a_page_once(spark):
+    """Searches of the page text, by vendor: one for each pattern that the vendor has."""
+    import re
+    pages = materialize(fx.doc_pages(spark, SF_SMALL), "pages")
+    most = {"bank": 7, "savings": 7, "credit": 11, "utility": 7, "telecom": 8}
+    for vendor, n in most.items():
+        plan = plan_of(V.extract_records(pages, [vendor]))
+        assert len(re.findall(r"regexp_extract\(text#", plan)) <= n, vendor
+
+
+def test_document_table_is_pruned_by_vendor(spark, tmp_out):
+    from ledgerline.sources import pages as P
+    P.write_documents(fx.doc_files(spark, SF_SMALL, ["bank", "credit"]), tmp_out + "/docs")
+    plan = plan_of(V.extract_records(P.read_documents(spark, tmp_out + "/docs"), ["bank"]))
+    scans = [line for line in plan.splitlines() if "FileScan json" in line]
+    assert scans and any("PartitionFilters: [isnotnull(vendor" in s and "= bank)" in s for s in scans)
+
+
+def test_state_diff_shuffles_no_arrays(spark):
+    from ledgerline.operators import diff as C
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").selectExpr("vec_id as key", "embedding as values")
+    plan = plan_of(C.state_diff(emb, emb))
+    keys = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert keys and "a_values" not in plan

@@ -44,10 +44,69 @@ def test_round_trip(spark):
     assert r["gt"] == r["back"]
 
 
+def labels_of(spark, text, **kw):
+    return S.label_ids(spark.createDataFrame([(text,)], "s string"), "s", **kw).first()
+
+
 def test_labels_fixed_length(spark):
-    df = spark.createDataFrame([("<s_pn>1</s_pn></s>",)], "s string")
-    labels = df.select(S.label_ids(F.col("s"), max_length=10)).first()[0]
-    assert len(labels) == 10 and labels[-1] == S.IGNORE_ID
-    voc = S.vocabulary()
-    assert labels[0] == voc.index("<s_pn>") and labels[1] == 1000 + ord("1")
-    assert len(voc) == 59
+    r = labels_of(spark, "<s_pn>1</s_pn></s>", max_length=10)
+    voc = S.label_vocabulary()
+    assert r["labels"] == [voc.index("<s_pn>"), 1000 + ord("1"), voc.index("</s_pn>"), voc.index("</s>")] + [S.IGNORE_ID] * 6
+    assert r["n_tokens_full"] == 4 and not r["truncated"]
+    assert len(S.vocabulary()) == 59 and len(set(voc)) == 63
+
+
+def test_every_kind_of_token_has_its_own_id(spark):
+    voc = S.label_vocabulary()
+    r = labels_of(spark, "<doc_intel>a<sep/><<s_zzz><click/>Bell MTS</s><pad>", max_length=20)["labels"]
+    unk = voc.index("<unk>")
+    assert r[:10] == [voc.index("<doc_intel>"), 1000 + ord("a"), voc.index("<sep/>"), 1000 + ord("<"), unk, unk,
+                      voc.index("Bell MTS"), voc.index("</s>"), voc.index("<pad>"), S.IGNORE_ID]
+
+
+def test_truncation_is_told(spark):
+    r = labels_of(spark, "abcdef</s>", max_length=4)
+    assert len(r["labels"]) == 4 and r["n_tokens_full"] == 7 and r["truncated"]
+
+
+def test_text_sequence_with_absent_siblings_and_null_items(spark):
+    schema = T.StructType([T.StructField("text_sequence", T.StringType()), T.StructField("z", T.StringType()),
+                           T.StructField("l", T.ArrayType(T.StringType())), T.StructField("b", T.BooleanType())])
+    df = spark.createDataFrame([("raw", None, None, None), ("raw", "z", None, True), (None, None, ["1", None], None)], schema)
+    got = [r[0] for r in df.select(S.linearise(F.struct(*schema.fieldNames()), schema)).collect()]
+    assert got == ["raw", "<s_b>True</s_b><s_text_sequence>raw</s_text_sequence><s_z>z</s_z>", "<s_l>1<sep/>None</s_l>"]
+
+
+def test_cleanup_tag_may_hold_a_carriage_return(spark):
+    df = spark.createDataFrame([("<x\ry>one <s_a>1</s_a>",)], "raw string")
+    assert df.select(S.clean_prediction(F.col("raw"))).first()[0] == "one <s_a>1</s_a>"
+
+
+def test_arrays_come_back_as_arrays(spark):
+    schema = T.StructType([T.StructField("l", T.ArrayType(T.StringType())), T.StructField("n", T.IntegerType())])
+    df = spark.createDataFrame([(["1", "2"], 3), (["x"], None), (["1", None], 4)], schema).select(F.struct("l", "n").alias("gt"))
+    both = df.withColumn("seq", S.linearise(F.col("gt"), schema)).withColumn("back", S.parse_sequence(F.col("seq"), schema))
+    assert all(r["gt"] == r["back"] for r in both.collect())
+
+
+def test_json_without_schema(spark):
+    import json
+    docs = [{"b": [1, None, {"x": "y"}], "a": {"text_sequence": "t"}, "k": "click"}, [["p", "q"], "r"], {"a": {"b": {"c": "d"}}}, "plain"]
+    df = spark.createDataFrame([(json.dumps(d),) for d in docs] + [("{broken",), (None,)], "js string")
+    df = df.select(S.linearise_json(F.col("js"), categorical=["click"]).alias("s")).withColumn("back", S.parse_json(F.col("s"), ["click"]))
+    got = [(r["s"], r["back"] and json.loads(r["back"])) for r in df.collect()]
+    assert got == [
+        ("<s_a>t</s_a><s_b>1<sep/>None<sep/><s_x>y</s_x></s_b><s_k><click/></s_k>", {"a": "t", "b": ["1", "None", {"x": "y"}], "k": "click"}),
+        ("p<sep/>q<sep/>r", ["p", "q", "r"]), ("<s_a><s_b><s_c>d</s_c></s_b></s_a>", {"a": {"b": {"c": "d"}}}),
+        ("plain", {"text_sequence": "plain"}), (None, None), (None, None)]
+
+
+def test_unknown_and_unclosed_tags_are_kept(spark):
+    import json
+    df = spark.createDataFrame([("<s_new>1</s_new><s_open>2<s_in>3</s_in></s_none>",)], "s string")
+    assert json.loads(df.select(S.parse_json(F.col("s"))).first()[0]) == {"new": "1", "in": "3"}
+
+
+def test_decode(spark):
+    df = S.label_ids(spark.createDataFrame([("<s_pn>1é</s_pn></s>",)], "s string"), "s", max_length=8)
+    assert df.select(S.decode_ids(F.col("labels"))).first()[0] == "<s_pn>1é</s_pn></s>"

@@ -142,3 +142,69 @@ def test_page_reasons_and_reason_rows(spark):
     assert per_page == {0: "balance_mismatch", 1: ""}
     rows = R.reasons_table(R.file_verdicts(recs)).collect()
     assert [(r["file"], r["reason"]) for r in rows] == [("a.pdf", "balance_mismatch")]
+
+
+def test_no_page_vanishes(spark):
+    pages = pages_df(spark, [("bank", "a.pdf", 0, BANK_P0), ("acme", "b.pdf", 0, "x"), (None, "c.pdf", 0, "y")])
+    recs = V.extract_records(pages)
+    assert recs.count() == 3
+    v = {r["file"]: r["reasons"] for r in R.file_verdicts(recs).collect()}
+    assert v["b.pdf"] == v["c.pdf"] == "empty_file,page_count,unknown_vendor"
+
+
+def test_pages_that_an_extractor_drops_are_counted(spark):
+    V.register(V.Extractor("picky", "Bill", "Test", lambda df: df.filter("page_idx = 0 and file <> 'gone.pdf'").select(
+        "vendor", "file", "page_idx", F.lit(1).alias("pn"), F.lit(True).alias("kept"))))
+    try:
+        pages = pages_df(spark, [("picky", "c.pdf", 0, "a"), ("picky", "c.pdf", 1, "b"), ("picky", "gone.pdf", 0, "c"), ("picky", "d.pdf", 0, "d")])
+        v = {r["file"]: (r["n_pages"], r["n_records"], r["reasons"]) for r in R.file_verdicts(V.extract_records(pages, ["picky"])).collect()}
+        assert v == {"c.pdf": (2, 1, "page_count"), "gone.pdf": (1, 0, "empty_file,page_count"), "d.pdf": (1, 1, "")}
+    finally:
+        del V.REGISTRY["picky"]
+
+
+def test_user_extractor_info_page_has_a_name(spark):
+    from ledgerline.plans import build as B
+    pages = pages_df(spark, [("custom", "c.pdf", 0, "a"), ("custom", "c.pdf", 1, "b")])
+    recs = V.extract_with_pandas(pages, lambda texts: [{"pn": 1}, {"pn": "info"}], "custom", "Bill", "Test")
+    b = B.build_from_pages(None, records=recs)
+    names = sorted(r["file_name"] for r in b.metadata.collect())
+    assert names[0].startswith("images/custom_1_") and names[1].startswith("images/custom_info_")
+
+
+def test_page_number_reason(spark):
+    pages = pages_df(spark, [("utility", "u.pdf", 1, "no number here\nConsumption history\n"), ("utility", "w.pdf", 1, "0 / 2\nConsumption history\n")])
+    v = {r["file"]: r["reasons"] for r in R.file_verdicts(V.extract_records(pages, ["utility"])).collect()}
+    assert v == {"u.pdf": "page_number", "w.pdf": "page_number"}
+
+
+def test_strict_fails_on_the_first_reject(spark):
+    import pytest
+    pages = pages_df(spark, [("acme", "b.pdf", 0, "x")])
+    with pytest.raises(Exception, match="rejected b.pdf"):
+        R.strict(R.file_verdicts(V.extract_records(pages))).collect()
+
+
+def test_linear_patterns_match_as_the_printed_ones(spark):
+    import random
+    rnd = random.Random(4)
+    parts = ["1", "23", "123456789", "1234567890", " of ", " OF ", " / ", "x", "\n", ",", "٣", "  "]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(14))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    pairs = [(V.DEP_PAGE, V.DEP_PAGE_LINEAR, 3), (V.CC_PAGE, V.CC_PAGE_LINEAR, 3), (V.UT_PAGE, V.UT_PAGE_LINEAR, 2), (V.TC_ACCOUNT, V.TC_ACCOUNT_LINEAR, 1)]
+    for printed, linear, groups in pairs:
+        found = F.regexp_extract("text", "(?U)" + linear, 0)
+        df2 = df.withColumn("m", found)
+        for g in range(1, groups + 1):
+            again = F.regexp_extract("m", "(?U)" + (linear if printed is V.TC_ACCOUNT else printed), g)
+            assert df2.filter(F.regexp_extract("text", "(?U)" + printed, g) != again).count() == 0
+
+
+def test_a_page_of_a_megabyte_takes_a_moment(spark):
+    import time
+    pages = pages_df(spark, [(v, f"{v}{i}.pdf", 0, unit * (1_000_000 // len(unit)))
+                             for v in V.REGISTRY for i, unit in enumerate(("word and word ", "7", "line without digits\n", "12 "))])
+    began = time.time()
+    good = R.file_verdicts(V.extract_records(pages)).filter("ok").collect()
+    assert {r["vendor"] for r in good} == {"credit"}  # a page without a number is an information page there
+    assert time.time() - began < 60
