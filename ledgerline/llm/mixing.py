@@ -89,7 +89,9 @@ def slots(plan: DataFrame, block: int) -> DataFrame:
     short = need.join(got, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("got", F.coalesce("got", F.lit(0)))
     tail = short.where("got < need").select(
         "source", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("rank"))
-    return ranked.unionByName(tail.withColumn("slot", F.lit(n_slots) + F.col("rank")))
+    # a handful of slots for each source, after all others
+    last = F.row_number().over(Window.orderBy("rank", F.col("source").asc_nulls_last()))
+    return ranked.unionByName(tail.withColumn("slot", F.lit(n_slots) + last - 1))
 
 
 def place(sized: DataFrame) -> DataFrame:
