@@ -202,33 +202,39 @@ def x_default_zero(spark, sf):
                         .cast("double").alias("epp"))
 
 
-@query("x_negative_documents", """
-SELECT doc_id, CAST(0 AS INTEGER) AS n_fields FROM documents""")
-def x_negative_documents(spark, sf):
-    """Every label-anchored pattern over every whole document text: none may match or fail."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return docs.select("doc_id", _anchored_matches("text").alias("n_fields"))
-
-
-# Label-anchored statement patterns (the generic date / number sub-patterns
-# are only ever applied to text an anchored pattern already extracted).
+# Patterns without a label: plain numbers that any text may hold; DuckDB searches them by itself.
+_NUMBERS = {"DEP_PAGE_LINEAR": r"\d+\s+of\s+\d+", "CC_PAGE_LINEAR": r"\d+\s+OF\s+\d+", "UT_PAGE_LINEAR": r"\d+ / \d+",
+            "CC_ACCOUNT": r"\d{4}\D\d{2}\D{8}\d{4}", "UT_ACCOUNT": r"\d{7}\D\d{7}", "TC_ACCOUNT_LINEAR": r"\D\d{9}\D"}
+# Patterns with a label: no other text has one.
 _ANCHORED = ["DEP_PERIOD", "DEP_ACCOUNT", "DEP_OPENING", "DEP_CLOSING", "DEP_DEPOSITS", "DEP_WITHDRAWALS",
              "CC_PERIOD_FULL", "CC_PERIOD_SHORT", "CC_PREVIOUS", "CC_PAYMENTS", "CC_PURCHASES", "CC_NEW",
              "CC_CASH", "CC_INTEREST", "CC_FEES", "UT_PREVIOUS", "UT_ELECTRICITY", "UT_EPP", "UT_DUE",
-             "UT_BILL_DATE", "TC_INVOICE_DATE", "TC_DUE", "TC_PREVIOUS", "TC_INTERNET", "TC_GST", "TC_PST",
-             "CC_PAGE", "TC_PAGE"]
+             "UT_BILL_DATE", "TC_INVOICE_DATE", "TC_DUE", "TC_PREVIOUS", "TC_INTERNET", "TC_GST", "TC_PST", "TC_PAGE"]
+
 
+def _matches(text: str, patterns) -> Column:
+    return sum((X.rx(text, getattr(V, p), 0).isNotNull().cast("int") for p in patterns), F.lit(0)).cast("int")
 
-def _anchored_matches(text: str) -> Column:
-    return sum((X.rx(text, getattr(V, p), 1).isNotNull().cast("int") for p in _ANCHORED), F.lit(0)).cast("int")
+
+def _numbers_sql(text: str) -> str:
+    return " + ".join(f"CAST(regexp_matches({text}, '{p}') AS INTEGER)" for p in _NUMBERS.values())
+
+
+@query("x_negative_documents", f"""
+SELECT doc_id, CAST(0 AS INTEGER) AS n_fields, CAST({_numbers_sql('text')} AS INTEGER) AS n_numbers FROM documents""")
+def x_negative_documents(spark, sf):
+    """Every pattern that is searched in page text, over every whole document text: no labelled one
+    may match or fail, the plain numbers match where they stand."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return docs.select("doc_id", _matches("text", _ANCHORED).alias("n_fields"), _matches("text", _NUMBERS).alias("n_numbers"))
 
 
-@query("x_negative_pages", """
-SELECT page_id, CAST(0 AS INTEGER) AS n_fields FROM pages""")
+@query("x_negative_pages", f"""
+SELECT page_id, CAST(0 AS INTEGER) AS n_fields, CAST({_numbers_sql('html')} AS INTEGER) AS n_numbers FROM pages""")
 def x_negative_pages(spark, sf):
-    """Every label-anchored pattern over every raw web page (whole HTML): none may match or fail."""
+    """The same over every raw web page (whole HTML)."""
     pages = table(spark, sf, "pages").select("page_id", "html")
-    return pages.select("page_id", _anchored_matches("html").alias("n_fields"))
+    return pages.select("page_id", _matches("html", _ANCHORED).alias("n_fields"), _matches("html", _NUMBERS).alias("n_numbers"))
 
 
 # =========================================================== P: page extractors
