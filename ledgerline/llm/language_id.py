@@ -12,7 +12,9 @@ matrices: one weight for each bucket and class, summed over all n-grams of the w
 Calibrated rejection: a temperature fitted on documents kept from training makes the
 softmax a probability; a document is rejected if its probability, or the share of its
 features that training has seen (low in other scripts), is under the threshold that
-``REJECT_SHARE`` of the rightly told validation lines fall under, at most ``MOST``.
+``REJECT_SHARE`` of the rightly told validation lines fall under, and under a fixed bound
+(a probability hardly above an even guess; most features unseen): a document of two
+languages, or a very short one, is told, not rejected.
 
 Defined results: a null text or one without a letter gives ``und``, score 0, rejected; with
 no labelled rows to learn from, so does every text; rows that repeat are told alike; an
@@ -37,7 +39,8 @@ BUCKETS = 1 << 15
 DIM = 16
 DOCS_PER_LANG = 500
 EPOCHS, BATCH, RATE = 3, 64, 2.0
-REJECT_SHARE, MOST = 0.001, 0.5
+REJECT_SHARE = 0.001
+MOST_CHANCE, MOST_UNSEEN = 1.4, 0.5  # bounds of the thresholds: times an even guess; share of features
 _BLANKS = bytes(32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
 
 
@@ -161,8 +164,8 @@ def calibrate(model: Model, examples: list[tuple[bytes, int]]) -> Model:
     p = softmax(z / model.temperature)
     right = p.argmax(axis=1) == y
     if right.any():
-        model.threshold = float(min(MOST, np.quantile(p.max(axis=1)[right], REJECT_SHARE)))
-        model.familiar = float(min(MOST, np.quantile(seen[right], REJECT_SHARE)))
+        model.threshold = float(min(0.5, MOST_CHANCE / len(model.langs), np.quantile(p.max(axis=1)[right], REJECT_SHARE)))
+        model.familiar = float(min(MOST_UNSEEN, np.quantile(seen[right], REJECT_SHARE)))
     return model
 
 
