@@ -36,7 +36,7 @@ from .common import materialize, row_batches, row_key, text_words, whole_row
 BITS = 64
 SEED = 42
 SAMPLE = 4096
-SHARD_NODES = 4096
+SHARD_NODES = 1 << 16  # about a second of comparisons; fewer, larger shards have fewer visitors
 LEAF = 256
 HASH_CHUNK = 1 << 16
 
