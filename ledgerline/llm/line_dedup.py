@@ -107,7 +107,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = shared_path(docs.sparkSession, "lines")
     hashed_lines(docs, id_col, text_col).withColumn("batch", batch).write.partitionBy("batch").parquet(path)
     lines = docs.sparkSession.read.schema("id long, body long, pos int, h1 long, h2 long, batch int").parquet(path)
-    owner = owners(lines, n_batches)
+    # a table of its own: AQE splits the lines of a hot hash only where both sides are plain shuffles
+    owner = materialize(owners(lines, n_batches), "line-owners")
     drops = lines.join(owner, HASH).where(~F.col("id").eqNullSafe(F.col("owner.id")))
     drops = drops.groupBy(row_key(F.col("id"), F.col("body"))).agg(F.collect_set("pos").alias("_drop"))
     own = (text_col, "n_lines", "n_dropped")
