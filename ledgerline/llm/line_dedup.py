@@ -22,6 +22,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.session import delete_path
+
 from .common import STRIP_CHARS, ascii_lower, materialize, row_key, shared_path, whole_row
 
 MIN_KEY = 10
@@ -42,15 +44,23 @@ class Runs:
     """Levelled runs (h1, h2, owner, owner_null): bucketed, sorted tables in the shared folder."""
 
     def __init__(self, spark, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.spark, self.fanout, self.levels, self.names = spark, fanout, [[]], []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, df: DataFrame) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex}"
         (df.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", shared_path(self.spark, name))
          .format("parquet").saveAsTable(name))
+        self.names.append(name)
         return self.spark.table(name)
 
+    def drop(self) -> None:
+        """Forget the tables and delete their files, once no plan reads them any more."""
+        for name in self.names:
+            path = self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"]
+            self.spark.sql(f"DROP TABLE {name}")
+            delete_path(self.spark, path)
+
     def look_up(self, keys: DataFrame) -> DataFrame:
         """``keys`` with the owner that a run holds for the hash; runs share no hash."""
         for run in (r for level in self.levels for r in level):
@@ -93,6 +103,7 @@ def owners(lines: DataFrame, n_batches: int, fanout: int = FANOUT) -> DataFrame:
             runs.add(looked.where("not seen").select(*HASH, "owner"), compact=b < n_batches - 2)
         hits = looked.where("seen or many").select(*HASH, "owner")
         shared = hits if shared is None else shared.unionByName(hits)
+    runs.drop()  # every batch's look-up is written
     return shared.groupBy(*HASH).agg(F.min("owner").alias("owner"))
 
 
