@@ -150,7 +150,7 @@ def reasons_sql(*flags: str) -> str:
 
 
 VERDICT_SQL = f"""
-verdicts AS (
+verdicts AS MATERIALIZED (
   SELECT 'bank' AS vendor, file, {reasons_sql('balance_mismatch', 'missing_field', 'page_count')} AS reasons FROM bank_t
   UNION ALL
   SELECT 'savings', file, {reasons_sql('balance_mismatch', 'missing_field', 'page_count')} FROM savings_t
@@ -261,10 +261,10 @@ def _doc_key(file: str = "file", idx: str = "page_idx") -> str:
 
 
 RECORDS_SQL = f"""
-rec_t AS (
+rec_t AS MATERIALIZED (
 {_rec_union()}
 ),
-targets AS (
+targets AS MATERIALIZED (
   SELECT r.*, {_seq_sql()} AS seq, {_doc_key()} AS doc_key,
     CASE WHEN {_doc_key()} % 100 < 80 THEN 'train' ELSE 'validation' END AS split
   FROM rec_t r JOIN verdicts USING (vendor, file) WHERE r.kept AND verdicts.reasons = ''
@@ -277,10 +277,10 @@ EPOCHS = 6
 BATCH = 3
 
 PRED_SQL = f"""
-val AS (
+val AS MATERIALIZED (
   SELECT *, row_number() OVER (ORDER BY doc_key, file, page_idx) - 1 AS idx FROM targets WHERE split = 'validation'
 ),
-preds AS (
+preds AS MATERIALIZED (
   SELECT e.epoch, CAST(floor(idx / {BATCH}) AS BIGINT) AS batch, val.*,
     '<doc_intel>' || (CASE WHEN doc_key % 3 = 0 THEN replace(s2, '>', '> ') ELSE s2 END) || '</s>' || '<pad>' AS raw,
     (doc_key % (e.epoch + 2) = 0) AS c7, (doc_key % 7 = 0) AS ctw
@@ -288,7 +288,7 @@ preds AS (
   LATERAL (SELECT CASE WHEN doc_key % 7 = 0 THEN regexp_replace(s1, '<s_tw>.*?</s_tw>', '') ELSE s1 END AS s2
            FROM (SELECT CASE WHEN doc_key % (e.epoch + 2) = 0 THEN translate(seq, '7', '1') ELSE seq END AS s1))
 ),
-scores AS (
+scores AS MATERIALIZED (
   SELECT epoch, batch, idx, file, page_idx, vendor, t, doc_key,
     CASE WHEN greatest(length(pc), length(seq)) = 0 THEN 0.0
          ELSE CAST(levenshtein(pc, seq) AS DOUBLE) / greatest(length(pc), length(seq)) END AS score

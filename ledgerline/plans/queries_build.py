@@ -332,12 +332,14 @@ def e_by_type(spark, sf):
 
 
 @query("e_sample", PW + """
-SELECT file, page_idx FROM scores WHERE epoch = 0
-  AND idx % greatest(1, CAST(floor((SELECT count(*) FROM scores WHERE epoch = 0) * 0.2) AS BIGINT)) = 0""")
+SELECT CAST(epoch AS BIGINT) AS epoch, file, page_idx FROM scores
+WHERE idx % greatest(1, CAST(floor((SELECT count(*) FROM val) * 0.2) AS BIGINT)) = 0""")
 def e_sample(spark, sf):
-    """Every int(n * 0.2)-th prediction of an epoch, by position."""
-    sc = B.scores(B.predictions(spark, sf)).filter(c("epoch") == 0)
-    return E.sample_every(sc.drop("idx"), [c("doc_key"), c("file"), c("page_idx")], 0.2).select("file", "page_idx")
+    """Every int(n * 0.2)-th document by position, its prediction in every epoch."""
+    sc = B.scores(B.predictions(spark, sf)).drop("idx")
+    val = B.targets(spark, sf).filter(c("split") == "validation").select("doc_key", "file", "page_idx")
+    chosen = E.sample_every(val, [c("doc_key"), c("file"), c("page_idx")], 0.2).select("file", "page_idx")
+    return sc.join(chosen, ["file", "page_idx"]).select(c("epoch").cast("bigint").alias("epoch"), "file", "page_idx")
 
 
 @query("e_bad_cases", PW + """
