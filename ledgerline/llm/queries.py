@@ -83,6 +83,12 @@ s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.x, c.x) a
       from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
 select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 5""",
+    "op2_warc": """
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as sha, max(page_id) over (partition by coalesce(html, '')) as last from pages)
+select page_id, cast(strlen(h) as bigint) as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         cast(((cast('0x' || substr(sha, cast((i // 4) * 5 + 1 as int), 5) as int) >> cast(15 - 5 * (i % 4) as int)) & 31) + 1 as int), 1)), '') as payload_digest,
+       case when page_id = last then 'response' else 'revisit' end as record_type, case when page_id <> last then last end as refers_to from p""",
     "op3_mixing": r"""
 with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
                   md5(coalesce(cast(doc_id as varchar), '')) as ord from documents),
