@@ -110,7 +110,7 @@ def search(q: np.ndarray, own: np.ndarray, least: np.ndarray, tree: tuple, x: np
     if x.size and q.size and float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < EXACT:
         x, q = x.astype(np.float64), q.astype(np.float64)
     for i in range(len(q)):
-        kth, score, found = float(least[i]), np.zeros(0, x.dtype), np.zeros(0, np.int64)
+        kth, score, found = int(least[i]), np.zeros(0, x.dtype), np.zeros(0, np.int64)
         row = bound[i]
         heap = [(-row[0], 0)]
         while heap:
@@ -130,7 +130,7 @@ def search(q: np.ndarray, own: np.ndarray, least: np.ndarray, tree: tuple, x: np
                 top = best(score, found, k)
                 score, found = score[top], found[top]
                 if len(score) == k:
-                    kth = max(kth, float(score[-1]))
+                    kth = max(kth, int(score[-1]))
         yield score.astype(np.int64), found
 
 
