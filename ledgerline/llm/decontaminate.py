@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, row_batches, row_key, whole_row
 
-# fixed masks: 1 takes the word, 0 ignores it; all, every fifth, every fourth, every third word ignored
-MASKS = ("1111111", "11110111", "111011101", "1101101101")
+# fixed masks: 1 takes the word, 0 ignores it; all, every fifth, every fourth, every third word ignored, and two
+# for substitutions close together: of the 78 pairs of substituted words in a window none is without a seed
+MASKS = ("1111111", "11110111", "111011101", "1101101101", "1111001111", "11110101111")
 WINDOW = 13
 AGREE = 0.8
 MIN_BLOOM_BITS, MAX_BLOOM_BITS, PROBES = 16, 26, 3

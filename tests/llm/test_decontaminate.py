@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 
@@ -45,6 +46,20 @@ def test_substituted_words_are_tolerated(spark):
     assert all(d < 1000 for d, _ in got)
 
 
+def test_every_pair_of_substitutions_in_a_window_is_found(spark):
+    words = [f"w{i}" for i in range(dc.WINDOW)]
+    rows = []
+    for k, pair in enumerate(combinations(range(dc.WINDOW), 2)):
+        noise = [f"n{k}x{i}" for i in range(20)]
+        rows.append((k, " ".join(noise + [f"other{p}" if p in pair else w for p, w in enumerate(words)] + noise)))
+    # two substitutions more outside the good window
+    rows.append((1000, " ".join(["a", *[f"other{p}" if p in (5, 7) else w for p, w in enumerate(words)], "b", "b"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["x", *words, "y", "z"]))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(docs, items).collect()}
+    assert got == {(d, i) for d, _ in rows for i in (1, 2)}
+
+
 def test_edge_rows(spark):
     passage = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, passage, 1), (3, passage, 1), (None, "x " + passage, 2),
