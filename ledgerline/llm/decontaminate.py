@@ -4,7 +4,8 @@ Fixed masks over consecutive words ignore some positions, so that a seed hash su
 substituted word there. The seeds of all benchmark items are joined with the seeds of all
 documents; each hit names a diagonal (document position minus item position), along which
 the words are compared one by one: the pair counts if some ``WINDOW`` aligned words agree in
-at least ``AGREE`` of them.
+at least ``AGREE`` of them. Of an item shorter than ``WINDOW`` (``SHORTEST`` words at least) all words
+must agree.
 
 A Bloom filter of the benchmark's seeds, at most ``2^MAX_BLOOM_BITS`` bits whatever the
 benchmark's size, goes to all tasks; a larger benchmark makes it denser, never wrong. Only
@@ -14,7 +15,7 @@ is salted, as one passage may lie in a third of all documents.
 Words: case-folded, ASCII punctuation taken as white space.
 
 Defined results: null or empty texts and items take no part, nor do items of fewer words than
-``WINDOW`` (too short to be evidence); rows that repeat an id are one document; a null doc_id
+``SHORTEST`` (too short to be evidence; ``not_checkable`` names them); rows that repeat an id are one document; a null doc_id
 is reported as null; empty tables give no rows.
 """
 
@@ -37,6 +38,7 @@ from .common import materialize, row_batches, row_key, whole_row
 MASKS = ("1111111", "11110111", "111011101", "1101101101", "1111001111", "11110101111")
 WINDOW = 13
 AGREE = 0.8
+SHORTEST = len(MASKS[0])  # words of the shortest item that has a seed: the first mask takes every word
 MIN_BLOOM_BITS, MAX_BLOOM_BITS, PROBES = 16, 26, 3
 SALTS = 8
 _PUNCTUATION = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -75,8 +77,8 @@ def index_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
             out = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = word_hashes(text)
-                if len(w) >= WINDOW:
-                    s = list(seeds(w))
+                if len(w) >= SHORTEST:
+                    s = list(seeds(w))[:len(MASKS) if len(w) >= WINDOW else 1]  # with no word changed the first mask fits
                     out.append((i, w.view(np.int64), np.concatenate([np.arange(len(x)) for x in s]), np.concatenate(s).view(np.int64)))
             cols = [pa.array(c) for c in zip(*out)] if out else [[]] * 4
             kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3]
@@ -87,6 +89,19 @@ def index_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
         run, "item_id long, item_words array<long>, at array<long>, seed array<long>")
 
 
+def not_checkable(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_id, n_words) of the items that are too short to be looked for, null and empty ones included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [len(word_hashes(text)) for text in b.column(1).to_pylist()]
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["item_id", "n_words"])
+            yield out.filter(pa.array([k < SHORTEST for k in n], pa.bool_()))
+
+    row_batches(items.sparkSession)
+    return items.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "item_id long, n_words long")
+
+
 def bloom(item_seeds: DataFrame) -> tuple[int, np.ndarray]:
     """(bits, bitmap bytes): made by Spark, one row for each 64 bits that has any."""
     n = item_seeds.count()
@@ -146,14 +161,16 @@ def regions(docs: DataFrame, bits: int, bitmap: np.ndarray, id_col: str, text_co
 def overlap(words: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
     """(first, end, agreeing words) in the item of the stretch that its good windows cover."""
     lo, hi = max(0, -diagonal), min(len(item), len(words) - diagonal)
-    if hi - lo < WINDOW:
+    window = min(WINDOW, len(item))
+    need = math.ceil(AGREE * WINDOW) if window == WINDOW else window
+    if hi - lo < window:
         return None
     same = words[lo + diagonal:hi + diagonal] == item[lo:hi]
     run = np.concatenate([[0], np.cumsum(same)])
-    good = np.flatnonzero(run[WINDOW:] - run[:-WINDOW] >= math.ceil(AGREE * WINDOW))
+    good = np.flatnonzero(run[window:] - run[:-window] >= need)
     if not len(good):
         return None
-    first, end = int(good[0]), int(good[-1]) + WINDOW
+    first, end = int(good[0]), int(good[-1]) + window
     return lo + first, lo + end, int(run[end] - run[first])
 
 

@@ -60,6 +60,21 @@ def test_every_pair_of_substitutions_in_a_window_is_found(spark):
     assert got == {(d, i) for d, _ in rows for i in (1, 2)}
 
 
+def test_short_items_count_if_all_their_words_agree(spark):
+    noise = " ".join(f"n{i}" for i in range(30))
+    rows, items = [], [(100, "one two three four five six"), (101, None), (102, "")]
+    for n in range(7, 13):
+        w = [f"s{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(w)))
+        rows += [(n, f"{noise} {' '.join(w)} {noise}"), (1000 + n, f"{noise} {' '.join(w[:-1])} other {noise}"), (2000 + n, " ".join(w))]
+    rows.append((100, f"{noise} one two three four five six {noise}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_same, r.n_aligned, r.doc_start) for r in dc.contaminated(docs, bench).collect())
+    assert got == sorted([(n + d, n, n, n, 0 if d else 30) for n in range(7, 13) for d in (0, 2000)])
+    assert sorted((r.item_id, r.n_words) for r in dc.not_checkable(bench).collect()) == [(100, 6), (101, 0), (102, 0)]
+
+
 def test_edge_rows(spark):
     passage = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, passage, 1), (3, passage, 1), (None, "x " + passage, 2),
