@@ -11,10 +11,9 @@ matrices: one weight for each bucket and class, summed over all n-grams of the w
 
 Calibrated rejection: a temperature fitted on documents kept from training makes the
 softmax a probability; a document is rejected if its probability, or the share of its
-features that training has seen (low in other scripts), is under the threshold that
-``REJECT_SHARE`` of the rightly told validation lines fall under, and under a fixed bound
-(a probability hardly above an even guess; most features unseen): a document of two
-languages, or a very short one, is told, not rejected.
+features that training has seen (low in other scripts and in noise), is under the threshold
+that ``REJECT_SHARE`` of the rightly told validation lines fall under. The features seen are
+kept in a bitmap of a wider hash, at least ``SPARE`` bits for each, so that it never fills up.
 
 Defined results: a null text or one without a letter gives ``und``, score 0, rejected; with
 no labelled rows to learn from, so does every text; rows that repeat are told alike; an
@@ -40,7 +39,7 @@ DIM = 16
 DOCS_PER_LANG = 500
 EPOCHS, BATCH, RATE = 3, 64, 2.0
 REJECT_SHARE = 0.001
-MOST_CHANCE, MOST_UNSEEN = 1.4, 0.5  # bounds of the thresholds: times an even guess; share of features
+SPARE, MAX_SEEN_BITS = 16, 28  # an unseen feature passes for a seen one at most once in SPARE times
 _BLANKS = bytes(32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
 
 
@@ -49,8 +48,8 @@ def normalised(text: str) -> bytes:
     return b" ".join([b"", *text.lower().encode("utf-8").translate(_BLANKS).split(), b""])
 
 
-def buckets(data: np.ndarray, n: int) -> np.ndarray:
-    """Bucket of the n-gram at every position of ``data`` (bytes as uint32)."""
+def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """32-bit hash of the n-gram at every position of ``data`` (bytes as uint32); the first 15 bits are its bucket."""
     m = max(len(data) - n + 1, 0)
     h = np.full(m, 2166136261 + n, dtype=np.uint32)
     for k in range(n):
@@ -58,18 +57,36 @@ def buckets(data: np.ndarray, n: int) -> np.ndarray:
         h += data[k:k + m]
     h ^= h >> np.uint32(15)
     h *= np.uint32(2654435769)
-    return h >> np.uint32(32 - 15)
+    return h
+
+
+def buckets(data: np.ndarray, n: int) -> np.ndarray:
+    return gram_hashes(data, n) >> np.uint32(32 - 15)
 
 
 assert BUCKETS == 1 << 15
 
 
+def seen_bitmap(texts: list[bytes]) -> tuple[int, np.ndarray]:
+    """(bits, bitmap bytes) of the n-grams of ``texts``."""
+    grams = np.zeros(0, dtype=np.uint32)
+    for lo in range(0, len(texts), 1000):
+        data = [np.frombuffer(t, dtype=np.uint8).astype(np.uint32) for t in texts[lo:lo + 1000]]
+        grams = np.unique(np.concatenate([grams, *(gram_hashes(d, n) for d in data for n in GRAMS)]))
+    bits = min(MAX_SEEN_BITS, max(16, int(np.ceil(np.log2(max(len(grams), 1) * SPARE)))))
+    bitmap = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    at = grams >> np.uint32(32 - bits)
+    np.bitwise_or.at(bitmap, at >> np.uint32(3), np.uint8(1) << (at & np.uint32(7)).astype(np.uint8))
+    return bits, bitmap
+
+
 @dataclass
 class Model:
     langs: list[str]
     weights: np.ndarray  # (classes, BUCKETS): embeddings times softmax weights
     bias: np.ndarray
-    seen: np.ndarray  # (BUCKETS): 1 where training had a feature
+    seen_bits: int
+    seen: np.ndarray  # bitmap: 1 where training had a feature
     temperature: float = 1.0
     threshold: float = 0.0
     familiar: float = 0.0
@@ -86,12 +103,15 @@ class Model:
             rows = np.flatnonzero(stops > starts)
             if not len(rows):
                 continue
-            h = buckets(data, n)
+            g = gram_hashes(data, n)
+            h, at = g >> np.uint32(32 - 15), g >> np.uint32(32 - self.seen_bits)
+            known = (self.seen[at >> np.uint32(3)] >> (at & np.uint32(7)).astype(np.uint8) & np.uint8(1)).astype(np.float64)
             cuts = np.stack([starts[rows], np.minimum(stops[rows], len(h))], axis=1).ravel()
             cuts = cuts[:-1] if cuts[-1] == len(h) else cuts
             total[rows] += stops[rows] - starts[rows]
-            for c, w in enumerate([*self.weights, self.seen]):
+            for c, w in enumerate(self.weights):
                 out[rows, c] += np.add.reduceat(w[h], cuts)[::2]
+            out[rows, -1] += np.add.reduceat(known, cuts)[::2]
         out /= np.maximum(total, 1)[:, None]
         return out[:, :-1] + self.bias, out[:, -1]
 
@@ -145,10 +165,7 @@ def fit(examples: list[tuple[bytes, int]], langs: list[str], seed: int = 7) -> M
             emb[uniq] -= rate * np.add.reduceat(back[order_idx], first)
             out -= rate / len(rows) * (mean.T @ g)
             bias -= rate / len(rows) * g.sum(axis=0)
-    seen = np.zeros(BUCKETS, dtype=np.float32)
-    for h, _ in bags:
-        seen[h] = 1
-    return Model(langs, np.ascontiguousarray((emb @ out).T), bias.astype(np.float64), seen)
+    return Model(langs, np.ascontiguousarray((emb @ out).T), bias.astype(np.float64), *seen_bitmap([t for t, _ in examples]))
 
 
 def calibrate(model: Model, examples: list[tuple[bytes, int]]) -> Model:
@@ -164,8 +181,8 @@ def calibrate(model: Model, examples: list[tuple[bytes, int]]) -> Model:
     p = softmax(z / model.temperature)
     right = p.argmax(axis=1) == y
     if right.any():
-        model.threshold = float(min(0.5, MOST_CHANCE / len(model.langs), np.quantile(p.max(axis=1)[right], REJECT_SHARE)))
-        model.familiar = float(min(MOST_UNSEEN, np.quantile(seen[right], REJECT_SHARE)))
+        model.threshold = float(np.quantile(p.max(axis=1)[right], REJECT_SHARE))
+        model.familiar = float(np.quantile(seen[right], REJECT_SHARE))
     return model
 
 

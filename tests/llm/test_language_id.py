@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from ledgerline.llm import language_id as li
 from ledgerline.llm import queries
 
@@ -37,3 +41,17 @@ def test_edge_rows(spark):
     # letters of a script never seen are not told with confidence
     far = spark.createDataFrame([(1, "日本語のテキスト" * 20)], "doc_id long, text string")
     assert li.predict(far, model).first().rejected
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_unseen_scripts_and_noise_are_rejected_whatever_the_training_size(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    model = li.train(docs)
+    rnd = random.Random(5)
+    scripts = ["日本語のテキスト", "Это русский текст о погоде ", "αυτό είναι κείμενο ", "هذا نص عربي ", "한국어 텍스트입니다 "]
+    noise = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(200)) for _ in range(100)]
+    assert model.tell([li.normalised(s * k) for s in scripts for k in (1, 20)])[2].all()
+    assert model.tell([li.normalised(t) for t in noise])[2].all()
+    rows = [r.text for r in docs.where("lang is not null and length(text) > 100").limit(1000).collect()]
+    assert model.tell([li.normalised(t) for t in rows])[2].mean() <= 0.01
+    assert model.tell([li.normalised(" ".join(t.split()[:8])) for t in rows])[2].mean() <= 0.02
