@@ -2,8 +2,8 @@
 
 A text's features are its byte n-grams (``GRAMS``) over lower-cased letters, hashed into
 ``BUCKETS``; their embeddings are averaged and a linear softmax gives the languages. The
-model is trained by stochastic gradient descent in numpy on the driver, on at most about
-``DOCS_PER_LANG`` labelled documents of each language (chosen by hash, whole texts, cut
+model is trained by stochastic gradient descent in numpy on the driver, on at most
+``DOCS_PER_LANG`` labelled rows of each language (chosen by hash, whole texts, cut
 into lines so that short texts are learned too). Everything else covers all documents.
 
 As the classes are linear in the averaged embeddings, prediction uses the product of both
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_batches
@@ -186,17 +186,25 @@ def calibrate(model: Model, examples: list[tuple[bytes, int]]) -> Model:
     return model
 
 
+def sample(rows: DataFrame, counts: dict[str, int], docs_per_lang: int, id_col: str, lang_col: str) -> DataFrame:
+    """At most ``docs_per_lang`` of ``rows`` for each language; rows of equal or null ids are drawn one by one."""
+    kept = rows.columns
+    lot = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.col(id_col), F.lit("train")), F.lit(1 << 30))
+    share = F.create_map(*[F.lit(x) for k in counts for x in (k, int((1 << 30) * min(1.0, 2 * docs_per_lang / counts[k])))])
+    few = rows.withColumn("_lot", lot).where(F.col("_lot") < share[F.col(lang_col)])
+    few = few.withColumn("_rank", F.row_number().over(Window.partitionBy(lang_col).orderBy("_lot")))
+    return few.where(F.col("_rank") <= docs_per_lang).select(*[F.col(f"`{c}`") for c in kept])
+
+
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           docs_per_lang: int = DOCS_PER_LANG) -> Model | None:
-    """``labelled``: the rows to learn from. A hash of the id picks about ``docs_per_lang`` of each language."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    """``labelled``: the rows to learn from. A hash of row number and id picks at most ``docs_per_lang`` of each language."""
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(id_col, text_col, lang_col)
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return None
     langs = sorted(counts)
-    lot = F.pmod(F.xxhash64(F.col(id_col), F.lit("train")), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, int((1 << 30) * min(1.0, docs_per_lang / counts[k])))])
-    picked = rows.where(lot < share[F.col(lang_col)]).select(
+    picked = sample(rows, counts, docs_per_lang, id_col, lang_col).select(
         F.col(text_col).alias("t"), F.col(lang_col).alias("l"), (F.pmod(F.xxhash64(F.col(id_col), F.lit("valid")), F.lit(5)) == 0).alias("v"))
     fits, valid = [], []
     for r in sorted(picked.collect(), key=lambda r: (r.l, r.t)):

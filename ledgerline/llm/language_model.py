@@ -8,7 +8,7 @@
    (count + 0.5) / (sum over its known words + 0.5 for one unseen word).
 3. Log-bilinear model: the score of class k after classes c1, c2 is (A1[c1] + A2[c2]) . Q[k]
    + b[k]. Noise-contrastive estimation in numpy: from a start on a bounded sample
-   (``WARM_DOCS`` documents, by hash), every task passes once over all its training texts, and
+   (at most ``WARM_DOCS`` rows, by a hash of row number and text), every task passes once over all its training texts, and
    Spark averages the tasks' parameters, weighted by their tokens.
 4. Scores: a batched matrix product gives the normaliser of each context of two classes, so
    log P(token) = log P(class | context) + log P(token | class) sums to one over the vocabulary
@@ -227,12 +227,20 @@ class LogBilinear:
         return (s - self.normalisers(c1, c2)).astype(np.float64) / np.log(10)
 
 
-def fit(texts: DataFrame, lot: Column, n_texts: int, v: Vocabulary) -> LogBilinear:
-    """``texts``: one text column, the training rows; ``lot``: a hash in [0, 2^30) of a row."""
+def warm_sample(texts: DataFrame, n_texts: int) -> DataFrame:
+    """At most ``WARM_DOCS`` rows of the one column; rows of equal or null texts are drawn one by one."""
+    text = texts.columns[0]
+    lot = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.col(text)), F.lit(1 << 30)).alias("lot")
+    few = texts.select(text, lot).where(F.col("lot") < int((1 << 30) * min(1.0, 2 * WARM_DOCS / n_texts)))
+    return few.orderBy("lot").limit(WARM_DOCS).select(text)
+
+
+def fit(texts: DataFrame, n_texts: int, v: Vocabulary) -> LogBilinear:
+    """``texts``: one text column, the ``n_texts`` training rows."""
     model = LogBilinear.start(v.open().class_shares())
     if not n_texts:
         return model
-    few = texts.where(lot < int((1 << 30) * min(1.0, WARM_DOCS / n_texts))).collect()
+    few = warm_sample(texts, n_texts).collect()
     rng = np.random.default_rng(5)
     for _ in range(WARM_EPOCHS):
         for _, _, _, _, k, c1, c2 in streams(sorted(r[0] or "" for r in few), v):
@@ -268,8 +276,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     counts = materialize(count_words(training), "lm-counts")
     v = vocabulary(counts, local)
     end = counts.where(F.length("word") == 0).first()
-    lot = F.pmod(F.xxhash64("t"), F.lit(1 << 30))
-    model = fit(training, lot, end.n if end else 0, v)
+    model = fit(training, end.n if end else 0, v)
     shared = spark.sparkContext.broadcast((v, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.llm import language_id as li
 from ledgerline.llm import queries
@@ -55,3 +56,12 @@ def test_unseen_scripts_and_noise_are_rejected_whatever_the_training_size(spark,
     rows = [r.text for r in docs.where("lang is not null and length(text) > 100").limit(1000).collect()]
     assert model.tell([li.normalised(t) for t in rows])[2].mean() <= 0.01
     assert model.tell([li.normalised(" ".join(t.split()[:8])) for t in rows])[2].mean() <= 0.02
+
+
+def test_sample_is_bounded_though_ids_repeat(spark):
+    i = F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.lit(7)).cast("long")
+    rows = spark.range(4000).select(i.alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"),
+                                    F.when(F.col("id") < 3990, F.lit("en")).otherwise(F.lit("fr")).alias("lang"))
+    got = li.sample(rows, {"en": 3990, "fr": 10}, 100, "doc_id", "lang").collect()
+    assert sum(r.lang == "en" for r in got) == 100 and sum(r.lang == "fr" for r in got) == 10
+    assert 20 < sum(r.doc_id is None for r in got) < 90

@@ -68,3 +68,13 @@ def test_edge_rows(spark):
     assert abs(got[0].base_score - got[0].n_tokens * math.log10(0.5 / 0.5)) < 1e-9
     assert lm.score(docs.limit(0), F.lit(True)).count() == 0
     assert queries.op7_language_model(spark, "/root/testdata/sf0.001").count() == 200
+
+
+def test_warm_sample_is_bounded_and_mixed(spark, monkeypatch):
+    monkeypatch.setattr(lm, "WARM_DOCS", 300)
+    text = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit("copy")).otherwise(F.concat(F.lit("own "), F.col("id")))
+    rows = [r.t for r in lm.warm_sample(spark.range(9000).select(text.cast("string").alias("t")), 9000).collect()]
+    assert len(rows) == 300
+    assert all(50 < n < 150 for n in (rows.count(None), rows.count("copy"), sum("own" in (t or "") for t in rows)))
+    few = spark.range(7).select(F.lit("x").alias("t"))
+    assert lm.warm_sample(few, 7).count() == 7
