@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, knn, language_id, language_model, line_dedup, mixing, simhash, url_filter, warc
+from . import (decontaminate, html_extract, knn, language_id, language_model, line_dedup, mixing, periodic_runs, sharding, simhash, url_filter,
+               warc, whitening)
+from .common import WORD
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -71,9 +73,42 @@ def op10_decontamination(spark, sf_dir):
     return found.drop("body")
 
 
+def op11_sharding(spark, sf_dir):
+    return sharding.shard_rows(_read(spark, sf_dir, "documents"), n_shards=8, keep=["doc_id"])
+
+
+def planted_runs(docs):
+    """(doc_id, text) where a tenth of the ids repeat from word a on with period p, as the contract of op12 says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"))
+    docs = docs.withColumn("n", F.size("words").cast("long")).withColumn("g", F.expr("h div 10"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    place = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    words = F.transform(place, lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return docs.select("doc_id", F.when(F.col("n") > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic_runs.periodic_runs(planted_runs(_read(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select("doc_id", "n_runs", "top.start", "top.length", "top.period",
+                        F.expr("(1000 * top.length) div top.period").alias("exponent_milli"),
+                        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_whitening(spark, sf_dir):
+    white = whitening.whiten(_read(spark, sf_dir, "embeddings"), components=32, scale=64, offset=1_000_000)
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("pos", "c")
+    out = white.select("vec_id", "n", "deviation", "identity_error", each)
+    return out.select("vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
 QUERIES = {"op1_knn": op1_knn, "op2_warc": op2_warc, "op3_mixing": op3_mixing, "op4_html_extract": op4_html_extract,
            "op5_url_filter": op5_url_filter, "op6_line_dedup": op6_line_dedup,
-           "op7_language_model": op7_language_model, "op8_simhash": op8_simhash, "op9_language_id": op9_language_id, "op10_decontamination": op10_decontamination}
+           "op7_language_model": op7_language_model, "op8_simhash": op8_simhash, "op9_language_id": op9_language_id,
+           "op10_decontamination": op10_decontamination, "op11_sharding": op11_sharding, "op12_periodic_runs": op12_periodic_runs,
+           "op13_whitening": op13_whitening}
 
 ORACLE = {
     "op1_knn": """
@@ -120,4 +155,20 @@ g as (select key, min(doc_id) as owner from k where length(key) >= 10 group by k
 j as (select k.*, g.owner is not null and g.owner <> k.doc_id as gone from k left join g on k.key = g.key)
 select any_value(doc_id) as doc_id, any_value(cast(c as bigint)) as n_lines, cast(count(*) filter (gone) as bigint) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256 from j group by n""",
+    "op11_sharding": r"""
+with recursive bits(n, i, c) as (select cast(range as bigint), 0, cast(range as bigint) from range(256)
+  union all select n, i + 1, xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end) from bits where i < 8),
+crc as (select list(c order by n) as t from bits where i = 8),
+d as (select doc_id, coalesce(text, '') as text, row_number() over () as n from documents),
+k as (select doc_id, cast(strlen(text) + 1 as bigint) as size,
+             list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: cast('0x' || x as bigint)) as bytes,
+             md5(text)[:16] || md5(coalesce(cast(doc_id as varchar), ''))[:16] || md5(cast(n as varchar))[:16] as key from d),
+e as (select g.d, substr(key, 1, g.d) as edge, sum(size) as b from k, (select 3 * range + 3 as d from range(16)) g group by all),
+f as (select d, edge, coalesce(sum(b) over (partition by d order by edge rows between unbounded preceding and 1 preceding), 0) as below from e
+      union all select range * 3 + 3, 'g', (select sum(size) from k) from range(16)),
+t as (select i.range as i, (select sum(size) from k) / 8.0 as share from range(1, 8) i),
+s as (select i, edge, row_number() over (partition by i order by abs(below - i * share) > 0.005 * share and d < 48, d, abs(below - i * share), below) as r from f, t),
+a as (select k.*, cast((select count(*) from s where r = 1 and s.edge <= k.key) as integer) as shard from k)
+select doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[cast(xor(c, x) & 255 as int) + 1])), 4294967295) as text_crc32,
+       'bytes' as law, shard, row_number() over (partition by shard order by key) - 1 as slot, cast(null as integer) as grown_shard from a, crc""",
 }
