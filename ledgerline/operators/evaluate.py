@@ -18,11 +18,22 @@ from . import dataset as D
 c = F.col
 
 
+NEAR_EDITS = 32
+
+
+def edit_distance(pred: Column, answer: Column) -> Column:
+    """Levenshtein distance. Equal texts need no table, and texts a few edits apart only the
+    diagonals within ``NEAR_EDITS`` of it (-1 beyond them); the whole table is filled for the rest."""
+    near = F.array(F.levenshtein(pred, answer, NEAR_EDITS))  # an array's element is computed once, whatever refers to it
+    least = F.get(F.transform(near, lambda d: F.when(d >= 0, d).otherwise(F.levenshtein(pred, answer))), F.lit(0))
+    return F.when(pred == answer, F.lit(0)).otherwise(least)
+
+
 def normed_edit_distance(pred: Column, answer: Column) -> Column:
     """Levenshtein / longer length; 0.0 when both are empty."""
     longest = F.greatest(F.length(pred), F.length(answer))
     return F.when(longest == 0, F.lit(0.0)).otherwise(
-        F.try_divide(F.levenshtein(pred, answer).cast("double"), longest.cast("double")))
+        F.try_divide(edit_distance(pred, answer).cast("double"), longest.cast("double")))
 
 
 def pair(predictions: DataFrame, answers: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

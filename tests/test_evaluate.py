@@ -83,3 +83,15 @@ def test_inline_diff_equals_join_diff(spark):
     assert sorted(inline.collect()) == sorted(joined.collect())
     assert {(r["key"], r["path"], r["kind"]) for r in inline.collect()} == {
         ("k1", "a", "match"), ("k1", "b", "missing"), ("k1", "d.x", "changed"), ("k2", "a", "match"), ("k2", "b", "extra")}
+
+
+def test_edit_distance_near_and_far(spark):
+    """Equal, a few edits apart, beyond the near diagonals, empty, null and non-ASCII texts."""
+    base = "<s_an>12345</s_an>" * 12
+    far = "x" * 150 + base[:100]
+    rows = [(base, base), (base, base[:50] + "7" + base[51:]), (base, base[40:] + "zz"), (base, far), ("", base), ("", ""),
+            (None, base), ("é€a", "e€b"), (base, "")]
+    got = [tuple(r) for r in spark.createDataFrame(rows, "p string, a string").select(
+        E.edit_distance(F.col("p"), F.col("a")), F.levenshtein("p", "a")).collect()]
+    assert all(mine == plain for mine, plain in got)
+    assert got[0][0] == 0 and got[1][0] == 1 and got[3][0] > E.NEAR_EDITS and got[6][0] is None
