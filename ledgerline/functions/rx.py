@@ -121,6 +121,22 @@ def date_pair_shared_year(text, full: str, short_start: str, date_pat: str,
     return (F.when(full_ok, f_sd).otherwise(s_sd), F.when(full_ok, f_ed).otherwise(s_ed))
 
 
+def period_parts(period, pattern: str) -> Column:
+    """The six parts of a printed period, each searched once: start month, day and year, end month, day and year."""
+    names = ("m0", "d0", "y0", "m1", "d1", "y1")
+    return F.struct(*[rx(period, pattern, g).alias(n) for g, n in enumerate(names, 1)])
+
+
+def period_dates(parts) -> tuple[Column, Column]:
+    """X10 over ``period_parts``: both dates or neither; a start without a year takes the end's."""
+    part = _col(parts).getField
+    year = to_int(part("y1"))
+    start = make_date(to_int(part("d0")), month_number(part("m0")), F.when(part("y0").isNull(), year).otherwise(to_int(part("y0"))))
+    end = make_date(to_int(part("d1")), month_number(part("m1")), year)
+    both = start.isNotNull() & end.isNotNull()
+    return F.when(both, start), F.when(both, end)
+
+
 def page_number(text, pattern: str, group: int = 1) -> Column:
     """X11: integer page number from a capture group, NULL if absent."""
     return to_int(rx(text, pattern, group))

@@ -47,6 +47,7 @@ CC_PERIOD_FULL = r"FROM\s+(\w+\s+\d+,\s+\d+)\s+TO\s+(\w+\s+\d+,\s+\d+)"
 CC_PERIOD_SHORT = r"FROM\s+(\w+\s+\d+)\s+TO\s+(\w+\s+\d+,\s+\d+)"
 CC_DATE = r"(\w+)\s+(\d+),\s+(\d+)"
 CC_START = r"(\w+)\s+(\d+)"
+CC_PERIOD_PARTS = r"FROM\s+(\w+)\s+(\d+)(?:,\s+(\d+))?\s+TO\s+(\w+)\s+(\d+),\s+(\d+)"  # either period, part by part
 CC_ACCOUNT = r"(\d{4}\D{1}\d{2}\D{8}\d{4})"
 CC_PREVIOUS = r"Previous\s+(?:Account|Statement)\s+Balance\s+(-?)\$([\d,]+\.\d{2})"
 CC_PAYMENTS = r"Payments\s+&\s+credits\s+(\-?)\$([\d,]+\.\d{2})"
@@ -138,9 +139,11 @@ def _credit(df: DataFrame) -> DataFrame:
     s2 = s1.withColumn("pn", X.page_number(c("_page"), CC_PAGE))
     p1 = _page(c("pn"), 1)
     amounts = {"pb": CC_PREVIOUS, "tpc": CC_PAYMENTS, "tpd": CC_PURCHASES, "nb": CC_NEW, "ca": CC_CASH, "ic": CC_INTEREST, "f": CC_FEES}
-    s3 = s2.select(*KEYS, "pn", "_full", "_short", "_account", *[_found(p, p1).alias("_" + n) for n, p in amounts.items()])
-    # The start may lack its year, which is then the end's.
-    sd, ed = X.date_pair_shared_year(c("_full"), CC_PERIOD_FULL, CC_PERIOD_SHORT, CC_DATE, CC_START, short_text=c("_short"))
+    # The start may lack its year, which is then the end's (X10). Of the two forms the full one counts if the page has it.
+    period = F.when(c("_full") != "", c("_full")).otherwise(c("_short"))
+    s3 = s2.select(*KEYS, "pn", X.period_parts(period, CC_PERIOD_PARTS).alias("_parts"), "_account",
+                   *[_found(p, p1).alias("_" + n) for n, p in amounts.items()])
+    sd, ed = X.period_dates(c("_parts"))
     signed = [X.signed_money(c("_" + n), amounts[n], "-").alias(n) for n in ("pb", "tpc", "tpd", "nb")]
     plain = [X.money(c("_" + n), amounts[n]).alias(n) for n in ("ca", "ic", "f")]
     s4 = s3.select(*KEYS, "pn", c("pn").isNull().alias("is_info"), sd.alias("_sd"), ed.alias("_ed"),

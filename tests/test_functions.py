@@ -70,3 +70,17 @@ def test_close_history_default(spark):
     assert [r[0] for r in df.select(X.close_to("a", "b")).collect()] == [True, False]
     assert one(spark, "Consumption history", X.not_contains(F.col("text"), V.UT_HISTORY)) is False
     assert one(spark, "x", X.default_zero(F.lit(None).cast("decimal(18,2)"))) == Decimal("0.00")
+
+
+def test_period_parts_read_as_the_two_forms(spark):
+    """X10 in one search: both forms, unknown months, years out of range and no period."""
+    texts = ["FROM DEC 9, 2019 TO JAN 8, 2020", "FROM JUL 9 TO AUG 8, 2021", "FROM XXX 9, 2019 TO JAN 8, 2020", "FROM JUL 9 TO YYY 8, 2021",
+             "FROM JUL 9 TO AUG 8", "", None, "FROM JUL 9, 99999999999 TO AUG 8, 2021", "FROM JUL 9 TO\nAUG 8, 2021"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    old = X.date_pair_shared_year(F.col("text"), V.CC_PERIOD_FULL, V.CC_PERIOD_SHORT, V.CC_DATE, V.CC_START)
+    both = old[0].isNotNull() & old[1].isNotNull()
+    new = X.period_dates(X.period_parts(F.col("text"), V.CC_PERIOD_PARTS))
+    rows = df.select(F.when(both, old[0]), F.when(both, old[1]), *new).collect()
+    for text, (s0, e0, s1, e1) in zip(texts, rows):
+        assert (s0, e0) == (s1, e1), text
+    assert rows[0][2] == (9, 12, 2019) and rows[1][2] == (9, 7, 2021) and rows[2][2] is None
