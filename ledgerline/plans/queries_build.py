@@ -439,8 +439,7 @@ def c_settings(spark, sf):
 
 
 @query("c_sequence_equal", PW + """
-SELECT a.file, a.page_idx, a.raw = b.raw AS equal FROM preds a JOIN preds b USING (file, page_idx)
-WHERE a.epoch = 0 AND b.epoch = 1""")
+SELECT file, page_idx, min(raw) = max(raw) AS equal FROM preds WHERE epoch < 2 GROUP BY file, page_idx HAVING count(*) = 2""")
 def c_sequence_equal(spark, sf):
     """Output-sequence equality of two epochs per page."""
     p = B.predictions(spark, sf).select("epoch", "file", "page_idx", c("raw").alias("sequence"))

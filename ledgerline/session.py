@@ -29,6 +29,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A plan here has thousands of columns; noting the Python line of each takes longer than planning.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
