@@ -9,6 +9,7 @@ from ..operators import dataset as D
 from ..operators import diff as C
 from ..operators import evaluate as E
 from ..operators import sequence as S
+from ..operators import subword as SW
 from ..sources import fixtures as fx
 from ..sources import pages as P
 from ..sources.tables import table
@@ -673,3 +674,44 @@ def i_decode(spark, sf):
     """Label ids decoded by look-up give the target sequence."""
     df = S.label_ids(B.targets(spark, sf).select("file", "page_idx", "sequence"), "sequence")
     return df.select("file", "page_idx", S.decode_ids(c("labels")).alias("text"))
+
+
+# =========================================================== subword labels
+# Folder of the public tokenizers' vocabulary files, a parameter of the library; these queries use a byte-level one.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+# Entries of that vocabulary, and the one token of the format among them.
+TOKENIZER_SIZE = 50257
+TOKENIZER_HOLDS = "Bill"
+
+
+@query("t_subword_decode", TW + """
+SELECT file, page_idx, seq || '</s>' AS text, FALSE AS truncated FROM targets""")
+def t_subword_decode(spark, sf):
+    """T7 + I2 by a subword tokenizer: the labels of every target, decoded, are the target."""
+    words = SW.Subwords.load(spark, TOKENIZER)
+    df = words.label_ids(B.targets(spark, sf).select("file", "page_idx", "sequence"), "sequence")
+    return df.select("file", "page_idx", words.decode(c("labels")).alias("text"), "truncated")
+
+
+@query("t_subword_added", TW + f""",
+lacks AS (SELECT list_filter({_VOCAB_SQL} || ['<sep/>', '</s>'], lambda x: x <> '{TOKENIZER_HOLDS}') AS tokens),
+voc AS (SELECT unnest(tokens) AS token, unnest(range(len(tokens))) AS place FROM lacks),
+used AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(seq || '</s>', '</?s_[A-Za-z0-9_]+>|</s>')) AS token FROM targets) GROUP BY token)
+SELECT token, CAST({TOKENIZER_SIZE} + place AS INTEGER) AS token_id, TRUE AS is_new, coalesce(n, 0) AS n_labels FROM voc LEFT JOIN used USING (token)
+WHERE token LIKE '<%s_%>' OR token = '</s>'""")
+def t_subword_added(spark, sf):
+    """T6 + I2: the format's tags that a subword vocabulary lacks, the ids they get, and how many labels have them."""
+    words = SW.Subwords.load(spark, TOKENIZER)
+    ids = words.label_ids(B.targets(spark, sf).select("sequence"), "sequence").select(F.explode("labels").alias("token_id"))
+    n = ids.filter(c("token_id") >= words.base_size).groupBy("token_id").agg(F.count(F.lit(1)).alias("n_labels"))
+    tags = words.tokens_df(spark).filter(c("token").like("<%s_%>") | (c("token") == "</s>"))  # a row for each token
+    return F.broadcast(tags).join(n, "token_id", "left").select("token", "token_id", "is_new", F.coalesce("n_labels", F.lit(0)).alias("n_labels"))
+
+
+@query("t_subword_documents", """
+SELECT doc_id, md5(text) AS text_md5, length(text) > 0 AS has_tokens FROM documents""")
+def t_subword_documents(spark, sf):
+    """T7 + I2 over whole documents of any length: subword ids without a cut, decoded, are the text."""
+    words = SW.Subwords.load(spark, TOKENIZER, [])
+    ids = table(spark, sf, "documents").select("doc_id", words.ids(c("text")).alias("ids"))
+    return ids.select("doc_id", F.md5(words.decode(c("ids"))).alias("text_md5"), (F.size("ids") > 0).alias("has_tokens"))
