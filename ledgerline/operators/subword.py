@@ -3,18 +3,20 @@
 ``Subwords.load`` reads a vocabulary file (``*.json`` of the tokenizers library, ``*.model`` of
 sentencepiece) through Spark, so it may lie in any store. Tokens of the format that the vocabulary lacks get
 the ids after it, in order (T6). A text is cut at those and at the vocabulary's own markers among the format's tokens (of
-several that start at one place, at the longest); what lies between is cut into subwords by the library. Texts travel in Arrow batches, a batch's
-stretches are encoded in one call, and each Python worker parses the vocabulary once.
+several that start at one place, at the longest); what lies between is cut into subwords by the library. Texts travel in Arrow batches, whose
+stretches are encoded about a megabyte at a time, and each Python worker parses the vocabulary once.
 
 A NULL text has NULL labels, the empty text none but the padding.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +25,13 @@ from ..functions.schema import EOS_TOKEN
 from .sequence import IGNORE_ID, MAX_LENGTH, SEP, vocabulary
 
 MAX_FILE = 64 << 20  # bytes of a vocabulary file, which is broadcast
+CALL_CHARS = 1 << 20  # of the texts of one call, but for a longer text: what the library returns is far larger than the text
 
 
 @lru_cache(maxsize=4)
 def _library(kind: str, content: bytes):
     if kind == "json":
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_buffer(content)
@@ -91,22 +95,33 @@ class Subwords:
         @F.pandas_udf("array<int>")
         def run(texts: pd.Series) -> pd.Series:
             known = _library(kind, shared.value)
-            cut = [None if t is None else re.split(pattern, t) if pattern else [t] for t in texts]
+            out, rows, held = [], [], 0
+            for text in texts:
+                rows.append(text)
+                held += len(text or "")
+                if held > CALL_CHARS:
+                    out += encoded(known, rows)
+                    rows, held = [], 0
+            return pd.Series(out + encoded(known, rows), dtype=object)
+
+        def encoded(known, texts: list) -> list:
+            """Ids of each text, by one call of the library for what lies between the tokens of all."""
+            cut = [None if t is None else re.split(pattern, t) if pattern else [t] for t in texts]  # odd ones are tokens
             between = [part for parts in cut if parts for part in parts[::2] if part]
             if kind == "json":
-                encoded = iter([e.ids for e in known.encode_batch(between, add_special_tokens=False)])
+                found = iter([e.ids for e in known.encode_batch_fast(between, add_special_tokens=False)])
             else:
-                encoded = iter(known.encode(between, num_threads=1) if between else [])
+                found = iter(known.encode(between, num_threads=1) if between else [])
             out = []
             for parts in cut:
-                row = None if parts is None else []
-                for i, part in enumerate(parts or ()):
+                row = next(found) if parts and len(parts) == 1 and parts[0] else []
+                for i, part in enumerate(parts if parts and len(parts) > 1 else ()):
                     if i % 2:
                         row.append(added[part])
                     elif part:
-                        row += next(encoded)
-                out.append(row)
-            return pd.Series(out, dtype=object)
+                        row += next(found)
+                out.append(None if parts is None else np.array(row, np.int32))
+            return out
 
         return run(text)
 
@@ -121,6 +136,7 @@ class Subwords:
         """Ids back to text; ignored positions are left out. Exact for byte-level vocabularies, up to white space for others."""
         kind, shared = self.kind, self.shared
         token = {i: t for t, i in self.added.items()}
+        tokens = np.array(sorted(token), np.int64)
 
         @F.pandas_udf("string")
         def run(rows: pd.Series) -> pd.Series:
@@ -130,14 +146,13 @@ class Subwords:
             def one(row) -> str | None:
                 if row is None:
                     return None
-                out, some = [], []
-                for i in (int(i) for i in row if i >= 0):
-                    if i in token:
-                        out += [text(some), token[i]]
-                        some = []
-                    else:
-                        some.append(i)
-                return "".join([*out, text(some)])
+                row = np.asarray(row, np.int64)
+                row = row[row >= 0]
+                at = np.flatnonzero(np.isin(row, tokens))
+                if not len(at):
+                    return text(row.tolist())
+                between = [text(part.tolist()) for part in np.split(row, np.repeat(at, 2) + np.tile([0, 1], len(at)))[::2]]
+                return between[0] + "".join(token[i] + after for i, after in zip(row[at].tolist(), between[1:]))
 
             return rows.map(one, na_action=None)
 

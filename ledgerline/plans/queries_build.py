@@ -709,9 +709,9 @@ def t_subword_added(spark, sf):
 
 
 @query("t_subword_documents", """
-SELECT doc_id, md5(text) AS text_md5, length(text) > 0 AS has_tokens FROM documents""")
+SELECT doc_id, md5(text) AS text_md5 FROM documents""")
 def t_subword_documents(spark, sf):
     """T7 + I2 over whole documents of any length: subword ids without a cut, decoded, are the text."""
     words = SW.Subwords.load(spark, TOKENIZER, [])
     ids = table(spark, sf, "documents").select("doc_id", words.ids(c("text")).alias("ids"))
-    return ids.select("doc_id", F.md5(words.decode(c("ids"))).alias("text_md5"), (F.size("ids") > 0).alias("has_tokens"))
+    return ids.select("doc_id", F.md5(words.decode(c("ids"))).alias("text_md5"))
