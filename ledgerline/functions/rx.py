@@ -31,7 +31,7 @@ MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July",
 
 
 def _month_map() -> Column:
-    return F.create_map(*[x for k, v in MONTH_PREFIX.items() for x in (F.lit(k), F.lit(v))])
+    return F.expr("map(" + ", ".join(f"'{k}', {v}" for k, v in MONTH_PREFIX.items()) + ")")
 
 
 def _col(c) -> Column:
@@ -170,7 +170,7 @@ def fmt_amount(x) -> Column:
 
 
 def month_name(month) -> Column:
-    return F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), _col(month))
+    return F.element_at(F.expr("array(" + ", ".join(f"'{m}'" for m in MONTH_NAMES) + ")"), _col(month))
 
 
 def fmt_long_date(d) -> Column:

@@ -262,25 +262,20 @@ OUT_COLUMNS = (["vendor", "file", "page_idx"] + [n for n, _ in RECORD_FIELDS]
 
 def _conform(df: DataFrame, ex: Extractor) -> DataFrame:
     """Fill the columns a vendor does not emit, stamp type/vendor literals, fix order."""
-    types = dict(RECORD_FIELDS)
-    have = set(df.columns)
-    cols = []
+    # As SQL text: a column is then one call into the JVM.
+    types = {n: t.simpleString() for n, t in RECORD_FIELDS}
+    have, cols = set(df.columns), []
     for name in OUT_COLUMNS:
-        if name == "t":
-            cols.append(F.lit(ex.doc_type).alias("t"))
-        elif name == "v":
-            cols.append(F.lit(ex.vendor_name).alias("v"))
-        elif name in have:
-            col = c(name)
-            if name in types:
-                col = col.cast(types[name])
-            cols.append(col.alias(name))
+        if name in ("t", "v"):
+            cols.append(F.lit(ex.doc_type if name == "t" else ex.vendor_name).alias(name))
+            continue
+        if name in have:
+            value = f"CAST({name} AS {types[name]})" if name in types else name
         elif name == "is_info" or name == "xp_has_parts" or name.startswith("e_"):
-            cols.append(F.lit(False).alias(name))
-        elif name in types:
-            cols.append(F.lit(None).cast(types[name]).alias(name))
+            value = "FALSE"
         else:
-            cols.append(F.lit(None).cast(MONEY).alias(name))
+            value = f"CAST(NULL AS {types.get(name, MONEY.simpleString())})"
+        cols.append(F.expr(f"{value} AS {name}"))
     return df.select(*cols)
 
 
