@@ -5,16 +5,20 @@ sentencepiece) through Spark, so it may lie in any store. Tokens of the format t
 the ids after it, in order (T6). A text is cut at those and at the vocabulary's own markers among the format's tokens (of
 several that start at one place, at the longest); what lies between is cut into subwords by the library. Texts travel in Arrow batches, whose
 stretches are encoded about a megabyte at a time, and each Python worker parses the vocabulary once.
+Byte-level vocabularies with the usual word pattern never join what stands before white space with what follows,
+so there a text is cut before white space, each distinct piece is encoded once, and a worker keeps the ids of recent pieces.
 
 A NULL text has NULL labels, the empty text none but the padding.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,6 +30,53 @@ from .sequence import IGNORE_ID, MAX_LENGTH, SEP, vocabulary
 
 MAX_FILE = 64 << 20  # bytes of a vocabulary file, which is broadcast
 CALL_CHARS = 1 << 20  # of the texts of one call, but for a longer text: what the library returns is far larger than the text
+KEPT_PIECES, KEPT_CHARS = 1 << 17, 64  # pieces whose ids a worker keeps, and the longest such piece
+# Cut where a character that is no white space in any sense precedes white space of ASCII.
+PIECE = re.compile(r"\s*+\S++(?:(?![ \t\n\r\f\v])\s++\S*+)*+|\s++")
+CUT = re.compile(r"(?<=\S)(?=[ \t\n\r\f\v])")
+
+
+@lru_cache(maxsize=4)
+def _kept(kind: str, content: bytes) -> dict[str, list[int]] | None:
+    """Ids of pieces that this worker has met; None where a vocabulary may join words with white space after them."""
+    if kind != "json":
+        return None
+    told = json.loads(content)
+    words = told.get("pre_tokenizer") or {}
+    apart = (words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space", True)
+             and not any(told.get(k) for k in ("normalizer", "truncation", "padding"))
+             and all(t["special"] for t in told.get("added_tokens", ())))
+    return {} if apart else None
+
+
+def _ids_by_pieces(known, kept: dict[str, list[int]], texts: list[str]) -> list[list[int]]:
+    """Ids of each text from those of its pieces; a long text goes stretch by stretch."""
+
+    def some(stretches: list[str]) -> list[list[int]]:
+        pieces = [PIECE.findall(s) for s in stretches]
+        new = list(set(chain.from_iterable(pieces)).difference(kept))
+        kept.update(zip(new, (e.ids for e in known.encode_batch_fast(new, add_special_tokens=False))))
+        out = [list(chain.from_iterable(map(kept.__getitem__, row))) for row in pieces]
+        if len(kept) > KEPT_PIECES:
+            kept.clear()
+        else:
+            for piece in new:
+                if len(piece) > KEPT_CHARS:
+                    del kept[piece]
+        return out
+
+    if sum(map(len, texts)) <= 2 * CALL_CHARS:
+        return some(texts)
+    out = []
+    for text in texts:
+        ids, at = [], 0
+        while at < len(text):
+            end = CUT.search(text, at + CALL_CHARS)
+            end = end.start() if end else len(text)
+            ids += some([text[at:end]])[0]
+            at = end
+        out.append(ids)
+    return out
 
 
 @lru_cache(maxsize=4)
@@ -108,7 +159,10 @@ class Subwords:
             """Ids of each text, by one call of the library for what lies between the tokens of all."""
             cut = [None if t is None else re.split(pattern, t) if pattern else [t] for t in texts]  # odd ones are tokens
             between = [part for parts in cut if parts for part in parts[::2] if part]
-            if kind == "json":
+            kept = _kept(kind, shared.value)
+            if kept is not None:
+                found = iter(_ids_by_pieces(known, kept, between))
+            elif kind == "json":
                 found = iter([e.ids for e in known.encode_batch_fast(between, add_special_tokens=False)])
             else:
                 found = iter(known.encode(between, num_threads=1) if between else [])

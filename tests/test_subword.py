@@ -38,6 +38,25 @@ def test_labels_match_the_library_on_its_own(spark, texts):
         assert ids == (None if seq is None else own.encode(seq, add_special_tokens=False).ids), k
 
 
+def test_pieces_of_a_text_have_the_ids_of_the_text(monkeypatch):
+    """Every mix of white space of both kinds, letters, digits, signs and apostrophes: the ids are the library's for the whole text."""
+    import random
+
+    from tokenizers import Tokenizer
+    content = open(f"{FOLDER}/byte_bpe_50k.json", "rb").read()
+    own, rng = Tokenizer.from_buffer(content), random.Random(5)
+    atoms = ["a", "Bill", " ", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\u00a0", "\u2003", "\u3000", "\u200b", "'s", "'", "7", "!", "\u00e9", "\u0301", "\u4e2d", "\U0001f600"]
+    texts = ["".join(rng.choices(atoms, k=rng.randint(1, 30))) for _ in range(4000)] + ["x" * 5000, "  ", "a\n" * 3000]
+    whole = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    kept = SW._kept("json", content)
+    assert SW._ids_by_pieces(own, kept, texts) == whole and kept and max(map(len, kept)) <= SW.KEPT_CHARS
+    monkeypatch.setattr(SW, "CALL_CHARS", 7)
+    monkeypatch.setattr(SW, "KEPT_PIECES", 50)
+    assert SW._ids_by_pieces(own, {}, texts) == whole
+    joined = content.replace(b'"add_prefix_space": false', b'"add_prefix_space": true').replace(b'"add_prefix_space":false', b'"add_prefix_space":true')
+    assert joined != content and SW._kept("json", joined) is None and SW._kept("model", b"") is None
+
+
 def test_pieces_keep_the_tokens_they_have(spark, texts):
     words = SW.Subwords.load(spark, f"{FOLDER}/piece_bpe_32k.model")
     assert words.added["</s>"] == 2 and "</s>" not in words.new_tokens and words.added[S.vocabulary()[0]] == 32000
