@@ -2,7 +2,7 @@
 
 Fixed masks over consecutive words ignore some positions, so that a seed hash survives a
 substituted word there. The seeds of all benchmark items are joined with the seeds of all
-documents; each hit names a diagonal (document position minus item position), along which
+documents; the hits of a pair name diagonals (document position minus item position), along which
 the words are compared one by one: the pair counts if some ``WINDOW`` aligned words agree in
 at least ``AGREE`` of them. Of an item shorter than ``WINDOW`` (``SHORTEST`` words at least) all words
 must agree.
@@ -16,7 +16,8 @@ Words: case-folded, ASCII punctuation taken as white space.
 
 Defined results: null or empty texts and items take no part, nor do items of fewer words than
 ``SHORTEST`` (too short to be evidence; ``not_checkable`` names them); rows that repeat an id are one document; a null doc_id
-is reported as null; empty tables give no rows.
+is reported as null; empty tables give no rows. A region and an item meet once, however often their seeds
+repeat: memory is linear in both, the comparisons at worst in their product.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ AGREE = 0.8
 SHORTEST = len(MASKS[0])  # words of the shortest item that has a seed: the first mask takes every word
 MIN_BLOOM_BITS, MAX_BLOOM_BITS, PROBES = 16, 26, 3
 SALTS = 8
+HITS_PER_DIAGONAL = 16
 _PUNCTUATION = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _MULTIPLIERS = np.random.default_rng(42).integers(1, 2**63, (len(MASKS), 16), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -61,6 +63,14 @@ def seeds(words: np.ndarray) -> Iterator[np.ndarray]:
         yield h
 
 
+def sorted_seeds(item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of an item's seeds by hash; of a short item only the first mask's, which fits where no word is changed."""
+    s = list(seeds(item))[:len(MASKS) if len(item) >= WINDOW else 1]
+    at, h = np.concatenate([np.arange(len(x)) for x in s]), np.concatenate(s)
+    order = np.argsort(h, kind="stable")
+    return at[order], h[order]
+
+
 def probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
     out = []
     for _ in range(PROBES):
@@ -70,7 +80,7 @@ def probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def index_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, words, seed positions, seed hashes) of the items that are long enough."""
+    """(item_id, item_words, seed hashes) of the items that are long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,15 +88,14 @@ def index_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = word_hashes(text)
                 if len(w) >= SHORTEST:
-                    s = list(seeds(w))[:len(MASKS) if len(w) >= WINDOW else 1]  # with no word changed the first mask fits
-                    out.append((i, w.view(np.int64), np.concatenate([np.arange(len(x)) for x in s]), np.concatenate(s).view(np.int64)))
-            cols = [pa.array(c) for c in zip(*out)] if out else [[]] * 4
-            kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["item_id", "item_words", "at", "seed"])
+                    out.append((i, w.view(np.int64), sorted_seeds(w)[1].view(np.int64)))
+            cols = [pa.array(c) for c in zip(*out)] if out else [[]] * 3
+            kinds = [pa.int64(), *[pa.list_(pa.int64())] * 2]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["item_id", "item_words", "seed"])
 
     row_batches(items.sparkSession)
     return items.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(
-        run, "item_id long, item_words array<long>, at array<long>, seed array<long>")
+        run, "item_id long, item_words array<long>, seed array<long>")
 
 
 def not_checkable(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -174,6 +183,41 @@ def overlap(words: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, in
     return lo + first, lo + end, int(run[end] - run[first])
 
 
+def diagonals(at: np.ndarray, h: np.ndarray, item_at: np.ndarray, item_h: np.ndarray, n_words: int, n_item: int) -> np.ndarray:
+    """The distinct diagonals of a region's and an item's equal seeds.
+
+    Where both repeat themselves so much that these are far more hits than diagonals, every diagonal: no
+    overlap lies on one without a seed, so those beyond are looked at in vain, never reported.
+    """
+    first = np.searchsorted(item_h, h, side="left")
+    times = np.searchsorted(item_h, h, side="right") - first
+    hits = int(times.sum())
+    if hits > HITS_PER_DIAGONAL * (n_words + n_item):
+        return np.arange(-n_item + 1, n_words)
+    nth = np.arange(hits) - np.repeat(np.cumsum(times) - times, times)
+    return np.unique(np.repeat(at, times) - item_at[np.repeat(first, times) + nth])
+
+
+def best_overlap(words: np.ndarray, item: np.ndarray, found: np.ndarray) -> tuple[int, int, int, int] | None:
+    """(agreeing words, aligned words, start in words, start in item) on the best diagonal: most of the first two, then the earliest.
+
+    Diagonals that could hold more come first; the search ends at the first one that cannot improve on the best.
+    """
+    lo = np.maximum(0, -found)
+    room = np.minimum(len(item), len(words) - found) - lo
+    order = np.lexsort((lo, lo + found, -room))
+    best = None
+    for g, least, most in zip(found[order].tolist(), lo[order].tolist(), room[order].tolist()):
+        if best and (most, most, -(least + g), -least) <= best:
+            break
+        got = overlap(words, item, g)
+        if got:
+            first, end, same = got
+            here = (same, end - first, -(first + g), -first)
+            best = max(best, here) if best else here
+    return (best[0], best[1], -best[2], -best[3]) if best else None
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, body, item_id, n_same, n_aligned, doc_start, item_start): a row for each document and item that overlap.
@@ -181,30 +225,33 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     Positions count words; ``body`` is the text's XXH64. The best diagonal of a pair is kept.
     """
     index = materialize(index_items(items, item_col, item_text_col), "bench-index")
-    item_seeds = index.select("item_id", F.explode(F.arrays_zip("at", "seed")).alias("s")).select("item_id", "s.at", "s.seed")
+    item_seeds = index.select("item_id", F.explode(F.array_distinct("seed")).alias("seed"))
     bits, bitmap = bloom(item_seeds)
     found = materialize(regions(docs, bits, bitmap, id_col, text_col), "bench-regions")
-    theirs = found.select("region", F.explode(F.arrays_zip("at", "seed")).alias("s")).select(
-        "region", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"), F.pmod(F.xxhash64("region"), F.lit(SALTS)).alias("salt"))
-    ours = item_seeds.withColumnRenamed("at", "item_at").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    theirs = found.select("region", F.explode(F.array_distinct("seed")).alias("seed")).withColumn("salt", F.pmod(F.xxhash64("region"), F.lit(SALTS)))
+    ours = item_seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = theirs.join(ours.withColumn("salt", F.col("salt").cast("long")), ["seed", "salt"])
-    pairs = hits.select("region", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    pairs = pairs.join(found.select("region", "doc_id", "body", "start", "words"), "region").join(
+    pairs = hits.select("region", "item_id").distinct()
+    pairs = pairs.join(found.select("region", "doc_id", "body", "start", "words", "at", "seed"), "region").join(
         index.select(F.col("item_id").alias("i"), "item_words"), F.col("item_id").eqNullSafe(F.col("i")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)  # an item and its seeds: pairs of one item adjoin
         for b in batches:
             out = []
-            for d, body, i, g, s, w, iw in zip(*(b.column(k).to_pylist() if k < 5 else b.column(k) for k in range(7))):
-                got = overlap(w.values.to_numpy(), iw.values.to_numpy(), g)
+            for d, body, i, s, w, at, h, iw in zip(*(b.column(k).to_pylist() if k < 4 else b.column(k) for k in range(8))):
+                w, at, h, iw = (x.values.to_numpy() for x in (w, at, h, iw))
+                if last[0] is None or not np.array_equal(last[0], iw):
+                    last = (iw, sorted_seeds(iw.view(np.uint64)))
+                got = best_overlap(w, iw, diagonals(at, h.view(np.uint64), *last[1], len(w), len(iw)))
                 if got:
-                    first, end, same = got
-                    out.append((d, body, i, same, end - first, s + first + g, first))
+                    same, aligned, doc_start, item_start = got
+                    out.append((d, body, i, same, aligned, s + doc_start, item_start))
             cols = list(zip(*out)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
     names = ["doc_id", "body", "item_id", "n_same", "n_aligned", "doc_start", "item_start"]
-    kept = pairs.select("doc_id", "body", "item_id", "diagonal", "start", "words", "item_words").mapInArrow(
+    kept = pairs.select("doc_id", "body", "item_id", "start", "words", "at", "seed", "item_words").mapInArrow(
         verify, ", ".join(f"{n} long" for n in names))
     best = F.max(F.struct("n_same", "n_aligned", (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i")))
     kept = kept.groupBy("doc_id", "body", "item_id").agg(best.alias("b"))

@@ -84,3 +84,24 @@ def test_edge_rows(spark):
     assert got == sorted([(d, i, 30, s) for d, s in ((3, 0), (None, 1), (5, 90000)) for i in (1, None)], key=str)
     assert dc.contaminated(docs.limit(0), items).count() == 0
     assert dc.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_texts_that_repeat_themselves(spark):
+    """Hits grow with the product of the repeats, rows between the steps don't; the best diagonal is that of a search over all."""
+    rnd = random.Random(3)
+    text = lambda n: " ".join(rnd.choices("aab", k=n))
+    docs = [(i, text(rnd.randint(0, 300))) for i in range(30)] + [(100, "a b " * 60000), (101, "noise " + "a " * 40000)]
+    items = [(i, text(rnd.randint(7, 80))) for i in range(10)] + [(50, "a b " * 60000), (51, "b a " * 3000), (52, "a " * 40000)]
+    found = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    rows = {(r.doc_id, r.item_id): (r.n_same, r.n_aligned, r.doc_start, r.item_start) for r in found.collect()}
+    want = {}
+    for d, t in docs[:30]:
+        w = dc.word_hashes(t).view(np.int64)
+        for i, it in items[:10]:
+            iw = dc.word_hashes(it).view(np.int64)
+            got = [(g, dc.overlap(w, iw, g)) for g in range(-len(iw) + 1, len(w))]
+            best = max(((s, e - f, -(f + g), -f) for g, o in got if o for f, e, s in [o]), default=None)
+            if best:
+                want[d, i] = (best[0], best[1], -best[2], -best[3])
+    assert want and {k: v for k, v in rows.items() if k[0] < 100 and k[1] < 50} == want
+    assert rows[100, 50] == (120000, 120000, 0, 0) and rows[100, 51] == (6000, 6000, 1, 0) and rows[101, 52] == (40000, 40000, 1, 0)
