@@ -2,10 +2,12 @@
 
 1. Fingerprints: 64 bits over the text's word shingles; only (id, fingerprint) goes on.
 2. Equal fingerprints are one node (partial aggregation, so a hot group is one row).
-3. Vantage points chosen from a bounded sample (``SAMPLE`` nodes) split the space of
-   fingerprints at median distances into shards of about ``SHARD_NODES`` nodes. Every node
-   goes to its home shard and, as a visitor, to each shard whose boundary lies within the
-   maximum distance (triangle bound), so that each pair within it meets in some shard.
+3. Vantage points chosen from a bounded sample (``SAMPLE_PER_SHARD`` nodes for each shard,
+   ``MAX_SAMPLE`` at most) split the space of fingerprints at median distances into shards of
+   about ``SHARD_NODES`` nodes. Every node goes to its home shard and, as a visitor, to each
+   shard whose boundary lies within the maximum distance (triangle bound), so that each pair
+   within it meets in some shard. A shard of many visitors is dealt in parts: its own nodes go
+   to all of them, a visitor to one, so that no task holds more than about ``VISITORS`` of them.
 4. A task builds its shard's vantage-point tree, prunes branches by the same bound and
    compares what is left bit by bit. It emits one row for each linked node (its group in this
    shard), a spanning forest and never all pairs.
@@ -35,8 +37,9 @@ from .common import materialize, row_batches, row_key, text_words, whole_row
 
 BITS = 64
 SEED = 42
-SAMPLE = 4096
+SAMPLE, SAMPLE_PER_SHARD, MAX_SAMPLE = 4096, 16, 1 << 18  # nodes: at least, for each shard, at most
 SHARD_NODES = 1 << 16  # about a second of comparisons; fewer, larger shards have fewer visitors
+VISITORS = 4 * SHARD_NODES
 LEAF = 256
 HASH_CHUNK = 1 << 16
 
@@ -196,19 +199,37 @@ def link_shard(pts: np.ndarray, home: np.ndarray, reach: int) -> np.ndarray:
     return groups.roots(np.arange(len(pts)))
 
 
+def sample_nodes(nodes: DataFrame, n: int, size: int) -> np.ndarray:
+    """At most ``size`` of the ``n`` fingerprints, by hash; about twice as many pass the scan."""
+    lot = F.pmod(F.xxhash64("fp", F.lit("vp")), F.lit(1 << 30))
+    few = nodes.select("fp", lot.alias("lot")).where(F.col("lot") < int((1 << 30) * min(1.0, 2 * size / max(n, 1))))
+    return few.orderBy("lot", "fp").limit(size).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+
+
+def visitor_parts(tree, sample: np.ndarray, n: int, reach: int) -> dict[int, int]:
+    """The parts of each shard, from the visitors that it has of the sample."""
+    guests = {shard: int((~home).sum()) for shard, _, home in deal(tree, sample, np.ones(len(sample), bool), reach)}
+    return {shard: max(1, -(-g * n // (len(sample) * VISITORS))) for shard, g in guests.items()}
+
+
 def shard_groups(nodes: DataFrame, max_distance: int) -> DataFrame:
     """(fp, rep): the groups of linked nodes that each shard finds; rep is a node of the group."""
     n = nodes.count()
-    near = [r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp", F.lit("vp"))).limit(SAMPLE).collect()]
-    tree = shard_tree(np.array(near, dtype=np.int64).view(np.uint64), max(1, -(-n // SHARD_NODES)), max_distance) if near else 0
+    n_shards = max(1, -(-n // SHARD_NODES))
+    sample = sample_nodes(nodes, n, min(MAX_SAMPLE, max(SAMPLE, SAMPLE_PER_SHARD * n_shards)))
+    tree = shard_tree(sample, n_shards, max_distance) if len(sample) else 0
+    parts = visitor_parts(tree, sample, n, max_distance)
 
     def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pts = b.column(0).to_numpy().view(np.uint64)
             for shard, p, home in deal(tree, pts, np.ones(len(pts), bool), max_distance):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(p), shard, np.int32)), pa.array(p.view(np.int64)), pa.array(home)],
-                    ["shard", "fp", "home"])
+                k = parts.get(shard, 1)
+                for part in range(k):
+                    here = home | (p % np.uint64(k) == part)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(int(here.sum()), shard, np.int32)), pa.array(np.full(int(here.sum()), part, np.int32)),
+                         pa.array(p[here].view(np.int64)), pa.array(home[here])], ["shard", "part", "fp", "home"])
 
     def link(table: pa.Table) -> pa.Table:
         pts = table.column("fp").to_numpy().view(np.uint64)
@@ -217,8 +238,8 @@ def shard_groups(nodes: DataFrame, max_distance: int) -> DataFrame:
         fp = pts.view(np.int64)
         return pa.table({"fp": fp[linked], "rep": fp[root[linked]]})
 
-    shards = nodes.select("fp").mapInArrow(to_shards, "shard int, fp long, home boolean")
-    return shards.groupBy("shard").applyInArrow(link, "fp long, rep long")
+    shards = nodes.select("fp").mapInArrow(to_shards, "shard int, part int, fp long, home boolean")
+    return shards.groupBy("shard", "part").applyInArrow(link, "fp long, rep long")
 
 
 def merge_groups(groups: DataFrame) -> DataFrame:

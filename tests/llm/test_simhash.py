@@ -94,6 +94,21 @@ def test_shards_lose_no_link(n_shards):
     assert len(np.unique(w.roots(every))) < len(pts)
 
 
+def test_visitors_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_NODES", 40)
+    monkeypatch.setattr(simhash, "VISITORS", 30)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 600, dtype=np.uint64)
+    near = base[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64))
+    rows = [(i, f) for i, f in enumerate(np.concatenate([base, near, base[:50]]).view(np.int64).tolist())]
+    fps = spark.createDataFrame(rows, "id long, fp long")
+    nodes = np.unique(np.array([f for _, f in rows], dtype=np.int64).view(np.uint64))
+    parts = simhash.visitor_parts(simhash.shard_tree(nodes, 20, 3), nodes, len(nodes), 3)
+    assert len(parts) > 10 and max(parts.values()) > 5
+    got = simhash.components(fps, 3).collect()
+    assert {(r.id, unsigned(r.fp)): r.component_id for r in got} == brute_components([(i, unsigned(f)) for i, f in rows])
+
+
 def test_dense_group_is_cut_small():
     """Near copies of one text: members spread over leaves though all lie close together."""
     rng = np.random.default_rng(2)
