@@ -145,10 +145,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = ("size", "source_size", "target", "taken")
     key = row_key(F.col(id_col).cast("long"), F.xxhash64(text_col, source_col))
     taken = mix(docs.withColumn("_both", F.xxhash64(text_col, source_col)), id_col, text_col, source_col, block, body="_both")[1]
-    facts = F.struct("taken", *own[:3])
-    taken = taken.groupBy(row_key(F.col(id_col), F.col("body"))).agg(F.sort_array(F.collect_list(facts), asc=False).alias("_facts"))
+    # rows that repeat adjoin in their source's stream, so they take all alike, but where the target ends: three amounts at most
+    facts = F.struct("taken", *own[:3]).alias("fact")
+    taken = taken.where("taken > 0").groupBy(row_key(F.col(id_col), F.col("body")), facts).agg(F.count("*").alias("rows"))
+    taken = taken.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("fact", "rows")), asc=False).alias("_facts"))
     rows = docs.select(key, whole_row(docs, own)).join(taken, "_key")
     # rows that repeat share a key: the n-th row has the n-th take
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    rows = rows.withColumn("_fact", F.element_at("_facts", nth)).where("_fact.taken > 0")
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    upto = lambda k: sum((F.coalesce(F.get("_facts", F.lit(i))["rows"], F.lit(0)) for i in range(k + 1)), F.lit(0))
+    fact = F.coalesce(*[F.when(F.col("_nth") <= upto(k), F.get("_facts", F.lit(k))["fact"]) for k in range(3)])
+    rows = rows.withColumn("_fact", fact).where("_fact is not null")
     return rows.select("_doc.*", *[F.col(f"_fact.{c}").alias(c) for c in own])

@@ -89,3 +89,12 @@ def test_edge_rows(spark):
     assert mixing.mix(docs.limit(0))[1].count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
     empty = docs.where("text is null or text = ''")
     assert [r.taken for r in mixing.mix(empty)[1].collect()] == [0, 0]
+
+
+def test_rows_that_repeat_share_out_the_takes(spark):
+    rows = [(1, "a b c", "x")] * 400 + [(2, "d e", "x"), (3, "f " * 500, "y"), (4, "g", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted((x for x in brute(rows) if x[4] > 0), key=str)
+    assert len({x[4] for x in want if x[0] == 1}) > 1  # the target ends within the group
+    assert got(mixing.mixed_documents(docs)) == want
+    assert mixing.mixed_documents(docs).groupBy("doc_id").count().where("doc_id = 1").first()["count"] == sum(x[0] == 1 for x in want)
