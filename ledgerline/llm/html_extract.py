@@ -299,22 +299,25 @@ def likeness(a: Page, b: Page) -> int:
     return n
 
 
+def template_lines(page: Page, neighbours: list[Page]) -> set[int]:
+    """Positions of the blocks that ``page`` shares with the nearest neighbour of its host that is no copy."""
+    near = [n for n in neighbours if likeness(page, n) >= 0 and not copies(page, n)]
+    return set(shared_lines(page.lines, max(near, key=lambda n: likeness(page, n)).lines)) if near else set()
+
+
 def extract(page: Page, neighbours: list[Page]) -> str:
-    shared: set[int] = set()
-    if page.marked < 2:
-        near = [n for n in neighbours if likeness(page, n) >= 0 and not copies(page, n)]
-        if near:
-            shared = set(shared_lines(page.lines, max(near, key=lambda n: likeness(page, n)).lines))
+    """Every page is differenced; the markup then drops what it marks and puts back an article's shared blocks."""
+    shared = template_lines(page, neighbours)
     return "\n\n".join(text for i, (text, dropped, main) in enumerate(page.blocks)
-                       if not dropped and main >= page.marked and i not in shared)
+                       if not dropped and main >= page.marked and (main == 2 or i not in shared))
 
 
 def texts(rows: Iterator[tuple]) -> Iterator[tuple]:
     """(id, url, text, n_chars) from sorted rows (part, context, id, url, host, path, html); context rows are neighbours only.
 
-    Pages of a run of copies wait for the first page after it; those that markup decides about don't.
+    Pages of a run of copies wait for the first page after it; equal ones share their blocks meanwhile.
     """
-    part = before = first = last = None
+    part = before = first = last = last_src = None
     waiting: list[tuple] = []
 
     def settled(after: Page | None) -> Iterator[tuple]:
@@ -327,7 +330,8 @@ def texts(rows: Iterator[tuple]) -> Iterator[tuple]:
         return i, url, text, len(text)
 
     for of, context, i, url, host, path, src in rows:
-        page = Page(host, path, blocks(src))
+        page = Page(host, path, last.blocks if last and src == last_src else blocks(src))
+        last_src = src
         if of != part:
             yield from settled(None)
             part, before, first = of, None, page
@@ -335,11 +339,7 @@ def texts(rows: Iterator[tuple]) -> Iterator[tuple]:
             yield from settled(page)
             before, first = last, page
         last = page
-        if context:
-            continue
-        if page.marked == 2:
-            yield result(page, i, url, [])
-        else:
+        if not context:
             waiting.append((page, i, url))
     yield from settled(None)
 

@@ -128,3 +128,18 @@ def test_texts_do_not_depend_on_the_ranges(spark):
             spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert found[0] == found[1] == found[2] and len(found[0]) == 302
     assert sum("menu" in t for _, _, t, _ in found[0]) <= 1
+
+
+def test_pages_with_an_article_are_differenced_too(monkeypatch):
+    """The alignment runs for every page that has a neighbour; the article's shared paragraph is put back after it."""
+    sources = [f"<div>Menu</div><article><p>Shared opening</p><p>own {i}</p></article><p>End {i}</p>" for i in range(3)]
+    sources.insert(1, sources[0])
+    aligned, real = [], hx.shared_lines
+    monkeypatch.setattr(hx, "shared_lines", lambda a, b: aligned.append((a, b)) or real(a, b))
+    rows = [(0, False, i, "u", "h", f"/x/{i}", src) for i, src in enumerate(sources)]
+    got = {i: t for i, _, t, _ in hx.texts(iter(rows))}
+    assert got == {0: "Shared opening\n\nown 0", 1: "Shared opening\n\nown 0", 2: "Shared opening\n\nown 1", 3: "Shared opening\n\nown 2"}
+    pages = [hx.Page("h", "/x", hx.blocks(src)) for src in sources]
+    assert len(aligned) == 4 and all(any(a == p.lines for a, _ in aligned) for p in pages)
+    assert hx.template_lines(pages[0], [pages[1]]) == set()  # a copy tells nothing
+    assert hx.template_lines(pages[0], [pages[2]]) == {0, 1}
