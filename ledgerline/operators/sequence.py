@@ -230,6 +230,15 @@ def label_ids(df: DataFrame, seq: str, max_length: int = MAX_LENGTH, char_base:
         .drop("_tokens", "_ids")
 
 
+def labels_text(labels: Column) -> Column:
+    """Label ids joined by commas. Where all ignored positions come last, as padding does, their text is
+    repeated rather than printed one by one; any other array is printed whole."""
+    ids = F.array_remove(labels, F.lit(IGNORE_ID))
+    padding = F.repeat(F.lit(f",{IGNORE_ID}"), F.size(labels) - F.size(ids))
+    padded = F.ltrim(F.concat(F.array_join(ids.cast("array<string>"), ","), padding), F.lit(","))
+    return F.when(F.slice(labels, 1, F.size(ids)) == ids, padded).otherwise(F.array_join(labels.cast("array<string>"), ","))
+
+
 def decode_ids(ids: Column, char_base: int = 1000) -> Column:
     """Label ids -> text by look-up in the vocabulary; ignored positions are left out."""
     voc = F.array(*[F.lit(t) for t in label_vocabulary()])

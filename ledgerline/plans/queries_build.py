@@ -184,10 +184,9 @@ FROM (SELECT file, page_idx, {_IDS_SQL} AS ids FROM targets)""")
 def t_labels(spark, sf):
     """Label ids in order (vocabulary tokens and markers, other characters by code point), padded to 1536 with -100."""
     df = S.label_ids(B.targets(spark, sf).select("file", "page_idx", "sequence"), "sequence")
-    ign = F.size(F.filter("labels", lambda x: x == S.IGNORE_ID))
-    return df.select("file", "page_idx", (F.size("labels") - ign).cast("int").alias("n_tokens"), "n_tokens_full", "truncated",
-                     ign.cast("int").alias("n_ignored"),
-                     F.md5(F.array_join(c("labels").cast("array<string>"), ",")).alias("labels_md5"))
+    n = F.size(F.array_remove("labels", F.lit(S.IGNORE_ID)))
+    return df.select("file", "page_idx", n.cast("int").alias("n_tokens"), "n_tokens_full", "truncated",
+                     (F.size("labels") - n).cast("int").alias("n_ignored"), F.md5(S.labels_text(c("labels"))).alias("labels_md5"))
 
 
 _TAGS_SQL = "regexp_extract_all(seq, '</?s_[A-Za-z0-9_]+>')"
