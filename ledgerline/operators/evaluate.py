@@ -19,13 +19,20 @@ c = F.col
 
 
 NEAR_EDITS = 32
+FEW_EDITS = 7
 
 
 def edit_distance(pred: Column, answer: Column) -> Column:
-    """Levenshtein distance. Equal texts need no table, and texts a few edits apart only the
-    diagonals within ``NEAR_EDITS`` of it (-1 beyond them); the whole table is filled for the rest."""
-    near = F.array(F.levenshtein(pred, answer, NEAR_EDITS))  # an array's element is computed once, whatever refers to it
-    least = F.get(F.transform(near, lambda d: F.when(d >= 0, d).otherwise(F.levenshtein(pred, answer))), F.lit(0))
+    """Levenshtein distance. Equal texts need no table, and texts a few edits apart only the diagonals
+    within ``FEW_EDITS`` or ``NEAR_EDITS`` of it (-1 beyond them); the whole table is filled for the rest."""
+
+    def within(steps: list[Column]) -> Column:
+        near = F.array(steps[0])  # an array's element is computed once, whatever refers to it
+        if len(steps) == 1:
+            return steps[0]
+        return F.get(F.transform(near, lambda d: F.when(d >= 0, d).otherwise(within(steps[1:]))), F.lit(0))
+
+    least = within([F.levenshtein(pred, answer, FEW_EDITS), F.levenshtein(pred, answer, NEAR_EDITS), F.levenshtein(pred, answer)])
     return F.when(pred == answer, F.lit(0)).otherwise(least)
 
 

@@ -253,7 +253,7 @@ def clean_prediction(raw: Column) -> Column:
     # The format's two cleanup patterns (a tag ends on its line).
     s = F.regexp_replace(s, r"^([\s\S]*?)<[^\n]*?>", "$1")
     s = F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
-    return F.regexp_replace(s, r"(?:(?<=>) | (?=</s_))", "")
+    return F.replace(F.replace(s, F.lit("> "), F.lit(">")), F.lit(" </s_"), F.lit("</s_"))
 
 
 def clean_answer(answer: Column) -> Column:

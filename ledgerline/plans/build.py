@@ -117,7 +117,7 @@ def predictions(spark: SparkSession, sf: str, epochs: int = EPOCHS, batch_size:
     val = val.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     k = c("doc_key")
     seq = S.clean_answer(c("sequence"))
-    s1 = F.when(k % (c("epoch") + 2) == 0, F.translate(seq, "7", "1")).otherwise(seq)
+    s1 = F.when(k % (c("epoch") + 2) == 0, F.replace(seq, F.lit("7"), F.lit("1"))).otherwise(seq)
     s2 = F.when(k % 7 == 0, F.regexp_replace(s1, "<s_tw>.*?</s_tw>", "")).otherwise(s1)
     s3 = F.when(k % 3 == 0, F.replace(s2, F.lit(">"), F.lit("> "))).otherwise(s2)
     raw = F.concat(F.lit(TASK_PROMPT), s3, F.lit(EOS_TOKEN), F.lit(PAD_TOKEN))

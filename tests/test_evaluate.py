@@ -95,3 +95,11 @@ def test_edit_distance_near_and_far(spark):
         E.edit_distance(F.col("p"), F.col("a")), F.levenshtein("p", "a")).collect()]
     assert all(mine == plain for mine, plain in got)
     assert got[0][0] == 0 and got[1][0] == 1 and got[3][0] > E.NEAR_EDITS and got[6][0] is None
+
+
+def test_edit_distance_by_growing_bands(spark):
+    base = "<s_an>12345</s_an>" * 12
+    rows = [(base, "x" * n + base) for n in (1, E.FEW_EDITS, E.FEW_EDITS + 1, E.NEAR_EDITS, E.NEAR_EDITS + 1, 60)]
+    df = spark.createDataFrame(rows, "p string, a string").select(E.edit_distance(F.col("p"), F.col("a")))
+    assert [r[0] for r in df.collect()] == [len(a) - len(p) for p, a in rows]
+    assert E.FEW_EDITS < E.NEAR_EDITS

@@ -110,3 +110,21 @@ def test_unknown_and_unclosed_tags_are_kept(spark):
 def test_decode(spark):
     df = S.label_ids(spark.createDataFrame([("<s_pn>1é</s_pn></s>",)], "s string"), "s", max_length=8)
     assert df.select(S.decode_ids(F.col("labels"))).first()[0] == "<s_pn>1é</s_pn></s>"
+
+
+def test_text_of_labels(spark):
+    """Padding is repeated, anything else printed as it stands."""
+    rows = [[5, 7, -100, -100], [-100, -100], [], [3], [-100, 4, -100], [1, -100, 2], None]
+    df = spark.createDataFrame([(r,) for r in rows], "labels array<int>")
+    got = [r[0] for r in df.select(S.labels_text(F.col("labels"))).collect()]
+    assert got == [None if r is None else ",".join(map(str, r)) for r in rows]
+
+
+def test_tag_side_spaces_go_as_by_the_printed_pattern(spark):
+    import random
+    rng = random.Random(4)
+    rows = [("<x>" + "".join(rng.choices(["> ", " ", " </s_", "</s_a>", ">", "a", "  "], k=12)),) for _ in range(500)]
+    df = spark.createDataFrame(rows, "raw string").select(S.clean_prediction(F.col("raw")).alias("got"), F.regexp_replace(
+        F.regexp_replace(F.regexp_replace("raw", r"^([\s\S]*?)<[^\n]*?>", "$1"), r"(?U)^\s+|\s+$", ""), r"(?:(?<=>) | (?=</s_))", "").alias("want"))
+    assert all(r.got == r.want for r in df.collect())
+    assert "(?<=>)" not in df.select("got")._jdf.queryExecution().optimizedPlan().toString()
