@@ -8,8 +8,9 @@ it runs distributed whatever the sizes.
 from __future__ import annotations
 
 import json
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +44,15 @@ def flatten(df: DataFrame, keys: list[str], js: str) -> DataFrame:
         seen, out = {}, []
         for pair in found:
             seen[pair] = seen.get(pair, -1) + 1
-            out.append({"path": pair[0], "n": seen[pair] if pair[0].endswith("[]") else 0, "value": pair[1]})
+            out.append((pair[0], seen[pair] if pair[0].endswith("[]") else 0, pair[1]))
         return out
 
-    @F.pandas_udf("array<struct<path:string,n:int,value:string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
+    @F.arrow_udf("array<struct<path:string,n:int,value:string>>")
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [one(text) for text in texts.to_pylist()]
+        path, n, value = zip(*(leaf for row in rows for leaf in row)) if any(rows) else ((), (), ())
+        fields = pa.StructArray.from_arrays([pa.array(path, pa.string()), pa.array(n, pa.int32()), pa.array(value, pa.string())], ["path", "n", "value"])
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rows))], pa.int32()), fields)
 
     return df.select(*keys, F.explode(run(c(js))).alias("_l")).select(*keys, "_l.path", "_l.n", "_l.value")
 

@@ -84,3 +84,14 @@ def test_period_parts_read_as_the_two_forms(spark):
     for text, (s0, e0, s1, e1) in zip(texts, rows):
         assert (s0, e0) == (s1, e1), text
     assert rows[0][2] == (9, 12, 2019) and rows[1][2] == (9, 7, 2021) and rows[2][2] is None
+
+
+def test_settings_texts_are_flattened_in_arrow_batches(spark):
+    from ledgerline.operators import diff as C
+    rows = [(1, '{"b": [2, 1, 2], "a": {"x": null, "y": {}}}'), (2, None), (3, "{broken"), (4, "[]"), (5, '{"b": []}')]
+    flat = C.flatten(spark.createDataFrame(rows, "k int, js string"), ["k"], "js")
+    assert sorted(map(tuple, flat.collect()), key=str) == sorted([
+        (1, "a.x", 0, "null"), (1, "a.y", 0, "{}"), (1, "b[]", 0, "1"), (1, "b[]", 0, "2"), (1, "b[]", 1, "2"), (2, "", 0, None),
+        (3, "", 0, "{broken"), (4, "", 0, "[]"), (5, "b", 0, "[]")], key=str)
+    assert C.flatten(spark.createDataFrame([], "k int, js string"), ["k"], "js").count() == 0
+    assert not hasattr(C, "pd")
