@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -34,6 +35,9 @@ DEFAULT_CONF = {
 }
 
 
+JIT_BYTES = 8000  # fixed value: HotSpot's HugeMethodLimit
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "ledgerline", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -91,6 +95,19 @@ def materialize(df, name: str = "tbl"):
     return df.sparkSession.read.parquet(_write_table(df, name))
 
 
+@contextmanager
+def small_methods(spark: SparkSession):
+    """While a wide plan runs: HotSpot interprets a method of over 8,000 bytes of code for good, so stages whose
+    generated method is longer run as separate operators with methods of their own."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), JIT_BYTES)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 _MEMO: dict[tuple, str] = {}
 
 
@@ -106,7 +123,9 @@ def memo_table(spark: SparkSession, key: tuple, build):
     full = (spark.sparkContext.applicationId,) + tuple(key)
     path = _MEMO.get(full)
     if path is None:
-        path = _write_table(build(), key[0])
+        df = build()
+        with small_methods(spark):
+            path = _write_table(df, key[0])
         _MEMO[full] = path
     return spark.read.parquet(path)
 

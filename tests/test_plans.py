@@ -63,3 +63,16 @@ def test_state_diff_shuffles_no_arrays(spark):
     plan = plan_of(C.state_diff(emb, emb))
     keys = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert keys and "a_values" not in plan
+
+
+def test_prepared_tables_are_written_by_methods_that_are_compiled(spark):
+    from ledgerline import session
+
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before, seen, real = spark.conf.get(key), [], session._write_table
+    session._write_table = lambda df, name: seen.append(spark.conf.get(key)) or real(df, name)
+    try:
+        assert session.memo_table(spark, ("method-size-test",), lambda: spark.range(3)).count() == 3
+    finally:
+        session._write_table = real
+    assert seen == [str(session.JIT_BYTES)] and spark.conf.get(key) == before
