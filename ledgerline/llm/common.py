@@ -8,7 +8,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.session import ensure_checkpoint_dir, materialize
+from ledgerline.session import ensure_checkpoint_dir, materialize, row_batches
 
 __all__ = ["ascii_lower", "chunk_bits", "materialize", "row_batches", "row_key", "running_sum", "shared_path", "text_words",
            "whole_row", "word_count"]
@@ -24,13 +24,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
 
 
-def row_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch: a batch of whole texts must fit beside its neighbours in a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
 

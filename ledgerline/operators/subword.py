@@ -16,12 +16,14 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,7 @@ from .sequence import IGNORE_ID, MAX_LENGTH, SEP, vocabulary
 
 MAX_FILE = 64 << 20  # bytes of a vocabulary file, which is broadcast
 CALL_CHARS = 1 << 20  # of the texts of one call, but for a longer text: what the library returns is far larger than the text
+PIECES_AT_ONCE, IDS_AT_ONCE = 1 << 12, 1 << 16  # of one call of the library, which returns about a kilobyte for each; ids decoded at once
 KEPT_PIECES, KEPT_CHARS = 1 << 17, 64  # pieces whose ids a worker keeps, and the longest such piece
 # Cut where a character that is no white space in any sense precedes white space of ASCII.
 PIECE = re.compile(r"\s*+\S++(?:(?![ \t\n\r\f\v])\s++\S*+)*+|\s++")
@@ -55,7 +58,9 @@ def _ids_by_pieces(known, kept: dict[str, list[int]], texts: list[str]) -> list[
     def some(stretches: list[str]) -> list[list[int]]:
         pieces = [PIECE.findall(s) for s in stretches]
         new = list(set(chain.from_iterable(pieces)).difference(kept))
-        kept.update(zip(new, (e.ids for e in known.encode_batch_fast(new, add_special_tokens=False))))
+        for at in range(0, len(new), PIECES_AT_ONCE):
+            few = new[at:at + PIECES_AT_ONCE]
+            kept.update(zip(few, (e.ids for e in known.encode_batch_fast(few, add_special_tokens=False))))
         out = [list(chain.from_iterable(map(kept.__getitem__, row))) for row in pieces]
         if len(kept) > KEPT_PIECES:
             kept.clear()
@@ -79,6 +84,54 @@ def _ids_by_pieces(known, kept: dict[str, list[int]], texts: list[str]) -> list[
     return out
 
 
+def _cut(rows: pa.Array, sizes: pa.Array, most: int) -> Iterator[pa.Array]:
+    """``rows`` in stretches whose sizes come to about ``most``; a larger row is a stretch of its own."""
+    ends, at = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False)), 0
+    while at < len(rows):
+        n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")) - at)
+        yield rows.slice(at, n)
+        at += n
+
+
+@lru_cache(maxsize=4)
+def _bytes_of(kind: str, content: bytes, tokens: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(bytes of all tokens, each id's start in them, its length) of a byte-level vocabulary, where a text's bytes are those
+    of its tokens in a row; None for others. Ids without a token have no bytes."""
+    if kind != "json" or (json.loads(content).get("decoder") or {}).get("type") != "ByteLevel":
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: bytes that stand for themselves
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    size = _library(kind, content).get_vocab_size()
+    entries = {i: t for t, i in _library(kind, content).get_vocab().items()}
+    found = {i: bytes(map(byte_of.__getitem__, t)) if set(t) <= byte_of.keys() else t.encode() for i, t in entries.items()}
+    found |= {i: t.encode() for i, t in tokens}
+    rows = [found.get(i, b"") for i in range(max(size, *found) + 1)]
+    lengths = np.array([len(r) for r in rows], np.int64)
+    return np.frombuffer(b"".join(rows), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+def _joined(table: tuple[np.ndarray, np.ndarray, np.ndarray], rows: pa.ListArray) -> pa.Array | None:
+    """The text of each row of ids from its tokens' bytes; None if some row's aren't valid UTF-8."""
+    held, starts, lengths = table
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False))])
+    ids = rows.flatten().to_numpy(zero_copy_only=False)
+    ids = np.where((ids >= 0) & (ids < len(lengths)), ids, len(lengths))  # others have no bytes
+    starts, lengths = np.append(starts, 0), np.append(lengths, 0)
+    out = []
+    for at in range(0, len(ids), IDS_AT_ONCE):
+        some = ids[at:at + IDS_AT_ONCE]
+        n = lengths[some]
+        out.append(held[np.arange(n.sum()) + np.repeat(starts[some] - (np.cumsum(n) - n), n)])
+    data = np.concatenate(out) if out else np.zeros(0, np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(lengths[ids])])[ends].astype(np.int32)
+    valid = pc.is_valid(rows)
+    found = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    try:
+        return pc.if_else(valid, found.cast(pa.string()), pa.scalar(None, pa.string()))
+    except pa.ArrowInvalid:
+        return None
+
+
 @lru_cache(maxsize=4)
 def _library(kind: str, content: bytes):
     if kind == "json":
@@ -143,39 +196,28 @@ class Subwords:
         kind, shared, added = self.kind, self.shared, self.added
         pattern = "(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")" if added else None
 
-        @F.pandas_udf("array<int>")
-        def run(texts: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<int>")
+        def run(texts: pa.Array) -> pa.Array:
             known = _library(kind, shared.value)
-            out, rows, held = [], [], 0
-            for text in texts:
-                rows.append(text)
-                held += len(text or "")
-                if held > CALL_CHARS:
-                    out += encoded(known, rows)
-                    rows, held = [], 0
-            return pd.Series(out + encoded(known, rows), dtype=object)
-
-        def encoded(known, texts: list) -> list:
-            """Ids of each text, by one call of the library for what lies between the tokens of all."""
-            cut = [None if t is None else re.split(pattern, t) if pattern else [t] for t in texts]  # odd ones are tokens
-            between = [part for parts in cut if parts for part in parts[::2] if part]
+            out = [encoded(known, rows.to_pylist()) for rows in _cut(texts, pc.binary_length(texts), CALL_CHARS)]
+            return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+
+        def encoded(known, texts: list) -> pa.Array:
+            """Ids of each text; what lies between the tokens of all is encoded once for each distinct stretch."""
+            cut = [() if t is None else re.split(pattern, t) if pattern else (t,) for t in texts]  # odd ones are tokens
+            between = list({part for parts in cut for part in parts[::2]})
             kept = _kept(kind, shared.value)
             if kept is not None:
-                found = iter(_ids_by_pieces(known, kept, between))
+                found = _ids_by_pieces(known, kept, between)
             elif kind == "json":
-                found = iter([e.ids for e in known.encode_batch_fast(between, add_special_tokens=False)])
+                found = [e.ids for e in known.encode_batch_fast(between, add_special_tokens=False)]
             else:
-                found = iter(known.encode(between, num_threads=1) if between else [])
-            out = []
-            for parts in cut:
-                row = next(found) if parts and len(parts) == 1 and parts[0] else []
-                for i, part in enumerate(parts if parts and len(parts) > 1 else ()):
-                    if i % 2:
-                        row.append(added[part])
-                    elif part:
-                        row += next(found)
-                out.append(None if parts is None else np.array(row, np.int32))
-            return out
+                found = known.encode(between, num_threads=1) if between else []
+            ids = dict(zip(between, found)) | {t: [i] for t, i in added.items()}
+            rows = [list(map(ids.__getitem__, parts)) for parts in cut]
+            ends = np.cumsum([0] + [sum(map(len, row)) for row in rows])
+            flat = np.fromiter(chain.from_iterable(chain.from_iterable(rows)), np.int32, ends[-1])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([t is None for t in texts]))
 
         return run(text)
 
@@ -192,15 +234,15 @@ class Subwords:
         token = {i: t for t, i in self.added.items()}
         tokens = np.array(sorted(token), np.int64)
 
-        @F.pandas_udf("string")
-        def run(rows: pd.Series) -> pd.Series:
+        @F.arrow_udf("string")
+        def run(rows: pa.Array) -> pa.Array:
             known = _library(kind, shared.value)
             text = lambda some: (known.decode(some, skip_special_tokens=False) if kind == "json" else known.decode(some)) if some else ""
 
             def one(row) -> str | None:
                 if row is None:
                     return None
-                row = np.asarray(row, np.int64)
+                row = np.array(row, np.int64)
                 row = row[row >= 0]
                 at = np.flatnonzero(np.isin(row, tokens))
                 if not len(at):
@@ -208,9 +250,14 @@ class Subwords:
                 between = [text(part.tolist()) for part in np.split(row, np.repeat(at, 2) + np.tile([0, 1], len(at)))[::2]]
                 return between[0] + "".join(token[i] + after for i, after in zip(row[at].tolist(), between[1:]))
 
-            return rows.map(one, na_action=None)
+            table = _bytes_of(kind, shared.value, tuple(token.items()))
+            out = []
+            for some in _cut(rows, pc.list_value_length(rows), CALL_CHARS):
+                whole = _joined(table, some) if table and not some.flatten().null_count else None
+                out.append(pa.array(map(one, some.to_pylist()), pa.string()) if whole is None else whole)
+            return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
-        return run(ids)
+        return run(F.array_remove(ids, F.lit(IGNORE_ID)))  # so the padding isn't sent
 
     def tokens_df(self, spark: SparkSession) -> DataFrame:
         """(token, token_id, is_new) of the format's tokens: a row for each."""

@@ -67,3 +67,55 @@ def test_pieces_keep_the_tokens_they_have(spark, texts):
 def test_other_files_are_refused(spark, tmp_out):
     with pytest.raises(ValueError):
         SW.Subwords.load(spark, f"{FOLDER}/byte_bpe_50k.tiktoken")
+
+
+def test_bytes_of_tokens_are_the_library_s_text():
+    """A batch is decoded by its tokens' bytes, padding, unknown ids and NULL rows too; broken UTF-8 is left to the library."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    content = open(f"{FOLDER}/byte_bpe_50k.json", "rb").read()
+    own = Tokenizer.from_buffer(content)
+    table = SW._bytes_of("json", content, ((50257, "<s_t>"),))
+    texts = ["12,345.67 é€ \U0001f600\n", "", "<|endoftext|> a  b", "x" * 70000]
+    rows = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    got = SW._joined(table, pa.array([*rows, None, [50257, *rows[0], -100, 10 ** 6]], pa.list_(pa.int32()))).to_pylist()
+    assert got == [*texts, None, "<s_t>" + texts[0]] and texts[2] == own.decode(rows[2], skip_special_tokens=False)
+    half = own.encode("\U00013000", add_special_tokens=False).ids[:1]
+    assert SW._joined(table, pa.array([half], pa.list_(pa.int32()))) is None
+    assert SW._joined(table, pa.array([None, rows[0], rows[2]], pa.list_(pa.int32())).slice(1, 1)).to_pylist() == texts[:1]
+    assert SW._bytes_of("model", b"", ()) is None
+
+
+def test_broken_utf8_is_decoded_by_the_library(spark):
+    from tokenizers import Tokenizer
+    own = Tokenizer.from_file(f"{FOLDER}/byte_bpe_50k.json")
+    words = SW.Subwords.load(spark, f"{FOLDER}/byte_bpe_50k.json", [])
+    half = own.encode("\U00013000", add_special_tokens=False).ids[:1]
+    rows = spark.createDataFrame([(half + [-100],), ([],), (None,)], "ids array<int>").coalesce(1)
+    assert [r[0] for r in rows.select(words.decode(F.col("ids"))).collect()] == [own.decode(half), "", None]
+
+
+def test_tokens_are_counted_by_one_run_of_the_tokenizer(spark):
+    from ledgerline.plans import catalog
+
+    from .conftest import SF_SMALL
+    plan = catalog.QUERIES["t_subword_added"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_stretches_of_rows_are_bounded():
+    import pyarrow as pa
+    rows = pa.array(["aa", None, "b" * 9, "c", "dd", ""])
+    cut = [x.to_pylist() for x in SW._cut(rows, pa.compute.binary_length(rows), 3)]
+    assert cut == [["aa", None], ["b" * 9], ["c", "dd", ""]]
+
+
+def test_documents_come_in_small_batches(spark):
+    """A worker holds few whole texts at once, however many its task reads."""
+    from ledgerline.plans import catalog
+
+    from .conftest import SF_SMALL
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    catalog.QUERIES["t_subword_documents"](spark, SF_SMALL)
+    assert int(spark.conf.get(key)) <= 1000
