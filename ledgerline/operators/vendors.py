@@ -36,6 +36,7 @@ PAGE_REASONS = [r for r in REASONS if r not in ("page_count", "empty_file")]
 DEP_PAGE = r"(\d+)(\s+of\s+)(\d+)"
 DEP_PERIOD = r"From\s+(\w+\s+\d+,\s+\d+)\s+to\s+(\w+\s+\d+,\s+\d+)"
 DEP_DATE = r"(\w+)\s+(\d+),\s+(\d+)"
+DEP_PERIOD_PARTS = r"From\s+(\w+)\s+(\d+),\s+(\d+)\s+to\s+(\w+)\s+(\d+),\s+(\d+)"  # the same period, part by part
 DEP_ACCOUNT = r"Your\s+account\s+number:\s+(\d{5}-\d{7})"
 DEP_OPENING = r"Your\s+opening\s+balance\D+\d{1,2}\D+\d{4}\D+([\d,]+\.\d{2})"
 DEP_CLOSING = r"Your\s+closing\s+balance\D+\d{1,2}\D+\d{4}\D+([\d,]+\.\d{2})"
@@ -114,16 +115,20 @@ def _deposit(df: DataFrame) -> DataFrame:
         *KEYS, _found(DEP_PAGE_LINEAR).alias("_page"), _found(DEP_PERIOD).alias("_period"), _found(DEP_ACCOUNT).alias("_account"),
         _found(DEP_OPENING, first).alias("_ob"), _found(DEP_CLOSING, first).alias("_cb"),
         _found(DEP_DEPOSITS, first).alias("_td"), _found(DEP_WITHDRAWALS, first).alias("_tw"))
-    sd, ed = X.date_pair(c("_period"), DEP_PERIOD, DEP_DATE)
     s2 = s1.select(
         *KEYS, X.page_number(c("_page"), DEP_PAGE).alias("pn"), X.account_number(c("_account"), DEP_ACCOUNT).alias("an"),
-        sd.alias("sd"), ed.alias("ed"), X.money(c("_ob"), DEP_OPENING).alias("ob"), X.money(c("_cb"), DEP_CLOSING).alias("cb"),
-        X.money(c("_td"), DEP_DEPOSITS).alias("td"), X.money(c("_tw"), DEP_WITHDRAWALS).alias("tw"))
+        X.period_parts(c("_period"), DEP_PERIOD_PARTS).alias("_parts"), X.money(c("_ob"), DEP_OPENING).alias("ob"),
+        X.money(c("_cb"), DEP_CLOSING).alias("cb"), X.money(c("_td"), DEP_DEPOSITS).alias("td"),
+        X.money(c("_tw"), DEP_WITHDRAWALS).alias("tw"))
+    sd, ed = X.period_dates(c("_parts"))
+    s3 = s2.select(*KEYS, "pn", "an", sd.alias("sd"), ed.alias("ed"), "ob", "cb", "td", "tw")
     kept = F.coalesce(c("pn") != 0, F.lit(False)) & c("sd").isNotNull() & c("ed").isNotNull()
-    s3 = s2.withColumn("kept", kept)
+    # A generator's output: a filter on it stays above the stages. Pushed below them it would hold
+    # their patterns dozens of times, each searched again in the whole page.
+    s4 = s3.select("*", F.explode(F.array(kept)).alias("kept"))
     money_page = c("kept") & first
     missing = money_page & _any_null("ob", "cb", "td", "tw")
-    return s3.select(
+    return s4.select(
         "*",
         missing.alias("e_missing_field"),
         F.coalesce(money_page & ~missing & ((c("ob") + c("td") - c("tw")) != c("cb")),

@@ -208,3 +208,31 @@ def test_a_page_of_a_megabyte_takes_a_moment(spark):
     good = R.file_verdicts(V.extract_records(pages)).filter("ok").collect()
     assert {r["vendor"] for r in good} == {"credit"}  # a page without a number is an information page there
     assert time.time() - began < 60
+
+
+def test_filter_on_kept_searches_no_page_again(spark):
+    pages = pages_df(spark, [("bank", "a.pdf", 0, BANK_P0), ("bank", "a.pdf", 1, BANK_P1), ("bank", "a.pdf", 2, "2 of 2\n"), ("bank", "a.pdf", 3, None)])
+    kept = V.extract_records(pages, ["bank"]).filter("kept").groupBy("vendor").count()
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_extract" in line]
+    assert [tuple(r) for r in kept.collect()] == [("bank", 2)]
+
+
+def test_deposit_period_is_the_printed_pair(spark):
+    import random
+
+    from ledgerline.functions import rx as X
+    rnd = random.Random(5)
+    start = ["December", "dec", "Foo", "١٢", "De", "December 1,"]
+    day = ["8", "08", "٣", "99999999999", "8x", ""]
+    gap = [" ", "  ", "\n", " ", ""]
+    def date():
+        return rnd.choice(start) + rnd.choice(gap[:4]) + rnd.choice(day) + "," + rnd.choice(gap) + rnd.choice(["2020", "99999999999", "٢٠٢٠", "1"])
+    texts = ["1 of 2\n" + rnd.choice(["", "From a to b ", "From "]) + "From " + date() + rnd.choice(gap) + "to" + rnd.choice(gap) + date()
+             + rnd.choice(["", "1", " From May 1, 2021 to June 2, 2022"]) for _ in range(3000)]
+    texts += [BANK_P0, "From May 1, 2021 to June 2, 2022", "From May 1, 2021 to June", None]
+    pages = pages_df(spark, [("bank", f"{i}.pdf", 0, t) for i, t in enumerate(texts)])
+    sd, ed = X.date_pair(F.col("text"), V.DEP_PERIOD, V.DEP_DATE)
+    want = {r["file"]: (r["sd"], r["ed"]) for r in pages.select("file", sd.alias("sd"), ed.alias("ed")).collect()}
+    got = {r["file"]: (r["sd"], r["ed"]) for r in V.extract_records(pages, ["bank"]).select("file", "sd", "ed").collect()}
+    assert got == want and 100 < sum(s is not None for s, _ in want.values()) < len(want)
