@@ -7,9 +7,11 @@
    the tight bounding box of every node.
 3. A first round searches, for each query, one shard of the region with the highest bound;
    the kth score found there is propagated. Regions whose box can't reach it are pruned.
-4. The second round joins blocks of queries with the shards that are left. Within a shard a
-   query goes best first: nodes by box-to-query bound, until the bound is below the kth
-   score. The shards' best rows are merged by one window for each query.
+4. The second round joins blocks of queries with the shards that are left. The shards are in
+   at most ``PARTS`` parts, and a block goes once to each part that a query of it can need, so
+   copies of queries are bounded however many shards there are. Within a shard a query goes
+   best first: nodes by box-to-query bound, until the bound is below the kth score. The
+   shards' best rows are merged by one window for each query.
 
 Components are whole numbers; scores are exact 64-bit sums (products beyond that wrap).
 
@@ -36,6 +38,7 @@ SAMPLE, REGIONS = 4096, 512
 SHARD_ROWS = 4096
 LEAF = 64
 QUERY_BLOCK = 1024
+PARTS = 128
 EXACT = 2.0 ** 52  # sums of products below this are exact as doubles, which have fast products
 
 
@@ -183,6 +186,15 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_
     # a row for each region, of which there are REGIONS at most: how many shards it has
     counts = {r.region: -(-r["count"] // SHARD_ROWS) for r in v.groupBy("region").count().collect()}
     salts = F.create_map(*[F.lit(y) for r, s in counts.items() for y in (r, s)]) if counts else F.create_map(F.lit(0), F.lit(1))
+    names = sorted(counts)
+    before = dict(zip(names, np.cumsum([0] + [counts[r] for r in names]).tolist()))
+    total = sum(counts.values())
+    n_parts = min(PARTS, total)
+
+    def part(r: int, salt: int) -> int:
+        return (before[r] + salt) * n_parts // total
+
+    members = [[i for i, r in enumerate(names) if part(r, 0) <= p <= part(r, counts[r] - 1)] for p in range(n_parts)]
     shard = F.pmod(F.xxhash64("id", "x"), salts[F.col("region")].cast("long")).cast("int")
 
     def build(table: pa.Table) -> pa.Table:
@@ -191,8 +203,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_
         order, nodes, low, high = kd_tree(x, LEAF)
         x = _small(x[order])
         boxes = [_small(low), _small(high)]
+        r, salt = table.column("region")[0].as_py(), table.column("salt")[0].as_py()
         return pa.table({
-            "region": table.column("region").slice(0, 1), "salt": table.column("salt").slice(0, 1),
+            "region": pa.array([r], pa.int32()), "salt": pa.array([salt], pa.int32()), "part": pa.array([part(r, salt)], pa.int32()),
             "ids": pa.array([ids[order].astype(np.int64).tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary()),
             "nodes": pa.array([np.array(nodes, dtype=np.int32).tobytes()], pa.binary()),
             "low": pa.array([boxes[0].tobytes()], pa.binary()), "high": pa.array([boxes[1].tobytes()], pa.binary()),
@@ -200,50 +213,53 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_
             "box": pa.array([np.stack([low[0], high[0]]).astype(np.int64).tobytes()], pa.binary())})
 
     shards = v.select("id", "x", "region", shard.alias("salt")).groupBy("region", "salt").applyInArrow(
-        build, "region int, salt int, ids binary, x binary, nodes binary, low binary, high binary, kinds string, box binary")
+        build, "region int, salt int, part int, ids binary, x binary, nodes binary, low binary, high binary, kinds string, box binary")
     shards = materialize(shards, "knn-shards")
     boxes = region_boxes(shards, dim)
 
     def deal(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
-        """Queries to the region of the highest bound (first), or to all that reach their kth score."""
-        names = np.array(sorted(boxes), dtype=np.int32)
+        """A row for each block of queries and region of their highest bound (first), or part with a box that reaches their kth score."""
         low, high = (np.array([boxes[r][s] for r in names]) for s in (0, 1))
-        for b in batches:
-            up = bounds(_matrix(b.column(1), dim), low, high)
-            if first:
-                i, j = np.arange(len(up)), up.argmax(axis=1)
-            else:
-                i, j = np.nonzero(up >= b.column(2).to_numpy()[:, None])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), b.column(2).take(pa.array(i)),
-                                              pa.array(names[j])], ["id", "x", "least", "region"])
+        for batch in batches:
+            for at in range(0, len(batch), QUERY_BLOCK):
+                b = batch.slice(at, QUERY_BLOCK)
+                own, x, least = b.column(0).to_numpy(), _matrix(b.column(1), dim), b.column(2).to_numpy()
+                up = bounds(x, low, high)
+                if first:
+                    to = up.argmax(axis=1)
+                    rows = ((names[i], np.flatnonzero(to == i)) for i in np.unique(to))
+                else:
+                    reach = up >= least[:, None]
+                    rows = ((p, np.flatnonzero(reach[:, m].any(axis=1))) for p, m in enumerate(members))
+                for key, i in rows:
+                    if len(i):
+                        q = _small(x[i])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([key], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in (own[i], q, least[i])),
+                             pa.array([q.dtype.char])], ["to", "own", "q", "least", "kind"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(len(b)):
                 c = {f: b.column(f)[row] for f in b.schema.names}
-                ids = np.frombuffer(c["ids"].as_py(), dtype=np.int64)
+                ids, own, least = (np.frombuffer(c[f].as_py(), dtype=np.int64) for f in ("ids", "own", "least"))
                 kinds = c["kinds"].as_py()
                 x, low, high = (np.frombuffer(c[f].as_py(), dtype=t).reshape(-1, dim) for f, t in zip(("x", "low", "high"), kinds))
                 nodes = np.frombuffer(c["nodes"].as_py(), dtype=np.int32).reshape(-1, 4).tolist()
-                q = c["queries"].values
-                own, least = q.field("id").to_numpy(), q.field("least").to_numpy()
-                got = list(search(_matrix(q.field("x"), dim), own, least, (nodes, low, high), x, ids, k))
+                q = np.frombuffer(c["q"].as_py(), dtype=c["kind"].as_py()).reshape(-1, dim).astype(np.int64)
+                got = list(search(q, own, least, (nodes, low, high), x, ids, k))
                 sizes = [len(s) for s, _ in got]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(own, sizes)), pa.array(np.concatenate([f for _, f in got])),
                      pa.array(np.concatenate([s for s, _ in got]))], ["query_id", "id", "score"])
 
     def round_of(q: DataFrame, first: bool) -> DataFrame:
-        dealt = q.mapInArrow(lambda it: deal(it, first), "id long, x array<long>, least long, region int")
-        if first:
-            dealt = dealt.withColumn("salt", F.lit(0))
-        else:
-            dealt = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), salts[F.col("region")] - 1)))
-        # blocks of queries of a bounded size, each searched in its shard on its own
-        block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n_queries // QUERY_BLOCK))))
-        dealt = dealt.groupBy("region", "salt", block.alias("block")).agg(F.collect_list(F.struct("id", "x", "least")).alias("queries"))
-        pairs = dealt.join(shards.drop("box"), ["region", "salt"])
-        return pairs.drop("region", "salt", "block").mapInArrow(answer, "query_id long, id long, score long")
+        dealt = q.coalesce(max(1, -(-n_queries // QUERY_BLOCK))).mapInArrow(
+            lambda it: deal(it, first), "to int, own binary, q binary, least binary, kind string")
+        into = shards.where("salt = 0").withColumn("to", F.col("region")) if first else shards.withColumn("to", F.col("part"))
+        # Spark's estimate of the dealt blocks is the queries' own size, without their copies: they must never be broadcast
+        pairs = dealt.hint("merge").join(into.drop("box", "region", "salt", "part"), "to")
+        return pairs.drop("to").mapInArrow(answer, "query_id long, id long, score long")
 
     low_end = -(2 ** 63)
     q = v.where("is_query").groupBy("id").agg(F.min("x").alias("x"))

@@ -50,3 +50,17 @@ def test_edge_rows(spark):
     assert got == want
     assert run(spark, rows[:1], 5) == set()
     assert run(spark, [], 5) == set()
+
+
+def test_copies_of_queries_are_bounded_and_never_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SHARD_ROWS", 20)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(knn, "PARTS", 3)  # many shards in a part, regions across two parts
+    rnd = random.Random(2)
+    rows = [(i, [float(rnd.randrange(-9, 10)) for _ in range(8)]) for i in range(600)] + [(1000 + i, [2.0] * 8) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = knn.top_k(df, F.col("vec_id") % 3 == 0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, lambda i: i % 3 == 0, 5)
