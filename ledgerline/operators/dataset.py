@@ -104,19 +104,14 @@ class PositionIndex:
         self.df = df.withColumns(dict(zip(self.names, order)))
         keys = self.df.select(*self.names).orderBy(*self.names).withColumn("_mid", F.monotonically_increasing_id())
         self.keys = materialize(keys, "index")
-        pid = F.shiftright("_mid", 33)
-        counts = self.keys.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-        w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-        # one row for each partition
-        self.offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+        self.offsets = _offsets(self.keys)
 
     @property
     def n_rows(self) -> int:
         return self.offsets.agg(F.max(c("_off") + c("_n"))).first()[0] or 0
 
     def positions(self, name: str) -> DataFrame:
-        placed = self.keys.withColumn("_pid", F.shiftright("_mid", 33)).join(self.offsets, "_pid")
-        return placed.select(*self.names, (c("_off") + c("_mid") - c("_first")).alias(name))
+        return _placed(self.keys, self.offsets).select(*self.names, c("_at").alias(name))
 
     def attach(self, name: str = "row_idx", where: Column | None = None) -> DataFrame:
         """The rows with their position; ``where`` picks positions before any row is touched."""
@@ -136,6 +131,20 @@ class PositionIndex:
         return self.df.filter(_all(same)).withColumn(name, F.lit(position).cast("bigint")).drop(*self.names)
 
 
+def _offsets(table: DataFrame) -> DataFrame:
+    """One row for each partition that ``table`` was written with: its number of rows and those before them."""
+    pid = F.shiftright("_mid", 33)
+    counts = table.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+
+
+def _placed(table: DataFrame, offsets: DataFrame) -> DataFrame:
+    """``table`` with the position ``_at``; the offsets, a row for each partition, are broadcast."""
+    placed = table.withColumn("_pid", F.shiftright("_mid", 33)).join(F.broadcast(offsets), "_pid")
+    return placed.withColumn("_at", c("_off") + c("_mid") - c("_first"))
+
+
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for x in conditions[1:]:
@@ -144,8 +153,24 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def global_index(df: DataFrame, order: list[Column], name: str = "row_idx") -> DataFrame:
-    """``df`` with the position of every row in ``order`` (see ``PositionIndex``)."""
-    return PositionIndex(df, order).attach(name)
+    """``df`` with the position of every row in ``order`` (see ``PositionIndex``).
+
+    Where the order holds all of the rows' columns, a row is nothing but its key: the rows
+    themselves are dealt by ranges of the order, sorted and written once, and none is joined
+    back. What else the order has (a hash of the key) is computed on either side of the one
+    exchange and neither shuffled nor written. Rows that repeat are counted in their sorted
+    range; each comes with each of their positions, as by the join.
+    """
+    if not set(df.columns) <= set(df.select(*order).columns):
+        return PositionIndex(df, order).attach(name)
+    from ..session import lean_disk, materialize
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = df.repartitionByRange(*order).withColumns(dict(zip(names, order)))
+    rows = rows.withColumn("_alike", F.count(F.lit(1)).over(Window.partitionBy(*names)).cast("int")).sortWithinPartitions(*names)
+    with lean_disk(df.sparkSession):
+        rows = materialize(rows.drop(*names).withColumn("_mid", F.monotonically_increasing_id()), "index")
+    placed = _placed(rows, _offsets(rows)).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), c("_alike"))))
+    return placed.select(*df.columns, c("_at").alias(name))
 
 
 def batches(df: DataFrame, order: list[Column], batch_size: int = 1) -> DataFrame:

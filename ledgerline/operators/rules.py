@@ -75,12 +75,15 @@ def split_accepted(records: DataFrame, verdicts: DataFrame,
     pages is split: its pages take salt ``page_idx % n_salt`` and its one
     verdict row is repeated once per salt, so no join task receives more
     than about ``rows_per_split`` pages of one file. Other files keep salt 0
-    and pay nothing extra. Neither the hot-file list nor the verdict side is
-    hinted: Spark broadcasts them only when its size check (static estimate
-    or AQE's measured size) passes; otherwise sort-merge.
+    and pay nothing extra. The hot-file list, at most one row for each
+    ``rows_per_split`` pages, is broadcast, so that the pages are shuffled for
+    the verdicts only. The verdict side is not hinted: Spark broadcasts it
+    only when its size check (static estimate or AQE's measured size) passes;
+    otherwise sort-merge.
     """
     hot = verdicts.filter(c("n_pages") > rows_per_split).select(
         "vendor", "file", F.ceil(c("n_pages") / F.lit(rows_per_split)).cast("int").alias("n_salt"))
+    hot = F.broadcast(hot)
     rec = records.filter(c("kept")).join(hot, ["vendor", "file"], "left") \
         .withColumn("_salt", F.when(c("n_salt").isNull(), F.lit(0)).otherwise(F.pmod(c("page_idx"), c("n_salt")))) \
         .drop("n_salt")

@@ -115,6 +115,21 @@ def small_methods(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+@contextmanager
+def lean_disk(spark: SparkSession):
+    """While a table is written: zstd instead of Snappy, and the shuffle files of its plan are deleted once it is written
+    (they would stay until the driver happens to collect its garbage)."""
+    lean = {"spark.sql.parquet.compression.codec": "zstd", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {key: spark.conf.get(key, None) for key in lean}
+    for key, value in lean.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 _MEMO: dict[tuple, str] = {}
 
 
@@ -131,7 +146,7 @@ def memo_table(spark: SparkSession, key: tuple, build):
     path = _MEMO.get(full)
     if path is None:
         df = build()
-        with small_methods(spark):
+        with small_methods(spark), lean_disk(spark):
             path = _write_table(df, key[0])
         _MEMO[full] = path
     return spark.read.parquet(path)

@@ -1,5 +1,7 @@
 """Plan properties the design relies on (checked on the physical plan)."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as E
 from ledgerline.operators import rules as R
 from ledgerline.operators import vendors as V
@@ -76,3 +78,51 @@ def test_prepared_tables_are_written_by_methods_that_are_compiled(spark):
     finally:
         session._write_table = real
     assert seen == [str(session.JIT_BYTES)] and spark.conf.get(key) == before
+
+
+def test_prepared_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from ledgerline import session
+
+    def files():
+        disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f for f in disk.getAllFiles().mkString("\n").splitlines() if "/shuffle_" in f}
+
+    codec = spark.conf.get("spark.sql.parquet.compression.codec")
+    before = files()
+    table = session.memo_table(spark, ("shuffle-files-test",), lambda: spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(40):
+        if not files() - before:
+            break
+        time.sleep(0.25)
+    assert not files() - before and table.count() == 7
+    assert spark.conf.get("spark.sql.parquet.compression.codec") == codec
+
+
+def test_accepted_pages_are_shuffled_once(spark):
+    recs = materialize(V.extract_records(fx.doc_pages(spark, SF_SMALL)), "recs")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = plan_of(R.split_accepted(recs, R.file_verdicts(recs))[0])
+    finally:
+        spark.conf.set(key, before)
+    assert plan.count("SortMergeJoin") == 1
+
+
+def test_rows_that_are_their_key_are_not_joined_to_their_positions(spark):
+    from ledgerline.operators import dataset as D
+    rows = [(e, f"f{i % 90}", i // 90) for e in (0, 1) for i in range(270)] + [(0, "f1", 0), (1, None, 5), (None, "f2", None)]
+    df = spark.createDataFrame(rows, "epoch int, file string, page_idx int").repartition(3)
+    order = [F.col("epoch"), D.shuffle_key(D.page_key(), F.col("epoch")), F.col("file"), F.col("page_idx")]
+    idx = D.global_index(df, order)
+    plan = plan_of(idx)
+    assert "SortMergeJoin" not in plan and "md5" not in plan and "Exchange hashpartitioning(file" not in plan
+    names = [f"_o{i}" for i in range(4)]
+    want = [tuple(r) for r in df.withColumns(dict(zip(names, order))).orderBy(*names).select("epoch", "file", "page_idx").collect()]
+    # rows that repeat come with each of their positions
+    want = sorted((i, *r) for i, r in enumerate(want) for _ in range(rows.count(r)))
+    assert len(want) == len(rows) + 2
+    assert sorted((r.row_idx, r.epoch, r.file, r.page_idx) for r in idx.collect()) == want
